@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import decontaminate, licenses, quality
 
-QUERIES = {"op7_quality_rules": quality.op7_quality_rules}
-ORACLES = {"op7_quality_rules": quality.sql()}
+QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLES = {"op1_license_scan": licenses.sql(), "op7_quality_rules": quality.sql(), "op10_decontaminate": decontaminate.sql()}
