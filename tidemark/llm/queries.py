@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, licenses, quality
+from tidemark.llm import decontaminate, licenses, packing, quality, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_pack": packing.op4_pack,
     "op7_quality_rules": quality.op7_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
