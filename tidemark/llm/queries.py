@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, licenses, lines, packing, quality, simhash, token_files
+from tidemark.llm import decontaminate, language, licenses, lines, packing, quality, sharding, simhash, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_shard": sharding.op2_shard,
     "op3_token_files": token_files.op3_token_files,
     "op4_pack": packing.op4_pack,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_language": language.op6_language,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
