@@ -7,6 +7,8 @@ any other run of white space is encoded as a whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -21,7 +23,7 @@ _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 #: White space at an end or beside other white space, or the separator that the split uses.
 ODD = f"^{_WHITE}|{_WHITE}$|{_WHITE}{_WHITE}|\x1f"
 #: Pieces that the cache holds before it starts anew, and bytes of text encoded at a time.
-CACHE, CHUNK = 3_000_000, 8 << 20
+CACHE, CHUNK = 1_500_000, 4 << 20
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -30,6 +32,13 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
 
 
+def relax() -> None:
+    """Gives memory that is free again back to the system: workers are reused, and two share an executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Encoder:
     """keep_space: a piece after the first begins with its space."""
 
@@ -46,7 +55,7 @@ class Encoder:
     def clear(self) -> None:
         """The cache: 128-bit hashes of pieces, sorted by their first half, and the place of each piece's ids."""
         self.key, self.check, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.start, self.count = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def known(self, pieces: list[bytes]) -> np.ndarray:
         """Row of each piece in the cache, which learns those it lacks. Pieces may repeat."""
@@ -67,7 +76,7 @@ class Encoder:
             rows[new] = len(self.count) + np.arange(len(new))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count, dtype=np.int64) - count])
             self.count = np.concatenate([self.count, count])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(count.sum()))])
             keys = np.concatenate([self.key, key[new]])
             order = np.argsort(keys, kind="stable")
             self.key, self.check, self.row = keys[order], np.concatenate([self.check, check[new]])[order], np.concatenate([self.row, rows[new].astype(np.int32)])[order]
@@ -103,6 +112,7 @@ class Encoder:
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
             yield at, *self.encode(texts.slice(at, upto - at))
+            relax()
             at = upto
 
 

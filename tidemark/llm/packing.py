@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import saved, table
-from tidemark.llm.encode import encoder, ragged, strings
+from tidemark.llm.encode import encoder, ragged, relax, strings
 
 LENGTH, SPAN = 1024, 1024
 #: Sources are queues of a mixture: a bounded number, whose totals the driver holds.
@@ -108,7 +108,7 @@ def tokenized(docs: DataFrame, path: str, end: int, doc_id: str, text: str, sour
                 for k, name in enumerate(sources.dictionary.to_pylist()):
                     own = np.flatnonzero(sources.indices.to_numpy() == k)
                     took = ids[ragged(upto[own] - count[own], count[own])]
-                    blob = zip_.compress(took.astype("<u2" if enc.tokenizer.get_vocab_size() <= 65_536 else "<u4").tobytes())
+                    blob = zip_.compress(took.astype("<u2" if enc.flat.dtype == np.uint16 else "<u4").tobytes())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name], pa.string()), pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(took)], pa.int64()), pa.array([keys.take(pa.array(at + own)).to_pylist()], pa.list_(pa.int64())), pa.array([count[own].tolist()], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
                         names=["source", "part", "seq", "n_tokens", "doc_ids", "counts", "ids"],
@@ -169,8 +169,8 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, int] |
                 r["s"] = names.index(r["source"])
                 r["spans"] = spans_of(r["s"], r["start"], r["start"] + r["n_tokens"])
             need = sorted({b for r in rows for b in r["spans"]})
-            for k in range(0, len(need), 64):  # spans at a time
-                own = need[k : k + 64]
+            for k in range(0, len(need), 16):  # spans at a time
+                own = need[k : k + 16]
                 base = np.array([edge(b) for b in own], np.int64)
                 got = rounds(np.array([edge(b + 1) for b in own], np.int64) - base, length)
                 inner = np.cumsum(np.diff(got, axis=1), axis=2) - np.diff(got, axis=1)  # places of the sources before
@@ -197,6 +197,8 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, int] |
                         [pa.array(r["doc_ids"], pa.int64()).take(pa.array(doc)), pa.array([r["source"]], pa.string()).take(pa.array(np.zeros(len(cuts), np.int64))), pa.array(cuts - (ends[doc] - counts[doc])), pa.array(n), pa.array(crc, pa.int64()), pa.array(counts[doc]), pa.array(np.array(own, np.int64)[block] * SPAN + window), pa.array(offset)],
                         names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                     )
+            del rows
+            relax()
 
     return queued(runs).mapInArrow(run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
