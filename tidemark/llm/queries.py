@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, language, licenses, lines, packing, quality, sharding, simhash, token_files
+from tidemark.llm import decontaminate, katz, language, licenses, lines, packing, quality, sharding, simhash, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_language": language.op6_language,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_katz": katz.op8_katz,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
