@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +87,9 @@ def lists(signed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat = found.flatten().to_numpy(zero_copy_only=False)
+            flat, per = found.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(found).to_numpy(zero_copy_only=False)
             fit = np.flatnonzero(passing(likely.value, flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, BANDS)[fit]), pa.array(flat[fit])], names=["key", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, per)[fit]), pa.array(flat[fit])], names=["key", "band"])
 
     members = signed.where("bands IS NOT NULL").select("key", "bands").mapInArrow(run, "key long, band long")
     return saved(members.join(shared, "band").distinct(), "lists")

@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.llm import minhash
 from tidemark.llm.common import saved, table
 from tidemark.llm.components import components
 from tidemark.llm.encode import strings
@@ -33,13 +35,13 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 PAIRS = [(a, b) for a in range(4) for b in range(a)]
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """A bit is 1 if set in over half the shingles' hashes; signed 64 bits."""
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle in turn; of the whole sequence, where words are fewer; none without words."""
     from xxhash import xxh64_intdigest
 
     tokens = text.encode().translate(LOWER).split()  # bytes.split() splits at the contract's blanks
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -48,13 +50,21 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         starts, ends = starts[: 1 - words], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint, as signed 64 bits: a bit is 1 if set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), SLICE):
         ones += np.unpackbits(hashes[k : k + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    return folded(shingle_hashes(text, words))
+
+
 def fingerprinted(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
     """The columns of docs but the text, with ``fp``."""
     kept = docs.drop(text)
@@ -111,12 +121,55 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, words: int = 5) -> frozenset:
+    tokens = text.encode().translate(LOWER).split()
+    return frozenset(tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1)))
+
+
+def signed(rows: DataFrame, words: int = 5) -> DataFrame:
+    """rows with ``key``, the text's hash, and ``bands``: the 6 lists of its fingerprint and its MinHash bands."""
+    names, fields = rows.columns, rows.schema
+    place = names.index("text")
+    masks = [np.uint64((0xFFFF << (16 * a)) | (0xFFFF << (16 * b))) for a, b in PAIRS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            texts = strings(batch.column(place)).to_pylist()
+            hashes = [shingle_hashes(t, words) for t in texts]
+            fps = np.array([folded(h) for h in hashes], np.int64).view(np.uint64)
+            near = np.stack([minhash.mixed((fps & m) ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64) for k, m in enumerate(masks)], axis=1)
+            none = np.zeros(1, np.uint64)
+            some = [h if len(h) else none for h in hashes]
+            alike = minhash.bands(np.concatenate(some), np.fromiter(map(len, some), np.int64, len(some)))
+            both = np.concatenate([near, alike], axis=1)
+            keys = np.array([xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * both.shape[1]), pa.array(both.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), lists], names=[*names, "key", "bands"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+
+
+def bodies(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
+    likely = rows.sparkSession.sparkContext.broadcast(filter_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(minhash.passing(likely.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows.select("key", F.coalesce("text", F.lit("")).alias("body")).mapInArrow(run, "key long, body string")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the first by id (of rows that share it, one), with its own columns.
-
-    In this stage a shingle is five words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    rows = saved(fingerprinted(rows, 5), "simhash")
-    found = grouped(rows.select("row_no", "doc_id", "fp"))
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("x")).select(F.col("x.row_no").alias("first_no"))
-    return rows.join(first, F.col("row_no") == F.col("first_no"), "left_semi").select("row.*")
+    """One document of each component of near duplicates, the first by id (of rows that share it, one), with its own
+    columns. Near duplicates share 0.8 of their five-word shingles (Jaccard). At that similarity fingerprints differ
+    in some 10 of 64 bits and need not share a byte, so the index on byte positions alone would lose most of them:
+    candidates come from its lists and from MinHash bands, and all are verified by the exact coefficient."""
+    boxed = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row")), "rows")
+    rows = saved(signed(boxed.select("row_no", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))).select("row_no", "doc_id", "key", "bands", "text"), "simhash")
+    members = minhash.lists(rows.select("key", "bands"))
+    roots = components(minhash.links(members, lambda f: bodies(rows, f), shingle_set))
+    found = rows.select("row_no", "doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("row_no", "doc_id", F.coalesce("root", "key").alias("component"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("x")).select(F.col("x.row_no").alias("first_no"))
+    return boxed.join(first, F.col("row_no") == F.col("first_no"), "left_semi").select("row.*")
