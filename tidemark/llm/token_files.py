@@ -43,7 +43,7 @@ def trained(docs: DataFrame, path: str, end: int, doc_id: str, text: str) -> byt
     import zstandard
 
     share = min(1.0, 1.5 * SAMPLE_DOCS / max(1, docs.count()))  # only about as many rows as are needed leave their tasks
-    sampled = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(F.col("h") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    sampled = docs.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))))
     rows = sampled.where(F.length("t") <= SAMPLE_CHARS).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     if not rows:
         return b""
