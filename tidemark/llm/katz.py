@@ -9,7 +9,7 @@ context whose counts are all above that leaves no mass: its denominator grows by
 every context's probabilities over the vocabulary and the unknown word sum to exactly 1. The context of a text's
 first token is a start mark.
 
-Layout. Texts become *blocks*: some millions of tokens as ids into the block's sorted word hashes (64 bits; the
+Layout. Texts become *blocks*: some millions of tokens as ids into the block's word hashes, common words first (64 bits; the
 hash is the word). Counting is a round trip: a block sends its distinct words, or pairs, with training counts to
 the partitions of a count table, once each; a partition adds them up, stores its part of the table and answers
 every block in the order of what it sent. Contexts live in one partition each, but for those with over 1/4096 of
@@ -36,25 +36,28 @@ from tidemark.llm.common import saved, table
 from tidemark.llm.encode import relax, strings
 from tidemark.llm.minhash import mixed
 
-MOST_DISCOUNTED, BLOCK_TOKENS, PART_ENTRIES, CHUNK, HOT_SHARE = 5, 3_000_000, 2_000_000, 4 << 20, 4096
+MOST_DISCOUNTED, BLOCK_TOKENS, PART_ENTRIES, CHUNK, HOT_SHARE = 5, 1_500_000, 2_000_000, 4 << 20, 4096
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token; words hash to anything
 START = (1 << 40) - 1  # the id of the start mark; word ids are smaller
 
 
 def zipped(a: np.ndarray) -> bytes:
+    """The narrowest whole numbers that fit (or floats), their bytes by place: small values leave planes of zeros."""
     import zstandard
 
-    top = int(a.max()) if len(a) and a.dtype.kind in "iu" else 0
     if a.dtype.kind in "iu":
+        top = int(a.max()) if len(a) else 0
         a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-    return a.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+    return a.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unzipped(b: bytes, kind: type = np.int64) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4:]), np.dtype(b[:4].decode().strip()))
-    return raw.astype(kind)
+    dtype = np.dtype(b[:4].decode().strip())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4:]), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1).astype(kind)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -99,7 +102,11 @@ def blocked(docs: DataFrame, held: str) -> DataFrame:
 
         def made() -> pa.RecordBatch:
             nonlocal keys, hashes, counts, n, seq
-            vocabulary, local = np.unique(np.concatenate(hashes), return_inverse=True)
+            vocabulary, local, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # common words get small ids
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            vocabulary, local = vocabulary[order], rank[local]
             ids, flags = (pa.concat_arrays([k[i] for k in keys]) for i in (0, 1))
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | seq]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([flags.to_pylist()], pa.list_(pa.bool_())), pa.array([zipped(np.concatenate(counts))]), pa.array([vocabulary.tobytes()]), pa.array([zipped(local)]), pa.array([len(vocabulary)], pa.int64()), pa.array([n], pa.int64())],
@@ -141,6 +148,13 @@ def blocked(docs: DataFrame, held: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(held).alias("held"), F.col("text")).mapInArrow(run, schema)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One large row at a time."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+        relax()
+
+
 def histogram(counts: np.ndarray) -> list[int]:
     return np.bincount(counts[(counts > 0) & (counts <= MOST_DISCOUNTED + 1)], minlength=MOST_DISCOUNTED + 2).tolist()
 
@@ -202,12 +216,11 @@ def unigram_table(blocks: DataFrame, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 block = Block(row)
                 order, ends, counts = block.words(parts)
                 pieces = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([row["block"]] * parts, pa.int64()), pa.array([block.vocabulary[p].tobytes() for p in pieces]), pa.array([zipped(counts[p]) for p in pieces])], names=["part", "block", "words", "counts"])
-            relax()
 
     def add(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -244,7 +257,7 @@ def pair_table(blocks: DataFrame, uni: DataFrame, one: Unigrams, word_parts: int
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 block = Block(row)
                 block.answered(row["uni"], word_parts)
                 block.pairs(parts, hot)
@@ -256,7 +269,6 @@ def pair_table(blocks: DataFrame, uni: DataFrame, one: Unigrams, word_parts: int
                         [pa.array([part], pa.int64()), pa.array([row["block"]], pa.int64()), *(pa.array([zipped(x)]) for x in (block.ids1[block.u1[own][starts]], lengths, block.ids[block.u2[own]], counts[own], block.c1[block.u2[own]], np.append(block.c1 > hot, True)[block.u1[own][starts]].astype(np.uint8)))],
                         names=["part", "block", "ids1", "lengths", "ids2", "counts", "c1", "spread"],
                     )
-            relax()
 
     def add(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -316,7 +328,7 @@ def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 block = Block(row)
                 block.answered(row["uni"], word_parts)
                 block.pairs(parts, hot)
@@ -343,7 +355,6 @@ def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(block.count), pa.array(add((block.c1 > 0).astype(np.int64)[block.tokens])), pa.array(np.full(len(block.count), one.n, np.int64)), pa.array(add(base[block.tokens])), pa.array(add(np.log10(p)[block.place]))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
-            relax()
 
     joined = asked(blocks, ("uni", uni.where("block >= 0").select("block", "part", "ids", "counts")), ("pairs", table_.where("block >= 0").select("block", "part", "counts", "totals", "kinds", "seen")))
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
