@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,21 +35,63 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that the running pipeline stage has saved, and those of stages before whose rows are written by now.
+_open: list[str] | None = None
+_over: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to a table in the shared folder and read back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if _open is not None:
+        _open.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tops_of(df: DataFrame) -> set[str]:
+    return {f[: f.rindex("/")].rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by saved(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    tops = {f[: f.rindex("/")] for f in df.inputFiles()}
-    for top in tops:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for top in {f[: f.rindex("/")] for f in df.inputFiles()}:
+        deleted(df.sparkSession, top)
+
+
+def dropped_but(spark: SparkSession, *kept: DataFrame) -> None:
+    """In a pipeline stage: deletes what it has saved so far, but for the tables that kept read."""
+    if _open is not None:
+        names = set().union(*map(tops_of, kept))
+        for path in [p for p in _open if p.rsplit("/", 1)[-1] not in names]:
+            deleted(spark, path)
+            _open.remove(path)
+
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage. Its rows are read once, when they are written for the next stage; so when that begins, the
+    tables that stood behind them go, unless its own input reads them still."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _open
+        names = tops_of(docs)
+        for path in [p for p in _over if p.rsplit("/", 1)[-1] not in names]:
+            deleted(spark, path)
+            _over.remove(path)
+        _open = []
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _over.extend(_open)
+            _open = None
+
+    return run
 
 
 def ascii_lower(text: Column) -> Column:

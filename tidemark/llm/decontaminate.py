@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, saved, table
+from tidemark.llm.common import ascii_lower, dropped_but, saved, staged, table
 
 SPAN, K = 10, 5
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,9 +85,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+@staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of the benchmark's windows, with their own columns."""
     bad = hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("text_hash").alias("bad_hash")).distinct()
+    bad = saved(bad, "contaminated")
+    dropped_but(spark, bad)
     boxed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     return boxed.join(bad, F.col("row_hash") == F.col("bad_hash"), "left_anti").select("row.*")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import saved, staged, table
 from tidemark.llm.encode import encoder, ragged, relax, strings
 
 LENGTH, SPAN = 1024, 1024
@@ -207,5 +207,6 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, saved, table, words_of
+from tidemark.llm.common import fresh, saved, staged, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Least quartile distance of each feature, in thousandths: characters a word, symbols a word, repeated lines
@@ -125,6 +125,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_verdict(saved(measured(docs).drop("text"), "quality")).select("doc_id", *BASE, "base_failed", "kept")
 
 
+@staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their own columns."""
     boxed = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
