@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import dropped_but, saved, staged, table
 from tidemark.llm.components import components
 
 CHARS, CHUNK = 8, 4 << 20
@@ -34,8 +34,8 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1)))
 
 
-def line_bands(lines: list[str]) -> np.ndarray:
-    """Bands of normalised, non-empty lines."""
+def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all lines in turn, shingles of each line) of normalised, non-empty lines."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     padded = np.concatenate([codes, np.zeros(CHARS, np.uint64)])
@@ -54,7 +54,7 @@ def line_bands(lines: list[str]) -> np.ndarray:
         rolled[starts[i]] = h
     ends_of = np.cumsum(count)
     at = np.arange(int(ends_of[-1])) + np.repeat(starts - (ends_of - count), count)
-    return minhash.bands(rolled[at], count)
+    return rolled[at], count
 
 
 def signed_lines(rows: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def signed_lines(rows: DataFrame) -> DataFrame:
             keys = np.array([p[3] for p in part], np.uint64).view(np.int64)
             _, first = np.unique(keys, return_index=True)
             first.sort()
-            found = line_bands([part[i][4] for i in first])
+            found = minhash.bands(*line_hashes([part[i][4] for i in first]))
             offsets = np.zeros(len(part) + 1, np.int32)
             offsets[first + 1] = minhash.BANDS
             mask = np.ones(len(part), bool)
@@ -112,7 +112,7 @@ def classed(rows: DataFrame) -> DataFrame:
     """(row_no, doc_id, line_no, component, kept) of every non-blank line of rows (row_no, doc_id, text)."""
     signed = saved(signed_lines(rows), "lines")
     members = minhash.lists(signed.select("key", "bands"))
-    edges = minhash.links(members, lambda f: line_bodies(rows.select("text"), f), shingles)
+    edges = minhash.links(members, lambda f: line_bodies(rows.select("text"), f), shingles, line_hashes)
     roots = components(edges)
     lines = signed.select("row_no", "doc_id", "line_no", "key").join(roots, F.col("key") == F.col("node"), "left")
     lines = saved(lines.select("row_no", "doc_id", "line_no", F.coalesce("root", "key").alias("component")), "classes")
@@ -124,11 +124,14 @@ def classed(rows: DataFrame) -> DataFrame:
 
 def rewritten(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the lines that do not stay cut from their texts."""
-    boxed = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "line-rows")
-    gone = classed(boxed.select("row_no", "doc_id", "text")).where("NOT kept").groupBy("row_no").agg(F.collect_set("line_no").alias("gone"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    out = boxed.drop("doc_id").join(gone, "row_no", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-    return out.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    boxed = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row")), "line-rows")
+    rows = boxed.select("row_no", F.col("row")[doc_id].cast("long").alias("doc_id"), F.col("row")[text].alias("text"))
+    gone = saved(classed(rows).where("NOT kept").groupBy("row_no").agg(F.collect_set("line_no").alias("gone")), "lines-to-cut")
+    dropped_but(docs.sparkSession, boxed, gone)
+    body = F.col("row")[text]
+    left = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    out = boxed.join(gone, "row_no", "left").withColumn("body", F.when(F.col("gone").isNull(), body).otherwise(left))
+    return out.select(*[F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +139,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classed(rows).drop("row_no")
 
 
+@staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rewritten(docs)

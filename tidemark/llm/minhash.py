@@ -2,9 +2,9 @@
 
 Banding: 13 bands of 5 rows; two items of Jaccard 0.8 share a band with probability 0.994, of 0.9 with 0.99999.
 A band shared by different items makes a list. Its smallest item is the pivot: every other member is verified
-against it, and only members that fail are verified against the rest of the list; members that pass are connected
-through the pivot already. So a list of m near copies costs m verifications, and no verified link between two
-members that the pivot does not connect is lost.
+against it, and only members that fail are verified against the rest of the list, in long lists as a query set by
+blocks; members that pass are connected through the pivot already. So a list of m near copies costs m verifications,
+and no verified link between two members that the pivot does not connect is lost.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import saved
 
 BANDS, ROWS, SIMILARITY = 13, 5, 0.8
+#: A list longer than LONG compares its failing members with the others by blocks of BLOCK.
+LONG, BLOCK = 64, 1024
 #: Bits of the filters that spare shuffling rows which surely match nothing; the joins after them are exact.
 FILTER_BITS = 24
 _rng = np.random.default_rng(20_240_501)
 _ODD = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)).astype(np.uint32)
-_ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,11 +49,10 @@ def bands(hashes: np.ndarray, count: np.ndarray, block: int = 1 << 17) -> np.nda
         upto = max(at + 1, int(np.searchsorted(ends, first + block, "right")))
         low = mixed(hashes[first : int(ends[upto - 1])]).astype(np.uint32)
         starts = ends[at:upto] - count[at:upto] - first
+        y = np.empty_like(low)
         for k in range(BANDS * ROWS):
-            y = low * _ODD[k]
-            y ^= y >> np.uint32(15)
-            y *= _ADD[k] | np.uint32(1)
-            least[k, at:upto] = np.minimum.reduceat(y, starts)
+            np.multiply(low, _ODD[k], out=y)
+            np.minimum.reduceat(y, starts, out=least[k, at:upto])
         at = upto
     out = np.empty((len(count), BANDS), np.int64)
     for b in range(BANDS):
@@ -79,9 +79,12 @@ def passing(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def lists(signed: DataFrame) -> DataFrame:
-    """(band, key, pivot) of the bands shared by different keys. signed: (key long, bands array<long> or null)."""
+    """(band, key, pivot) of the bands shared by different keys. signed: (key long, bands array<long> or null).
+
+    A list's pivot is the member with the longest lists in all: the original of a group of edited copies is in
+    nearly every list of the group, and nearer to each copy than the copies are to each other."""
     posted = signed.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
-    shared = saved(posted.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("top")).where("pivot < top").select("band", "pivot"), "shared-bands")
+    shared = saved(posted.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low < top").select("band"), "shared-bands")
     likely = signed.sparkSession.sparkContext.broadcast(bitset(shared, "band"))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +95,16 @@ def lists(signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, per)[fit]), pa.array(flat[fit])], names=["key", "band"])
 
     members = signed.where("bands IS NOT NULL").select("key", "bands").mapInArrow(run, "key long, band long")
-    return saved(members.join(shared, "band").distinct(), "lists")
+    members = saved(members.join(shared, "band").distinct(), "members")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.join(sizes, "band").groupBy("key").agg(F.sum("n").alias("weight"))
+    pivots = members.join(weights, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("x")).select("band", F.col("x.key").alias("pivot"))
+    return saved(members.join(pivots, "band"), "lists")
 
 
-def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingles: Callable[[str], frozenset], similarity: float = SIMILARITY) -> DataFrame:
-    """Verified edges (u, v). bodies(filter): (key, body) of at least the keys that pass the filter."""
+def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingles: Callable[[str], frozenset], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> DataFrame:
+    """Verified edges (u, v). bodies(filter): (key, body) of at least the keys that pass the filter; shingles: the set
+    of a body; hashes: the 64-bit hashes of the shingles of many bodies, one after another, and how many each has."""
     keys = members.select("key").distinct()
     wanted = saved(keys, "wanted")
     texts = saved(bodies(bitset(wanted, "key")).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body")), "bodies")
@@ -120,8 +128,67 @@ def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingle
         return pairs.join(first, F.col("u") == F.col("k1")).join(second, F.col("v") == F.col("k2")).withColumn("near", near("b1", "b2")).drop("k1", "k2", "b1", "b2")
 
     tested = saved(verified(members.where("key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")).distinct()), "tested")
-    failed = tested.where("NOT near").select("u", F.col("v").alias("f"))
-    odd = members.join(failed, (F.col("key") == F.col("u")) & (F.col("pivot") == F.col("f"))).select("band", "u")
-    rest = odd.join(members.where("key <> pivot").select("band", F.col("key").alias("v")), "band").where("u <> v")
-    rest = rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return saved(tested.where("near").select("u", "v").union(verified(rest).where("near").select("u", "v")), "links")
+    far = members.join(tested.where("NOT near").select(F.col("u").alias("f1"), F.col("v").alias("f2")), (F.col("key") == F.col("f1")) & (F.col("pivot") == F.col("f2"))).drop("f1", "f2")
+    far = saved(far, "far")
+    # lists that have members which fail, with their lengths
+    left = far.groupBy("band").agg(F.count(F.lit(1)).alias("n_far"))
+    sizes = members.join(left, "band", "left_semi").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    odd = far.join(sizes, "band")
+    short = odd.where((F.col("n") > 2) & (F.col("n") <= LONG)).select("band", F.col("key").alias("o"))
+    rest = short.join(members.where("key <> pivot").select("band", F.col("key").alias("m")), "band").where("o <> m")
+    rest = rest.select(F.greatest("o", "m").alias("u"), F.least("o", "m").alias("v")).distinct()
+    near = saved(tested.where("near").select("u", "v").union(verified(rest).where("near").select("u", "v")), "near")
+    queries = odd.where(F.col("n") > LONG).select("pivot", "key").distinct()
+    lists_ = members.join(sizes.where(F.col("n") > LONG), "band", "left_semi").where("key <> pivot").select("pivot", "key").distinct()
+    return near.union(against(lists_, saved(queries, "queries"), texts, hashes, similarity))
+
+
+def against(lists_: DataFrame, queries: DataFrame, texts: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], similarity: float) -> DataFrame:
+    """Edges between queries (pivot, key) and the members (pivot, key) of their pivot's lists, by blocks of at most
+    about ``BLOCK`` queries and members: intersections of a block are one matrix product over the shingles that
+    occur in it more than once. A query gets one edge to the members that the pivot connects, and one to each
+    component of the others; so a block gives no more edges than rows."""
+    n = lists_.groupBy("pivot").agg(F.count(F.lit(1)).alias("n_m")).join(queries.groupBy("pivot").agg(F.count(F.lit(1)).alias("n_q")), "pivot")
+    n = n.select("pivot", F.ceil(F.col("n_m") / BLOCK).alias("m_blocks"), F.ceil(F.col("n_q") / BLOCK).alias("q_blocks"))
+    own = lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    flags = lists_.join(queries.withColumn("far", F.lit(True)), ["pivot", "key"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
+    m = flags.join(n, "pivot").select("pivot", "key", "far", F.lit(False).alias("asks"), own("m_blocks").alias("mb"), every("q_blocks").alias("qb"))
+    q = queries.join(n, "pivot").select("pivot", "key", F.lit(True).alias("far"), F.lit(True).alias("asks"), every("m_blocks").alias("mb"), own("q_blocks").alias("qb"))
+    rows = m.unionByName(q).join(texts, "key").select("pivot", "qb", "mb", "asks", "far", "key", "body")
+
+    def block(group: pa.Table) -> pa.Table:
+        keys, asks, far = (group.column(c).to_numpy() for c in ("key", "asks", "far"))
+        flat, count = hashes(group.column("body").to_pylist())
+        pairs = np.unique(np.stack([flat, np.repeat(np.arange(len(count)), count).astype(np.uint64)], axis=1), axis=0)
+        size = np.bincount(pairs[:, 1].astype(np.int64), minlength=len(count))
+        _, column, often = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+        use = often[column] > 1
+        owner, column = pairs[use, 1].astype(np.int64), np.unique(column[use], return_inverse=True)[1]
+        asking, there = np.flatnonzero(asks), np.flatnonzero(~asks)
+        spot = np.empty(len(count), np.int64)
+        spot[asking], spot[there] = np.arange(len(asking)), np.arange(len(there))
+        both = np.zeros((len(asking), len(there)), np.float32)
+        for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):  # shingles at a time
+            now = (column >= at) & (column < at + 4096)
+            a, b = np.zeros((len(asking), 4096), np.float32), np.zeros((len(there), 4096), np.float32)
+            mine = now & asks[owner]
+            a[spot[owner[mine]], column[mine] - at] = 1
+            mine = now & ~asks[owner]
+            b[spot[owner[mine]], column[mine] - at] = 1
+            both += a @ b.T
+        linked = (both >= similarity * (size[asking][:, None] + size[there][None, :] - both)) & (keys[asking][:, None] != keys[there][None, :])
+        root = np.where(far[there], np.arange(len(there)), len(there))  # those that the pivot connects are one
+        us, vs = [], []
+        for i in range(len(asking)):
+            found = np.flatnonzero(linked[i])
+            roots, first = np.unique(root[found], return_index=True)
+            for j in found[first]:
+                us.append(keys[asking[i]])
+                vs.append(keys[there[j]])
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[-1]
+        u, v = np.array(us, np.int64), np.array(vs, np.int64)
+        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    return rows.groupBy("pivot", "qb", "mb").applyInArrow(block, "u long, v long")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import minhash
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import dropped_but, saved, staged, table
 from tidemark.llm.components import components
 from tidemark.llm.encode import strings
 
@@ -126,10 +126,17 @@ def shingle_set(text: str, words: int = 5) -> frozenset:
     return frozenset(tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1)))
 
 
+def text_hashes(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts in turn, shingles of each); a wordless text has one."""
+    found = [h if len(h) else np.zeros(1, np.uint64) for h in (shingle_hashes(t, words) for t in texts)]
+    return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+
 def signed(rows: DataFrame, words: int = 5) -> DataFrame:
-    """rows with ``key``, the text's hash, and ``bands``: the 6 lists of its fingerprint and its MinHash bands."""
-    names, fields = rows.columns, rows.schema
-    place = names.index("text")
+    """rows with ``key``, the text's hash, and ``bands``, the 6 lists of its fingerprint and its MinHash bands, in
+    place of ``text``."""
+    place = rows.columns.index("text")
+    names, fields = [c for c in rows.columns if c != "text"], [f for f in rows.schema if f.name != "text"]
     masks = [np.uint64((0xFFFF << (16 * a)) | (0xFFFF << (16 * b))) for a, b in PAIRS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +153,7 @@ def signed(rows: DataFrame, words: int = 5) -> DataFrame:
             both = np.concatenate([near, alike], axis=1)
             keys = np.array([xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * both.shape[1]), pa.array(both.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), lists], names=[*names, "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(keys), lists], names=[*names, "key", "bands"])
 
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
@@ -161,15 +168,18 @@ def bodies(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
     return rows.select("key", F.coalesce("text", F.lit("")).alias("body")).mapInArrow(run, "key long, body string")
 
 
+@staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the first by id (of rows that share it, one), with its own
     columns. Near duplicates share 0.8 of their five-word shingles (Jaccard). At that similarity fingerprints differ
     in some 10 of 64 bits and need not share a byte, so the index on byte positions alone would lose most of them:
     candidates come from its lists and from MinHash bands, and all are verified by the exact coefficient."""
-    boxed = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row")), "rows")
-    rows = saved(signed(boxed.select("row_no", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))).select("row_no", "doc_id", "key", "bands", "text"), "simhash")
+    boxed = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = saved(signed(boxed), "simhash")
     members = minhash.lists(rows.select("key", "bands"))
-    roots = components(minhash.links(members, lambda f: bodies(rows, f), shingle_set))
+    roots = components(minhash.links(members, lambda f: bodies(rows.select("key", F.col("row.text").alias("text")), f), shingle_set, text_hashes))
     found = rows.select("row_no", "doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("row_no", "doc_id", F.coalesce("root", "key").alias("component"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("x")).select(F.col("x.row_no").alias("first_no"))
-    return boxed.join(first, F.col("row_no") == F.col("first_no"), "left_semi").select("row.*")
+    first = saved(first, "firsts")
+    dropped_but(spark, rows, first)
+    return rows.join(first, F.col("row_no") == F.col("first_no"), "left_semi").select("row.*")
