@@ -1,7 +1,7 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under capacity quotas.
 
 Documents start spread evenly, counts at most one apart. In each round every link group (documents that share a
-key) elects the shard that most of its members are in, and members elsewhere ask to move there. Requests between
+key) elects, of its members' shards that have room, the one that most are in, and members elsewhere ask to move there. Requests between
 two shards in both directions are exchanges; beyond these a shard admits as many as it can make room for by moving
 documents without links out, which fill the places that were left. So every round keeps each shard's count, and
 cuts fewer links. A group larger than half a shard is first dealt into blocks of about that size by a hash of the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import dropped, numbered, saved, table
 
@@ -48,15 +49,18 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     free = saved(nodes.select("id").join(tied.select("id").distinct(), "id", "left_anti"), "free")
     state = saved(spread(nodes, shards, pieces), "labels")
     for _ in range(rounds):
+        loose = free.join(state, "id")
+        room = {r.label: r.n for r in loose.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         votes = tied.join(state, "id").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        elected = votes.groupBy("key").agg(F.max(F.struct("n", F.xxhash64("key", "label").alias("h"), "label")).alias("won"))
+        # a shard that can't make room for the members elsewhere is elected only if none of the group's can
+        space = F.element_at(F.create_map(*[x for s in range(shards) for x in (F.lit(s), F.lit(room.get(s, 0)))]), F.col("label"))
+        fits = space >= F.sum("n").over(Window.partitionBy("key")) - F.col("n")
+        elected = votes.withColumn("fits", fits).groupBy("key").agg(F.max(F.struct("fits", "n", F.xxhash64("key", "label").alias("h"), "label")).alias("won"))
         asks = tied.join(elected, "key").groupBy("id").agg(F.max("won").alias("won")).select("id", F.col("won.label").alias("to"), F.col("won.h").alias("h"))
         asks = saved(asks.join(state, "id").where("to <> label").select("id", "to", "h", (F.col("label") * shards + F.col("to")).alias("pair")), "asks")
         wanted = {r.pair: r.n for r in asks.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards at most
         if not wanted:
             break
-        loose = free.join(state, "id")
-        room = {r.label: r.n for r in loose.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         quota, change = {}, [0] * shards
         for pair, asked in sorted(wanted.items()):
             a, b = divmod(pair, shards)
