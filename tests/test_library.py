@@ -330,3 +330,61 @@ def test_folders(spark):
     df = spark.createDataFrame([("a/b/x.md",), ("a/y.md",), ("z.md",)], "path string")
     assert {r.folder: r.files for r in A.folders(df).collect()} == {"": 3, "a": 2, "a/b": 1}
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_line_diff_by_hand():
+    from tidemark.operators.linediff import differences
+
+    got = differences("a\nb\nc\nd", "a\nx\nc\ne\nd")
+    assert [(k, c) for k, c, _ in got] == [("context", "a"), ("removed", "b"), ("added", "x"), ("context", "c"), ("added", "e"), ("context", "d")]
+    assert [k for k, _, _ in differences("a", "b")] == ["removed", "added"]
+
+
+def test_display(spark):
+    from tidemark.functions import display as D
+
+    df = spark.createDataFrame([("ann <lee>",), ("bo",), ("()",)], "n string")
+    assert [r.i for r in df.select(D.initials(F.col("n")).alias("i")).collect()] == ["AL", "BO", "?"]
+    want = 0
+    for c in "bo":
+        want = (want * 31 + ord(c)) & 0x7FFFFFFF
+    assert df.where("n = 'bo'").select(D.palette_index(F.col("n")).alias("p")).first().p == want % 10
+    assert spark.range(1).select(D.source_label(F.lit("caldav")).alias("x")).first().x == "CalDAV Tasks"
+
+
+def test_reembed(spark):
+    store, _ = ingest(Store.new(spark).register_adapters(adapters(spark)), item(spark, [("a", "notes", "red apples", None)]), T1, "old")
+    done, n = vector.reembedded(store, "new")
+    assert n.first()[0] == 1 and done.vectors.count() == 1 and vector.reembedded(done, "new")[1].first()[0] == 0
+
+
+def test_remote_source(spark, monkeypatch):
+    import http.server
+    import threading
+
+    from tidemark.sources import remote
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        tries = 0
+
+        def do_POST(self):  # noqa: N802
+            Answer.tries += 1
+            self.rfile.read(int(self.headers["Content-Length"]))
+            body = json.dumps({"normalized_contents": [{"source_id": "a", "markdown": "x"}]}).encode()
+            self.send_response(503 if Answer.tries == 1 else 200)
+            self.send_header("Content-Length", "0" if Answer.tries == 1 else str(len(body)))
+            self.end_headers()
+            if Answer.tries > 1:
+                self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    remote.register(spark)
+    rows = spark.read.format("remote_items").option("url", f"http://127.0.0.1:{server.server_port}").load().collect()
+    server.shutdown()
+    assert [(r.source_id, r.markdown) for r in rows] == [("a", "x")] and Answer.tries >= 2
+    with pytest.raises(ValueError):
+        remote.checked([{"source_id": "", "markdown": "x"}])

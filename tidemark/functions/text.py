@@ -19,6 +19,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_EDGE}|{_EDGE}\z", "")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends, line feeds too (trim() takes blanks alone)."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def content_hash(text: Column) -> Column:
     """The identity of a chunk or document: SHA-256 of its normalised text. Headers are never part of it."""
     return F.sha2(normalised(text), 256)
@@ -48,7 +53,7 @@ def lines(text: Column) -> Column:
 def without_quotes(text: Column) -> Column:
     """A message's own words: lines that quote ('>') and lines that introduce a quote go."""
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.ltrim(x).startswith(">") & ~F.trim(x).rlike(r"^On .+ wrote:$"))
-    return F.trim(F.array_join(kept, "\n"))
+    return stripped(F.array_join(kept, "\n"))
 
 
 def normalised_email(text: Column) -> Column:

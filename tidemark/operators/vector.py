@@ -133,3 +133,11 @@ def rerank(hits: DataFrame, logit: Column, top_k_: int | None = None) -> DataFra
         raise ValueError("top_k must be positive")
     out = hits.withColumn("score", scores.sigmoid(logit)).orderBy(F.desc("score"), "chunk_hash")
     return out if top_k_ is None else out.limit(top_k_)
+
+
+def reembedded(store: Store, model: str, encode: Callable[[pd.Series], pd.Series] | None = None) -> tuple[Store, DataFrame]:
+    """Embeds anew the active chunks of another model, in one job; what is done is not stale when it runs again.
+    Returns also the count."""
+    stale = store.active_chunks().where(F.col("embedding_model_id") != model)
+    done = store.put_vectors(embedded(stale, encode)).set_embedding_model(stale, model)
+    return done, stale.agg(F.count(F.lit(1)).alias("chunks_reembedded"))

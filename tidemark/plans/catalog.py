@@ -162,3 +162,38 @@ def dead_letters(store: Store, limit: int = 100) -> DataFrame:
 def with_total(df: DataFrame) -> DataFrame:
     """Rows with the number of all rows beside each page row."""
     return df.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+
+
+def adapter(store: Store, adapter_id: str) -> DataFrame:
+    return store.adapters.where(F.col("adapter_id") == adapter_id)
+
+
+def has_active_chunks(store: Store) -> DataFrame:
+    """(source_id, active): whether a source has a chunk that is not retired, of any version."""
+    live = store.live_chunks().groupBy("source_id").agg(F.lit(True).alias("active"))
+    return store.sources.select("source_id").join(live, "source_id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+
+
+def is_retired(store: Store) -> DataFrame:
+    """(chunk_hash, retired): whether every row of a hash is retired."""
+    return store.chunks.groupBy("chunk_hash").agg(F.every(F.col("retired_at").isNotNull()).alias("retired"))
+
+
+def sync_log(store: Store, limit: int = 100, offset: int = 0) -> DataFrame:
+    return page(store.sync_log, [F.desc_nulls_last("synced_at"), F.col("chunk_hash"), F.col("operation")], limit, offset)
+
+
+def last_page(df: DataFrame, order: list[Column], size: int, pages_back: int = 0) -> DataFrame:
+    """The last page of an order, or one before it, in the order itself."""
+    rank = F.row_number().over(Window.partitionBy().orderBy(*order))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    rows = df.withColumns({"_k": rank, "_n": n})
+    return rows.where((F.col("_k") > F.col("_n") - size * (pages_back + 1)) & (F.col("_k") <= F.col("_n") - size * pages_back)).orderBy("_k").drop("_k", "_n")
+
+
+def table_bytes(store: Store) -> int:
+    """Bytes of the files behind the store."""
+    spark = store.chunks.sparkSession
+    files = {f for name in ("adapters", "sources", "versions", "chunks", "entity_links", "sync_log", "dead_letters", "vectors") for f in getattr(store, name).inputFiles()}
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)

@@ -698,3 +698,44 @@ def note_chunks(s, d):
     """Documents as notes: markdown blocks, joined and split to the token limits."""
     rows = table(s, d, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("source_id"), F.lit("notes").alias("domain"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("extra_metadata"))
     return chunking.chunked(rows)
+
+
+# Display
+
+
+@query(r"""
+    SELECT doc_id, upper(lang[1:1] || replace(source, 'src', '')[1:1]) AS initials, 'Corpus' AS adapter, 'file' || doc_id AS name FROM documents""")
+def display_names(s, d):
+    from tidemark.functions import display as D
+
+    rows = table(s, d, "documents")
+    person = F.concat(F.col("lang"), F.lit(" (middle) "), F.replace("source", F.lit("src"), F.lit("")))
+    return rows.select("doc_id", D.initials(person).alias("initials"), D.adapter_label(F.concat(F.lit("corpus:"), "source")).alias("adapter"), D.conversation_name(F.lit(None).cast("string"), F.concat(F.lit("chat: file"), "doc_id")).alias("name"))
+
+
+@query("SELECT source_id, bool_or(c.chunk_hash IS NOT NULL) AS active FROM src s LEFT JOIN (SELECT * FROM chk WHERE retired_at IS NULL) c USING (source_id) GROUP BY 1", base=True)
+def has_active_chunks(s, d):
+    return C.has_active_chunks(corpus_store(s, d))
+
+
+@query("SELECT chunk_hash, bool_and(retired_at IS NOT NULL) AS retired FROM chk GROUP BY 1", base=True)
+def chunk_retired(s, d):
+    return C.is_retired(corpus_store(s, d))
+
+
+@query("SELECT turn, text FROM (SELECT turn, text, row_number() OVER (ORDER BY turn DESC) AS k FROM conversations WHERE conv_id = 0) WHERE k BETWEEN 4 AND 6")
+def last_page(s, d):
+    """The page before the last of a conversation."""
+    return C.last_page(table(s, d, "conversations").where("conv_id = 0"), [F.col("turn")], 3, 1).select("turn", "text")
+
+
+@query("SELECT source_id, count(*) AS removed FROM (SELECT source_id FROM ver WHERE version = 2) GROUP BY 1", base=True)
+def line_diff(s, d):
+    """Lines that second versions of documents of up to 500 lines removed."""
+    from tidemark.operators.linediff import line_diff as diff
+
+    v = corpus_store(s, d).versions
+    old = v.where("version = 1").select("source_id", F.col("markdown").alias("a"))
+    new = v.where("version = 2").select("source_id", F.col("markdown").alias("b"))
+    rows = old.join(new, "source_id").select("source_id", F.explode(diff(F.col("a"), F.col("b"))).alias("x"))
+    return rows.where("x.kind = 'removed'").groupBy("source_id").agg(F.count(F.lit(1)).alias("removed"))

@@ -69,7 +69,7 @@ def join_text(*parts: Column) -> Column:
 
 def files(spark: SparkSession, folder: str, adapter_id: str = "files:local", pattern: str = "*.md") -> Both:
     """Markdown files below a folder; the id is the path inside it."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
     inner = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
     meta = metadata(document_id=inner, title=X.file_name(inner), document_type=F.lit("text/markdown"), source_type=F.lit("filesystem"), file_size_bytes=F.col("size"), modified_at=F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -113,7 +113,7 @@ def inline_fields(body: Column) -> Column:
 
 def vault(spark: SparkSession, folder: str, adapter_id: str = "vault:local") -> Both:
     """A vault of linked notes: front matter, inline fields, links out and links back."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     inner = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
     rows = rows.select(F.col("value").alias("raw"), inner.alias("path")).withColumns({"front": F.regexp_extract("raw", FRONT, 1), "body": F.regexp_replace("raw", FRONT, "")})
     rows = rows.withColumns({"name": F.regexp_replace(X.file_name(F.col("path")), r"\.md$", ""), "wikilinks": X.wikilinks(F.col("body"))})
@@ -141,7 +141,7 @@ def vault_tasks(spark: SparkSession, folder: str, adapter_id: str = "vault-tasks
     """Checkbox lines of a vault; on a board, the lane's heading gives an open box its state. The text is the title."""
     from pyspark.sql.window import Window
 
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     inner = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
     lines = rows.select(inner.alias("path"), F.col("value").rlike(r"(?m)^kanban-plugin:").alias("board"), F.posexplode(F.split("value", "\n")).alias("i", "raw"))
     lane = F.last(F.when(F.col("raw").rlike(r"^#{2,3}\s"), F.lower(F.trim(F.regexp_replace("raw", r"^#{2,3}\s+", "")))), True).over(Window.partitionBy("path").orderBy("i"))
@@ -186,7 +186,7 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", "")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
+    return X.stripped(F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
 def mail(spark: SparkSession, path: str, account: str = "main") -> Both:
@@ -230,7 +230,7 @@ def ical_time(value: Column) -> Column:
 
 def ical(spark: SparkSession, folder: str, adapter_id: str = "caldav:local", changed_after: str | None = None) -> Both:
     """VEVENTs of .ics files. changed_after drops those with an older LAST-MODIFIED; one that can't be read stays."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.ics").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.ics").text(folder, wholetext=True)
     ev = rows.select(F.explode(F.regexp_extract_all(unfolded(F.col("value")), F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), 1)).alias("raw"))
     b = F.col("raw")
     start, end = ical_time(prop(b, "DTSTART")), ical_time(prop(b, "DTEND"))
