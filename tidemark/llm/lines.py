@@ -24,37 +24,60 @@ from tidemark.llm.common import dropped_but, saved, staged, table
 from tidemark.llm.components import components
 
 CHARS, CHUNK = 8, 4 << 20
+_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def normalised(line: str) -> str:
-    return " ".join(line.split()).lower()
+    return " ".join(line.lower().split())
 
 
 def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1)))
 
 
+def plain_lines(text: str) -> list[str]:
+    """The normalised lines of a text, blank ones as ''."""
+    low = text.lower()
+    if low.isascii() and "  " not in low and not any(c in low for c in _BLANKS):
+        return [x.strip(" ") for x in low.split("\n")]
+    return [" ".join(x.split()) for x in low.split("\n")]
+
+
+def codes(line: str) -> np.ndarray | None:
+    """The shingles of a line of one-byte characters, each its 8 bytes as a number: sorted, distinct and exact."""
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return np.unique(np.ndarray(len(raw) - CHARS + 1, "<u8", raw, strides=(1,))) if len(raw) >= CHARS == 8 else None
+
+
 def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the shingles of all lines in turn, shingles of each line) of normalised, non-empty lines."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    padded = np.concatenate([codes, np.zeros(CHARS, np.uint64)])
-    # a line shorter than a shingle is hashed over what it has: the characters beyond its end count as zero
-    rolled = np.zeros(len(codes), np.uint64)
-    ends = np.cumsum(size)
-    short = size < CHARS
-    for j in range(CHARS):
-        rolled = rolled * np.uint64(0x100000001B3) + padded[j : j + len(codes)]
-    count = np.maximum(size - CHARS + 1, 1)
+    codes_ = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, ends = len(codes_), np.cumsum(size)
     starts = ends - size
-    for i in np.flatnonzero(short):
+    count = np.maximum(size - CHARS + 1, 1)
+    rolled, m = np.empty(n, np.uint64), 0x100000001B3
+    powers = [np.uint64(pow(m, 1 << j, 1 << 64)) for j in range(3)]
+    for at in range(0, n, 1 << 14):  # a cache's worth at a time; spans of 2, 4 and 8 characters by doubling
+        h = np.zeros(min(1 << 14, n - at) + CHARS - 1, np.uint64)
+        piece = codes_[at : at + len(h)]
+        h[: len(piece)] = piece
+        for j, p in enumerate(powers):
+            h = h[: -(1 << j)] * p + h[1 << j :]
+        rolled[at : at + len(h)] = h
+    for i in np.flatnonzero(size < CHARS):  # a short line is hashed over what it has, then zeros
         h = 0
-        for c in codes[starts[i] : ends[i]].tolist() + [0] * int(CHARS - size[i]):
-            h = (h * 0x100000001B3 + c) & 0xFFFFFFFFFFFFFFFF
+        for c in codes_[starts[i] : ends[i]].tolist() + [0] * int(CHARS - size[i]):
+            h = (h * m + c) & 0xFFFFFFFFFFFFFFFF
         rolled[starts[i]] = h
-    ends_of = np.cumsum(count)
-    at = np.arange(int(ends_of[-1])) + np.repeat(starts - (ends_of - count), count)
-    return rolled[at], count
+    whole = np.ones(n, bool)  # a shingle that would cross the end of its line is none
+    for j in range(1, CHARS):
+        over = ends - j
+        whole[over[over > starts]] = False
+    return rolled[whole], count
 
 
 def signed_lines(rows: DataFrame) -> DataFrame:
@@ -79,8 +102,8 @@ def signed_lines(rows: DataFrame) -> DataFrame:
         for batch in batches:
             part, size = [], 0
             for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, line in enumerate((text or "").split("\n")):
-                    if plain := normalised(line):
+                for k, plain in enumerate(plain_lines(text or "")):
+                    if plain:
                         part.append((row, doc, k, xxh64_intdigest(plain.encode(), 42), plain))
                         size += len(plain)
                 if size > CHUNK:
@@ -100,7 +123,7 @@ def line_bodies(texts: DataFrame, filter_: np.ndarray) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            plain = list({p for text in batch.column(0).to_pylist() for line in (text or "").split("\n") if (p := normalised(line))})
+            plain = list({p for text in batch.column(0).to_pylist() for p in plain_lines(text or "") if p})
             keys = np.array([xxh64_intdigest(p.encode(), 42) for p in plain], np.uint64).view(np.int64)
             fit = np.flatnonzero(minhash.passing(likely.value, keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys[fit], pa.int64()), pa.array([plain[i] for i in fit], pa.string())], names=["key", "body"])
@@ -112,12 +135,13 @@ def classed(rows: DataFrame) -> DataFrame:
     """(row_no, doc_id, line_no, component, kept) of every non-blank line of rows (row_no, doc_id, text)."""
     signed = saved(signed_lines(rows), "lines")
     members = minhash.lists(signed.select("key", "bands"))
-    edges = minhash.links(members, lambda f: line_bodies(rows.select("text"), f), shingles, line_hashes)
+    edges = minhash.links(members, lambda f: line_bodies(rows.select("text"), f), shingles, line_hashes, codes)
     roots = components(edges)
     lines = signed.select("row_no", "doc_id", "line_no", "key").join(roots, F.col("key") == F.col("node"), "left")
     lines = saved(lines.select("row_no", "doc_id", "line_no", F.coalesce("root", "key").alias("component")), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "line_no")
-    first = lines.groupBy("component").agg(F.min(order).alias("first")).select(F.col("component").alias("c"), "first")
+    # as a table of its own it doesn't bind the join to the aggregation's partitions: a frequent line can be split
+    first = saved(lines.groupBy("component").agg(F.min(order).alias("first")).select(F.col("component").alias("c"), "first"), "first-lines")
     joined = lines.join(first, F.col("component") == F.col("c"))
     return joined.select("row_no", "doc_id", "line_no", "component", ((F.col("row_no") == F.col("first.row_no")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
 

@@ -23,7 +23,7 @@ from tidemark.llm.common import saved
 
 BANDS, ROWS, SIMILARITY = 13, 5, 0.8
 #: A list longer than LONG compares its failing members with the others by blocks of BLOCK.
-LONG, BLOCK = 64, 1024
+LONG, BLOCK = 32, 1024
 #: Bits of the filters that spare shuffling rows which surely match nothing; the joins after them are exact.
 FILTER_BITS = 24
 _rng = np.random.default_rng(20_240_501)
@@ -39,7 +39,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def bands(hashes: np.ndarray, count: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+def bands(hashes: np.ndarray, count: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """[items, BANDS] signed 64-bit band keys; hashes: the items' shingle hashes one after another, count > 0 each."""
     ends = np.cumsum(count)
     least = np.empty((BANDS * ROWS, len(count)), np.uint32)
@@ -102,9 +102,10 @@ def lists(signed: DataFrame) -> DataFrame:
     return saved(members.join(pivots, "band"), "lists")
 
 
-def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingles: Callable[[str], frozenset], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> DataFrame:
+def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingles: Callable[[str], frozenset], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], codes: Callable[[str], np.ndarray | None] = lambda _: None, similarity: float = SIMILARITY) -> DataFrame:
     """Verified edges (u, v). bodies(filter): (key, body) of at least the keys that pass the filter; shingles: the set
-    of a body; hashes: the 64-bit hashes of the shingles of many bodies, one after another, and how many each has."""
+    of a body; hashes: the 64-bit hashes of the shingles of many bodies, one after another, and how many each has;
+    codes: the set as sorted numbers that stand for shingles one to one, where there are such."""
     keys = members.select("key").distinct()
     wanted = saved(keys, "wanted")
     texts = saved(bodies(bitset(wanted, "key")).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body")), "bodies")
@@ -114,11 +115,16 @@ def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingle
 
         @F.pandas_udf("boolean")
         def near(a: pd.Series, b: pd.Series) -> pd.Series:
-            sets = lru_cache(4096)(shingles)
+            sets, numbers = lru_cache(1024)(shingles), lru_cache(1024)(codes)
 
             def one(x: str, y: str) -> bool:
-                s, t = sets(x), sets(y)
-                both = len(s & t)
+                s, t = numbers(x), numbers(y)
+                if s is None or t is None:
+                    s, t = sets(x), sets(y)
+                    both = len(s & t)
+                else:
+                    s, t = (s, t) if len(s) <= len(t) else (t, s)
+                    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
                 return both >= similarity * (len(s) + len(t) - both)
 
             return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
