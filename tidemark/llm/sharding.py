@@ -55,7 +55,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         # a shard that can't make room for the members elsewhere is elected only if none of the group's can
         space = F.element_at(F.create_map(*[x for s in range(shards) for x in (F.lit(s), F.lit(room.get(s, 0)))]), F.col("label"))
         fits = space >= F.sum("n").over(Window.partitionBy("key")) - F.col("n")
-        elected = votes.withColumn("fits", fits).groupBy("key").agg(F.max(F.struct("fits", "n", F.xxhash64("key", "label").alias("h"), "label")).alias("won"))
+        # as a table of its own it doesn't bind the next join to these partitions: a large group can be split
+        elected = saved(votes.withColumn("fits", fits).groupBy("key").agg(F.max(F.struct("fits", "n", F.xxhash64("key", "label").alias("h"), "label")).alias("won")), "elected")
         asks = tied.join(elected, "key").groupBy("id").agg(F.max("won").alias("won")).select("id", F.col("won.label").alias("to"), F.col("won.h").alias("h"))
         asks = saved(asks.join(state, "id").where("to <> label").select("id", "to", "h", (F.col("label") * shards + F.col("to")).alias("pair")), "asks")
         wanted = {r.pair: r.n for r in asks.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards at most
@@ -90,6 +91,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         after = saved(state.join(moves, "id", "left").select("id", F.coalesce("new", "label").cast("int").alias("label")), "labels")
         dropped(state)
         dropped(asks)
+        dropped(elected)
         state = after
     return state
 
