@@ -288,10 +288,10 @@ def location(m: dict) -> str:
 
 #: Fields that a domain's metadata keeps where unknown fields are dropped.
 KNOWN = {
-    "messages": ("thread_id", "message_id", "sender", "recipients", "timestamp", "in_reply_to", "subject", "is_thread_root"),
+    "messages": ("thread_id", "message_id", "sender", "recipients", "timestamp", "in_reply_to", "subject", "is_thread_root", "is_from_me"),
     "tasks": ("task_id", "title", "status", "due_date", "priority", "dependencies", "collaborators", "date_first_observed", "source_type"),
-    "documents": ("document_id", "title", "document_type", "source_type", "author", "created_at", "modified_at", "file_size_bytes", "tags"),
-    "people": ("contact_id", "display_name", "given_name", "family_name", "emails", "phones", "organization", "job_title", "notes", "extended_fields"),
+    "documents": ("document_id", "title", "document_type", "source_type", "date_first_observed", "created_at", "modified_at", "file_size_bytes", "author", "tags", "directory_hierarchy", "album", "genre", "play_count", "duration_minutes", "video_id", "channel", "channel_id", "url", "published_at"),
+    "people": ("contact_id", "display_name", "given_name", "family_name", "emails", "phones", "organization", "job_title", "notes", "source_type", "extended_fields"),
 }
 #: domain: (header, unknown fields kept, nulls kept)
 DOMAINS: dict[str, tuple[Callable[[dict], str], bool, bool]] = {
