@@ -64,10 +64,16 @@ def dropped(df: DataFrame) -> None:
         deleted(df.sparkSession, top)
 
 
-def dropped_but(spark: SparkSession, *kept: DataFrame) -> None:
-    """In a pipeline stage: deletes what it has saved so far, but for the tables that kept read."""
+def registered(path: str) -> None:
+    """In a pipeline stage: a table that was written without saved() goes with the others."""
     if _open is not None:
-        names = set().union(*map(tops_of, kept))
+        _open.append(path)
+
+
+def dropped_but(spark: SparkSession, *kept: DataFrame, at: str = "") -> None:
+    """In a pipeline stage: deletes what it has saved so far, but for the tables that kept read and the one at ``at``."""
+    if _open is not None:
+        names = set().union(*map(tops_of, kept), {at.rsplit("/", 1)[-1]})
         for path in [p for p in _open if p.rsplit("/", 1)[-1] not in names]:
             deleted(spark, path)
             _open.remove(path)

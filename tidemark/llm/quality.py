@@ -111,7 +111,8 @@ def thresholds(sketches: DataFrame, reach: int = REACH, min_group: int = MIN_GRO
 
 def with_verdict(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """measured() rows with kept. They are read twice, by the sketches and by the joined filter: pass a table."""
-    fences = thresholds(sketch(features, lang, source)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    # a table, whose size Spark knows: small fences are broadcast, and the texts beside the features stay in place
+    fences = saved(thresholds(sketch(features, lang, source)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "fences")
     inside = " AND ".join(f"({f} BETWEEN lo_{f[2:]} AND hi_{f[2:]})" for f in LEAST)
     return (
         features.join(fences, features[lang].eqNullSafe(fences["t_lang"]) & features[source].eqNullSafe(fences["t_source"]), "left")

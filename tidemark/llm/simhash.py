@@ -179,7 +179,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = minhash.lists(rows.select("key", "bands"))
     roots = components(minhash.links(members, lambda f: bodies(rows.select("key", F.col("row.text").alias("text")), f), shingle_set, text_hashes))
     found = rows.select("row_no", "doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("row_no", "doc_id", F.coalesce("root", "key").alias("component"))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("x")).select(F.col("x.row_no").alias("first_no"))
-    first = saved(first, "firsts")
-    dropped_but(spark, rows, first)
-    return rows.join(first, F.col("row_no") == F.col("first_no"), "left_semi").select("row.*")
+    first = saved(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("x")).select(F.col("x.row_no").alias("first_no")), "firsts")
+    gone = saved(rows.select("row_no").join(first, F.col("row_no") == F.col("first_no"), "left_anti").withColumnRenamed("row_no", "gone_no"), "gone")
+    dropped_but(spark, rows, gone)
+    return rows.join(gone, F.col("row_no") == F.col("gone_no"), "left_anti").select("row.*")
