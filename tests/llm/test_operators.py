@@ -362,6 +362,16 @@ def test_licenses_odd(odd, none):
     assert licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("d", [SF, "/root/testdata/sf0.01"])
+def test_rights_lines(spark, d):
+    """Every licence or rights line of the tables is reported."""
+    known = r"(?i)^(all rights reserved\.|(this work is )?licensed under .*|released under the mit license\.)$"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").distinct()
+    want = {(r.doc_id, r.unit_no) for r in docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit_no", "body")).where(F.col("body").rlike(known)).collect()}
+    got = {(r.doc_id, r.unit_no): r.license for r in licenses.scan(docs).where("unit = 'line'").collect()}
+    assert want and want <= got.keys() and "Reserved/short" in got.values()
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.createDataFrame([("b", "Same TEXT here-for all"), ("c", None), ("d", ""), (None, "word"), ("e", "b c d e f g h a b c d")], "item_id string, text string")
     rows = [r for r in decontaminate.hits(odd, bench).collect()]
