@@ -4,6 +4,7 @@ clashing columns."""
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -372,6 +373,44 @@ def test_rights_lines(spark, d):
     assert want and want <= got.keys() and "Reserved/short" in got.values()
 
 
+def runs_by_hand(text):
+    """(first, last, license) of the runs of blocks that have rows, by comparing all runs with all templates."""
+    blocks, close = re.split(r"\n[ \t-\r]*\n", text), {}
+    pairs = lambda s: {(a, b) for w in [[x for x in re.split("[^a-z0-9]+", s.lower()) if x]] for a, b in zip(w, w[1:])}
+    known = {name: pairs(body) for name, body in licenses.TEMPLATES.items()}
+    for i in range(len(blocks)):
+        for j in range(i, len(blocks)):
+            unit = pairs("\n\n".join(blocks[i : j + 1]))
+            score, name = min((-len(unit & t) / (len(unit) + len(t)), name) for name, t in known.items())
+            if unit and score <= -0.4:
+                close[i, j, name] = score
+    first = {min((k for k in close if k[::2] == (i, name)), key=lambda k: (close[k], k[1])) for i, _, name in close}
+    best = {min((k for k in first if k[1:] == (j, name)), key=lambda k: (close[k], -k[0])) for _, j, name in first}
+    return {k for k in best if k[0] < k[1]}
+
+
+def test_license_in_paragraphs(spark):
+    """Licenses in their usual layout, alone, within other text, twice, and next to each other."""
+    cut = lambda t, *starts: re.sub("|".join(f" (?={re.escape(s)})" for s in starts), "\n\n", t)
+    texts = licenses.TEMPLATES
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + cut(MIT, "The above", "THE SOFTWARE IS")
+    apache = cut(texts["Apache-2.0"], "Unless required", "you may not")
+    gpl = cut(texts["GPL-3.0"], "This program is distributed", "You should have")
+    rest = "Some words before.\n\nAnd of the rest\nof the file.\n \t\nmore"
+    rows = [mit, apache, gpl, f"{rest}\n\n{mit}\n\n{rest}", f"{mit}\n\n{rest}\n\n{mit}", f"{mit}\r\n\r\n{apache}\n\n{gpl}", rest, "Released under\n\nthe MIT License.", texts["BSD-3-Clause"], texts["BSD-2-Clause"], texts["Unlicense"], texts["LGPL-3.0"]]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(rows)] * 2, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.unit_no, r.license) for r in licenses.scan(docs).where("unit = 'run'").collect())
+    want = {(None if i == 3 else i, first, name) for i, t in enumerate(rows) for first, _, name in runs_by_hand(t)}
+    assert set(got) == want and set(got.values()) == {1}
+    assert {(0, "MIT"), (1, "Apache-2.0"), (2, "GPL-3.0"), (None, "MIT"), (5, "MIT"), (5, "Apache-2.0"), (5, "GPL-3.0"), (8, "BSD-3-Clause"), (9, "BSD-2-Clause"), (10, "Unlicense"), (11, "LGPL-3.0")} <= {(i, name) for i, _, name in want} and 6 not in {i for i, _, _ in want}
+
+
+def test_full_licenses(spark):
+    full = sorted(k for k in licenses.TEMPLATES if k.endswith("/full"))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame([(i, licenses.TEMPLATES[k]) for i, k in enumerate(full)], "doc_id long, text string")).where("unit = 'run' AND n_shared = n_template").collect()}
+    assert got == {*enumerate(full), (full.index("Apache-2.0/full"), "Apache-2.0"), (full.index("GPL-3.0/full"), "GPL-3.0")}  # both end with their notice
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.createDataFrame([("b", "Same TEXT here-for all"), ("c", None), ("d", ""), (None, "word"), ("e", "b c d e f g h a b c d")], "item_id string, text string")
     rows = [r for r in decontaminate.hits(odd, bench).collect()]

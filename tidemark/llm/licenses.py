@@ -1,12 +1,15 @@
 """License scan: text units compared with license templates by the Dice coefficient over word bigrams.
 
-Units are the lines of a document and its blocks, the runs of two or more lines between blank lines; so a text
-without blank lines is also compared as a whole. Normalised words are lower-case runs of letters and digits.
+Units are the lines of a document, its blocks (two or more lines between blank lines), and its runs of two or more
+neighbouring blocks, up to the whole text. Normalised words are lower-case runs of letters and digits.
 With a and b distinct bigrams, Dice = 2 * shared / (a + b) >= t needs b * t / (2 - t) <= a <= b * (2 - t) / t: a unit
 outside these bounds of every template makes no row, and a (unit, template) pair outside them is dropped in the
-join on bigrams.
+join on bigrams. Runs are built only for a document and a template where the document has the t / (2 - t) of the
+template's bigrams that every run needs.
 
-Defined results: one row for each unit that reaches the threshold, with its best template (ties: the smaller name);
+Defined results: one row for each line or block that reaches the threshold, with its best template (ties: the smaller
+name). Runs that reach it overlap, so of those with one best template a run makes a row, numbered by its first block,
+if it is the best from its first block and the best of these to its last block, single blocks included (ties: shorter);
 null, empty and one-word texts have no bigrams and no rows; rows equal in id and text are reported once.
 """
 
@@ -16,14 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import table
+from tidemark.llm.common import saved, table
+from tidemark.llm.license_texts import TEXTS
 
+#: Between blocks: at least one blank line.
+GAP = r"\n[\x20\x09-\x0D]*\n"
 #: Percent.
 THRESHOLD = 80
 #: Templates with more bigrams than this in all are joined by shuffle and not broadcast.
 BROADCAST_BIGRAMS = 100_000
-#: Notices as projects print them, and short licenses in full.
+#: Notices as projects print them, and licenses in full.
 TEMPLATES = {
+    **TEXTS,
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
     "MIT/line": "Released under the MIT License.",
     "MIT/project": "This project is licensed under the MIT License.",
@@ -69,11 +76,49 @@ def merged(bounds: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, unit, unit_no, body): lines and blocks of two lines or more."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("line"), F.split(text, r"\n[\x20\x09-\x0D]*\n").alias("block"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("line"), F.split(text, GAP).alias("block"))
     parts = [keyed.select("doc_id", "text_hash", F.lit(kind).alias("unit"), F.posexplode_outer(kind).alias("unit_no", "body")) for kind in ("line", "block")]
     return parts[0].union(parts[1].where("instr(trim(BOTH '\\n' FROM body), '\\n') > 0"))
 
 
+def runs(docs: DataFrame, listed: DataFrame, threshold: int) -> DataFrame:
+    """The rows of runs of blocks, from keyed documents (doc_id, text_hash, text) and listed bigrams.
+
+    A pair of neighbouring words stands in the blocks ``b`` and ``at`` (the same, or neighbours), and so in the runs from
+    first to last with first <= b and at <= last. With ``lo`` the greatest b of the same bigram's pairs before it, it is
+    the bigram's first pair in a run if lo < first <= b: counts of these by block add up to the run's distinct bigrams.
+    """
+    key, need = ["doc_id", "text_hash"], threshold / (200 - threshold)
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    words = F.flatten(F.transform(F.split("text", GAP), lambda body, i: F.transform(normal_words(body), lambda w: F.struct(w.alias("w"), i.alias("b")))))
+    pairs = F.transform(F.array(words), lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.concat(w[i]["w"], F.lit(" "), w[i + 1]["w"]).alias("bigram"), w[i]["b"].alias("b"), w[i + 1]["b"].alias("at")))))[0]
+    seen = docs.where(F.col("text").rlike(GAP)).select(*key, F.explode_outer(pairs).alias("x")).select(*key, "x.*")
+    chosen = saved(
+        seen.join(listed, "bigram").groupBy(*key, "license", "n_template").agg(F.size(F.collect_set("bigram")).alias("n"))
+        .where(f"n * {200 - threshold} >= n_template * {threshold}").drop("n"), "chosen",
+    )
+    some = seen.alias("s").join(chosen.select(*key).distinct().alias("c"), same("s", "c"), "left_semi").distinct()
+    before = Window.partitionBy(*key, "bigram").orderBy("at", F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = some.withColumn("lo", F.coalesce(F.max("b").over(before), F.lit(-1))).where("lo < b")
+    # bigrams new to the document bound a run's count from below, so that starts meet only blocks within reach
+    new = placed.groupBy(*key, "at").agg(F.sum((F.col("lo") == -1).cast("long")).alias("new"))
+    upto = saved(new.withColumn("upto", F.sum("new").over(Window.partitionBy(*key).orderBy("at"))).drop("new"), "upto")
+    placed = saved(placed.alias("p").join(upto.alias("u"), same("p", "u") & (F.col("p.at") == F.col("u.at"))).select("p.*", "u.upto"), "placed")
+    # the best run begins in a block that shares a bigram
+    in_both = some.join(listed, "bigram").alias("s").join(chosen.alias("c"), same("s", "c") & (F.col("s.license") == F.col("c.license"))).select("s.*")
+    firsts = in_both.select(*key, "license", "n_template", F.col("b").alias("first")).distinct()
+    firsts = firsts.alias("f").join(upto.alias("u"), same("f", "u") & (F.col("f.first") == F.col("u.at")), "left").select("f.*", F.coalesce("u.upto", F.lit(0)).alias("base"))
+    met = placed.alias("p").join(firsts.alias("f"), same("p", "f") & F.expr(f"lo < first AND first <= b AND upto - base <= n_template / {need}")).select("p.*", "f.license", "f.n_template", "f.first")
+    met = met.join(listed.select("license", "bigram", F.lit(1).alias("hit")), ["license", "bigram"], "left")
+    counts = met.groupBy(*key, "license", "n_template", "first", "at").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    grown = Window.partitionBy(*key, "license", "first").orderBy("at")
+    close = counts.select(*key, "license", "n_template", "first", "at", F.sum("n").over(grown).alias("n_unit"), F.sum("hits").over(grown).alias("n_shared")).where(f"200 * n_shared >= {threshold} * (n_unit + n_template)")
+    dice = F.expr("n_shared / (n_unit + n_template)").desc()
+    for by, order in ((["first", "at"], "license"), (["license", "first"], "at"), (["license", "at"], F.desc("first"))):
+        close = close.withColumn("rank", F.row_number().over(Window.partitionBy(*key, *by).orderBy(dice, order))).where("rank = 1").drop("rank")
+    return close.where("first < at").select("doc_id", F.lit("run").alias("unit"), F.col("first").alias("unit_no"), "license", F.col("n_unit").cast("int"), "n_template", F.col("n_shared").cast("int"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, unit, unit_no, license, n_unit, n_template, n_shared) of the units that reach the threshold."""
     spark = docs.sparkSession
@@ -92,7 +137,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int
         .where(f"200 * n_shared >= {threshold} * (n_unit + n_template)")
     )
     best = Window.partitionBy("doc_id", "text_hash", "unit", "unit_no").orderBy(F.expr("n_shared / (n_unit + n_template)").desc(), "license")
-    return shared.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "unit", "unit_no", "license", "n_unit", "n_template", "n_shared")
+    single = shared.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "unit", "unit_no", "license", "n_unit", "n_template", "n_shared")
+    return single.union(runs(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), listed, threshold))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
