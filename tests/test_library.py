@@ -190,6 +190,13 @@ def test_retrieve(spark):
     assert vector.retrieve(gone, "blue whales", 2).isEmpty()
 
 
+def test_neighbours_in_blocks(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("embedding", "vector")
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.col("vector").alias("query_vector"))
+    whole, parts = ({(r.query, r.vec_id, r.score) for r in vector.neighbours(v, q, 3, "vec_id", most=most).collect()} for most in (10_000, 20))
+    assert len(whole) == 3 * q.count() and parts == whole
+
+
 def test_bucketed_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("embedding", "vector")
     hit = total = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,17 +36,28 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "chunk
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_hash", most: int = 10_000) -> DataFrame:
-    """(query, key, score): the k nearest of each of a stated set of queries (query, query_vector). The set is held
-    by every task, so its size is checked."""
-    n = queries.count()
+    """(query, key, score): the k nearest of each of a stated set of queries (query, query_vector), with ids that differ.
+    Every task holds the queries it compares, so a larger set is searched in blocks of at most ``most``."""
+    n, blocks = queries.count(), 1
     if n > most:
-        raise ValueError(f"{n} queries; search in sets of at most {most}")
+        block = lambda m: F.pmod(F.xxhash64("query"), F.lit(m))
+        blocks = -(-n // most)
+        while (largest := queries.groupBy(block(blocks).alias("block")).count().agg(F.max("count")).first()[0]) > most:
+            if blocks > 4 * n:
+                raise ValueError(f"{largest} queries have one id")
+            blocks += max(1, blocks // 8)
+        queries = queries.withColumn("block", block(blocks))
+    parts = [queries] if blocks == 1 else [queries.where(F.col("block") == i).drop("block") for i in range(blocks)]
     score = scores.search_score(scores.cosine(F.col("vector"), F.col("query_vector")))
-    pairs = vectors.select(key, "vector").join(F.broadcast(queries)).select("query", F.struct(score.alias("score"), F.col(key).alias("id")).alias("x"))
     best = F.slice(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)), 1, k)
-    # k best of each slice of the corpus first, so that a query's list is bounded by slices times k
-    slices = pairs.groupBy("query", F.pmod(F.xxhash64("x.id"), F.lit(64)).alias("part")).agg(best.alias("xs")).select("query", F.explode("xs").alias("x"))
-    return slices.groupBy("query").agg(best.alias("xs")).select("query", F.explode("xs").alias("x")).select("query", F.col("x.id").alias(key), F.col("x.score").alias("score"))
+
+    def nearest(part: DataFrame) -> DataFrame:
+        pairs = vectors.select(key, "vector").join(F.broadcast(part)).select("query", F.struct(score.alias("score"), F.col(key).alias("id")).alias("x"))
+        # k best of each slice of the corpus first, so that a query's list is bounded by slices times k
+        slices = pairs.groupBy("query", F.pmod(F.xxhash64("x.id"), F.lit(64)).alias("part")).agg(best.alias("xs")).select("query", F.explode("xs").alias("x"))
+        return slices.groupBy("query").agg(best.alias("xs")).select("query", F.explode("xs").alias("x")).select("query", F.col("x.id").alias(key), F.col("x.score").alias("score"))
+
+    return reduce(DataFrame.union, map(nearest, parts))
 
 
 class Planes:
