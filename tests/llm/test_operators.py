@@ -496,6 +496,17 @@ def test_language_held_out(spark):
     assert (got.lang == got.true_lang).mean() >= 0.97
 
 
+def test_language_rare(spark, monkeypatch):
+    """Languages with one long text, with few rows and with one id, beside many rows without a label."""
+    monkeypatch.setattr(language, "TRAIN_ROWS", 40)
+    rows = [(i, f"the word and number {i} of this", "en" if i % 100 == 0 else None) for i in range(20_000)]
+    rows += [(-1, "zag zog zug " * 3000, "xx"), (-2, "kel kol kul", "yy"), *[(None, f"mip map mop {i}", "zz") for i in range(400)], *[(-3, None, "aa")]]
+    names, model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == ["aa", "en", "xx", "yy", "zz"] and model.shape == (language.CELLS, 5)
+    for name, text in {"en": "the word of this", "xx": "zag zog zug", "yy": "kel kol kul", "zz": "mip map mop"}.items():
+        assert names[model[language.cells(text)].sum(0).argmax()] == name
+
+
 def test_language_odd(odd, none):
     n = F.lit(None).cast("string")
     rows = odd.select("doc_id", "text", n.alias("declared"), n.alias("suffix"), F.col("source").alias("host"), n.alias("domain"))

@@ -5,8 +5,9 @@ the address's suffix, and a prior from the host. Priors are smoothed down a hier
 corpus, from the text's soft decisions summed by grouped aggregation over all rows; a row's own decision is taken
 out of its host's sums. How far declarations and suffixes can be trusted is counted the same way.
 
-The trigram model is fitted on at most ``TRAIN_ROWS`` labelled documents, in the order of their ids' hashes; all
-else covers all rows. Defined results: a null, empty or very short text has little or no likelihood and is decided
+Every language that a row is labelled with is a candidate. The trigram model is fitted on an equal part of
+``TRAIN_ROWS`` for each (``LEAST_ROWS`` at least), in the order of the ids' hashes, with the first ``TRAIN_CHARS``
+characters of a text; all else covers all rows. Defined results: a null, empty or very short text has little or no likelihood and is decided
 by the other evidence, or by the corpus's prior; missing declarations, suffixes and hosts say nothing; ties go to
 the first language by name; repeated rows are decided one by one; without labelled rows every language is null.
 """
@@ -19,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import saved, table
 from tidemark.llm.encode import strings
 
 TRAIN_ROWS, TRAIN_CHARS, CELLS, SLICE = 4_000, 20_000, 1 << 16, 1 << 20
+#: A language's part of the training rows, where there are many languages.
+LEAST_ROWS = 50
 #: Neighbouring trigrams are not independent: their log-likelihoods count by this part.
 TEMPER = 0.25
 #: Rows that a parent's prior counts as, and the smoothing of declarations and suffixes.
@@ -39,13 +43,21 @@ def cells(text: str) -> np.ndarray:
 
 def fitted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [CELLS, languages]) from labelled (doc_id, text, lang)."""
-    share = min(1.0, 1.5 * TRAIN_ROWS / max(1, labelled.count()))
-    some = labelled.select(F.xxhash64("doc_id").alias("h"), "text", "lang").where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))))
-    rows = some.where((F.length("text") <= TRAIN_CHARS) & F.col("lang").isNotNull()).orderBy("h", "text").limit(TRAIN_ROWS).collect()
-    names = sorted({r.lang for r in rows})
+    known = labelled.where("lang IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
+    count = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not count:
+        return [], np.zeros((CELLS, 0), np.float32)
+    most = max(LEAST_ROWS, TRAIN_ROWS // len(count))
+    cut = {name: min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 1.5 * most / n) * (1 << 64))) for name, n in count.items()}
+    some = known.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for item in cut.items() for x in item]), F.col("lang")))
+    rows = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= most).collect()
+    lost = sorted(count.keys() - {r.lang for r in rows})  # ids that repeat can all lie behind the cut
+    if lost:
+        rows += known.where(F.col("lang").isin(lost)).groupBy("lang").agg(F.min(F.struct("h", "text")).alias("x")).select("lang", "x.text").collect()
+    names = sorted(count)
     counts = np.full((CELLS, len(names)), 0.5)
     for r in rows:
-        counts[:, names.index(r.lang)] += np.bincount(cells(r.text), minlength=CELLS)
+        counts[:, names.index(r.lang)] += np.bincount(cells(r.text or ""), minlength=CELLS)
     return names, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
