@@ -204,6 +204,17 @@ def test_sharding_hot_group(spark):
     assert split <= 2
 
 
+@pytest.mark.parametrize("part", [0.6, 0.75, 0.9])
+def test_sharding_group_below_a_shard(spark, part):
+    """A group of more than half a shard stays whole where other documents can make room."""
+    n, size = 1600, int(100 * part)
+    nodes = saved(spark.range(n).toDF("id"), "nodes")
+    links = nodes.where(f"id < {size}").select("id", F.lit(-1).cast("long").alias("key"))
+    got = {r.id: r.label for r in sharding.propagate(nodes, links).collect()}
+    assert set(collections.Counter(got.values()).values()) == {100}
+    assert len({got[i] for i in range(size)}) == 1
+
+
 def test_sharding_odd(spark, odd, none, tmp_path):
     for df, n in ((odd, len(ODD)), (none, 0)):
         df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")

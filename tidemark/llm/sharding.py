@@ -4,7 +4,7 @@ Documents start spread evenly, counts at most one apart. In each round every lin
 key) elects, of its members' shards that have room, the one that most are in, and members elsewhere ask to move there. Requests between
 two shards in both directions are exchanges; beyond these a shard admits as many as it can make room for by moving
 documents without links out, which fill the places that were left. So every round keeps each shard's count, and
-cuts fewer links. A group larger than half a shard is first dealt into blocks of about that size by a hash of the
+cuts fewer links. A group larger than a shard is first dealt into blocks of about half a shard by a hash of the
 document, as it can't be in one shard anyway.
 
 Only sums by (group, shard) and tables of shards x shards counts are gathered; ranks are counted in pieces. Defined
@@ -43,8 +43,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     n = nodes.count()
     pieces = max(1, n // PIECE_ROWS)
     sizes = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    block = F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(2.0 * shards / max(1, n)))))
-    # a group's members beyond its largest block's size can't meet, so the block is part of the key
+    block = F.when(F.col("n") <= -(-n // shards), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.ceil(F.col("n") * F.lit(2.0 * shards / max(1, n)))))
+    # a group larger than a shard can't meet as a whole, so the block is part of the key
     tied = saved(links.join(sizes, "key").select("id", F.xxhash64("key", block).alias("key")), "tied")
     free = saved(nodes.select("id").join(tied.select("id").distinct(), "id", "left_anti"), "free")
     state = saved(spread(nodes, shards, pieces), "labels")
