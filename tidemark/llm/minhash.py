@@ -155,7 +155,8 @@ def against(lists_: DataFrame, queries: DataFrame, texts: DataFrame, hashes: Cal
     occur in it more than once. A query gets one edge to the members that the pivot connects, and one to each
     component of the others; so a block gives no more edges than rows."""
     n = lists_.groupBy("pivot").agg(F.count(F.lit(1)).alias("n_m")).join(queries.groupBy("pivot").agg(F.count(F.lit(1)).alias("n_q")), "pivot")
-    n = n.select("pivot", F.ceil(F.col("n_m") / BLOCK).alias("m_blocks"), F.ceil(F.col("n_q") / BLOCK).alias("q_blocks"))
+    # as a table of its own it doesn't bind the joins to the aggregation's partitions: a large pivot can be split
+    n = saved(n.select("pivot", F.ceil(F.col("n_m") / BLOCK).alias("m_blocks"), F.ceil(F.col("n_q") / BLOCK).alias("q_blocks")), "blocks")
     own = lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     flags = lists_.join(queries.withColumn("far", F.lit(True)), ["pivot", "key"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
