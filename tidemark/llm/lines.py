@@ -24,7 +24,8 @@ from tidemark.llm.common import dropped_but, registered, saved, scratch, staged,
 from tidemark.llm.components import components
 
 CHARS, CHUNK = 8, 4 << 20
-_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: White space other than single blanks and line feeds, as str.split() knows it.
+_BLANKS = ["  ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
 
 def normalised(line: str) -> str:
@@ -38,7 +39,7 @@ def shingles(line: str) -> frozenset[str]:
 def plain_lines(text: str) -> list[str]:
     """The normalised lines of a text, blank ones as ''."""
     low = text.lower()
-    if low.isascii() and "  " not in low and not any(c in low for c in _BLANKS):
+    if not any(c in low for c in _BLANKS):
         return [x.strip(" ") for x in low.split("\n")]
     return [" ".join(x.split()) for x in low.split("\n")]
 
@@ -49,40 +50,44 @@ def codes(line: str) -> np.ndarray | None:
         raw = line.encode("latin-1")
     except UnicodeEncodeError:
         return None
-    return np.unique(np.ndarray(len(raw) - CHARS + 1, "<u8", raw, strides=(1,))) if len(raw) >= CHARS == 8 else None
+    if len(raw) < CHARS:
+        return None
+    out = np.sort(np.ndarray(len(raw) - CHARS + 1, "<u8", raw, strides=(1,)))
+    new = out[1:] != out[:-1]
+    return out if new.all() else out[np.append(True, new)]
 
 
 def line_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the shingles of all lines in turn, shingles of each line) of normalised, non-empty lines."""
+    """(hashes of the shingles of all lines in turn, shingles of each line) of normalised lines of CHARS characters
+    or more. Eight one-byte characters are their own hash; others are hashed to 64 bits."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes_ = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n, ends = len(codes_), np.cumsum(size)
-    starts = ends - size
-    count = np.maximum(size - CHARS + 1, 1)
-    rolled, m = np.empty(n, np.uint64), 0x100000001B3
-    powers = [np.uint64(pow(m, 1 << j, 1 << 64)) for j in range(3)]
-    for at in range(0, n, 1 << 14):  # a cache's worth at a time; spans of 2, 4 and 8 characters by doubling
-        h = np.zeros(min(1 << 14, n - at) + CHARS - 1, np.uint64)
-        piece = codes_[at : at + len(h)]
-        h[: len(piece)] = piece
-        for j, p in enumerate(powers):
-            h = h[: -(1 << j)] * p + h[1 << j :]
-        rolled[at : at + len(h)] = h
-    for i in np.flatnonzero(size < CHARS):  # a short line is hashed over what it has, then zeros
-        h = 0
-        for c in codes_[starts[i] : ends[i]].tolist() + [0] * int(CHARS - size[i]):
-            h = (h * m + c) & 0xFFFFFFFFFFFFFFFF
-        rolled[starts[i]] = h
+    ends, joined = np.cumsum(size), "".join(lines)
+    n = int(ends[-1]) if len(lines) else 0
     whole = np.ones(n, bool)  # a shingle that would cross the end of its line is none
     for j in range(1, CHARS):
-        over = ends - j
-        whole[over[over > starts]] = False
-    return rolled[whole], count
+        whole[ends - j] = False
+    try:
+        return np.ndarray(n, "<u8", joined.encode("latin-1") + bytes(CHARS), strides=(1,))[whole], size - CHARS + 1
+    except UnicodeEncodeError:
+        pass
+    wide, m = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0x100000001B3
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, 1 << 14):  # a cache's worth at a time; spans of 2, 4 and 8 characters by doubling
+        bytes_, mix, top = (np.zeros(min(1 << 14, n - at) + CHARS - 1, np.uint64) for _ in range(3))
+        piece = wide[at : at + len(mix)]
+        bytes_[: len(piece)] = mix[: len(piece)] = top[: len(piece)] = piece
+        for j in range(3):
+            bytes_ = bytes_[: -(1 << j)] | bytes_[1 << j :] << np.uint64(8 << j)
+            mix = mix[: -(1 << j)] * np.uint64(pow(m, 1 << j, 1 << 64)) + mix[1 << j :]
+            top = top[: -(1 << j)] | top[1 << j :]
+        out[at : at + len(mix)] = np.where(top < 256, bytes_, mix)
+    return out[whole], size - CHARS + 1
 
 
 def signed_lines(rows: DataFrame) -> DataFrame:
     """(row_no, doc_id, line_no, key, bands) of the non-blank lines of rows (row_no, doc_id, text); bands: with the
-    first of equal lines in a batch, else null."""
+    first of equal lines in a batch, else null. A line below CHARS characters has none: it is one shingle, which no
+    other line can share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -90,14 +95,11 @@ def signed_lines(rows: DataFrame) -> DataFrame:
         def made(part: list[tuple]) -> pa.RecordBatch:
             keys = np.array([p[3] for p in part], np.uint64).view(np.int64)
             _, first = np.unique(keys, return_index=True)
-            first.sort()
-            found = minhash.bands(*line_hashes([part[i][4] for i in first]))
-            offsets = np.zeros(len(part) + 1, np.int32)
-            offsets[first + 1] = minhash.BANDS
-            mask = np.ones(len(part), bool)
-            mask[first] = False
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(found.reshape(-1)), mask=pa.array(mask))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()), pa.array(keys), lists], names=["row_no", "doc_id", "line_no", "key", "bands"])
+            first = [i for i in np.sort(first).tolist() if len(part[i][4]) >= CHARS]
+            signs: list[bytes | None] = [None] * len(part)
+            for i, found in zip(first, minhash.bands(*line_hashes([part[i][4] for i in first])), strict=True):
+                signs[i] = found.tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()), pa.array(keys), pa.array(signs, pa.binary())], names=["row_no", "doc_id", "line_no", "key", "bands"])
 
         for batch in batches:
             part, size = [], 0
@@ -112,7 +114,7 @@ def signed_lines(rows: DataFrame) -> DataFrame:
             if part:
                 yield made(part)
 
-    return rows.select("row_no", "doc_id", "text").mapInArrow(run, "row_no long, doc_id long, line_no long, key long, bands array<long>")
+    return rows.select("row_no", "doc_id", "text").mapInArrow(run, "row_no long, doc_id long, line_no long, key long, bands binary")
 
 
 def line_bodies(texts: DataFrame, filter_: np.ndarray) -> DataFrame:

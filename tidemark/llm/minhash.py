@@ -9,13 +9,13 @@ and no verified link between two members that the pivot does not connect is lost
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from tidemark.llm.common import saved
 BANDS, ROWS, SIMILARITY = 13, 5, 0.8
 #: A list longer than LONG compares its failing members with the others by blocks of BLOCK.
 LONG, BLOCK = 32, 1024
+#: Bands in a packed load, and about as many in a part.
+PART = 2_000_000
 #: Bits of the filters that spare shuffling rows which surely match nothing; the joins after them are exact.
 FILTER_BITS = 24
 _rng = np.random.default_rng(20_240_501)
@@ -78,32 +80,89 @@ def passing(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the 64-bit numbers in a column of binaries, one after another, and how many each row has; null: none)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2] or b"", np.int64, int(offsets[-1] - offsets[0]) // 8, int(offsets[0])), np.diff(offsets) // 8
+
+
+def ends_of_runs(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each band once, ascending, its smallest key, its largest)."""
+    order = np.argsort(band)
+    band, key = band[order], key[order]
+    starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
+    return band[starts], *((f.reduceat(key, starts) if len(starts) else key) for f in (np.minimum, np.maximum))
+
+
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(band) of the bands that different keys have. Bands go to the parts of their range in packed rows, a task's
+    equal bands as their smallest and largest key alone: so there are never more rows than bands, and a band of any
+    frequency is two entries of a task's load."""
+    n = signed.agg(F.sum(F.length("bands") / 8)).first()[0] or 0
+    parts = max(1, math.ceil(n / PART))
+    edges = np.linspace(-(2.0**63), 2.0**63, parts + 1)[1:-1].astype(np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def load() -> pa.RecordBatch:
+            band, low, top = ends_of_runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            more = np.flatnonzero(low != top)
+            band, key = np.concatenate([band, band[more]]), np.concatenate([low, top[more]])
+            part = np.searchsorted(edges, band, "right")
+            order = np.argsort(part, kind="stable")
+            real, starts = np.unique(part[order], return_index=True)
+            cut = [x.tolist() for x in (starts, np.append(starts[1:], len(part)))]
+            packed = [pa.array([x[order[i:j]].tobytes() for i, j in zip(*cut, strict=True)], pa.binary()) for x in (band, key)]
+            return pa.RecordBatch.from_arrays([pa.array(real, pa.int64()), *packed], names=["part", "band", "key"])
+
+        for batch in batches:
+            flat, per = unpacked(batch.column(1))
+            held.append((flat, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), per)))
+            size += len(flat)
+            if size >= PART:
+                yield load()
+                held, size = [], 0
+        if size:
+            yield load()
+
+    def both(group: pa.Table) -> pa.Table:
+        band, low, top = ends_of_runs(*(np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("band", "key")))
+        return pa.table({"band": band[low != top]})
+
+    return signed.select("key", "bands").mapInArrow(send, "part long, band binary, key binary").groupBy("part").applyInArrow(both, "band long")
+
+
 def lists(signed: DataFrame) -> DataFrame:
-    """(band, key, pivot) of the bands shared by different keys. signed: (key long, bands array<long> or null).
+    """(band, key, n, pivot) of the lists, a band for each: the bands shared by different keys, of those with the same
+    members one. signed: (key long, bands binary: 64-bit numbers, or null); n: a list's members.
 
     A list's pivot is the member with the longest lists in all: the original of a group of edited copies is in
     nearly every list of the group, and nearer to each copy than the copies are to each other."""
-    posted = signed.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
-    shared = saved(posted.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low < top").select("band"), "shared-bands")
+    signed = signed.where("bands IS NOT NULL")
+    shared = saved(shared_bands(signed), "shared-bands")
     likely = signed.sparkSession.sparkContext.broadcast(bitset(shared, "band"))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat, per = found.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(found).to_numpy(zero_copy_only=False)
+            flat, per = unpacked(batch.column(1))
             fit = np.flatnonzero(passing(likely.value, flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, per)[fit]), pa.array(flat[fit])], names=["key", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), per)[fit]), pa.array(flat[fit])], names=["key", "band"])
 
-    members = signed.where("bands IS NOT NULL").select("key", "bands").mapInArrow(run, "key long, band long")
+    members = signed.select("key", "bands").mapInArrow(run, "key long, band long")
     members = saved(members.join(shared, "band").distinct(), "members")
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    weights = members.join(sizes, "band").groupBy("key").agg(F.sum("n").alias("weight"))
+    # lists of different members differ in 128 bits of hashes, or in their number or ends
+    marks = [F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("top"), *[F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"s{i}") for i in (1, 2)]]
+    each = members.groupBy("band").agg(*marks).groupBy("n", "low", "top", "s1", "s2").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("times"))
+    members = saved(members.join(each.select("band", "n", "times"), "band"), "distinct-lists")
+    weights = members.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
     pivots = members.join(weights, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("x")).select("band", F.col("x.key").alias("pivot"))
-    return saved(members.join(pivots, "band"), "lists")
+    return saved(members.drop("times").join(pivots, "band"), "lists")
 
 
 def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingles: Callable[[str], frozenset], hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], codes: Callable[[str], np.ndarray | None] = lambda _: None, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified edges (u, v). bodies(filter): (key, body) of at least the keys that pass the filter; shingles: the set
+    """Verified edges (u, v) among the members of lists(). bodies(filter): (key, body) of at least the keys that pass the filter; shingles: the set
     of a body; hashes: the 64-bit hashes of the shingles of many bodies, one after another, and how many each has;
     codes: the set as sorted numbers that stand for shingles one to one, where there are such."""
     keys = members.select("key").distinct()
@@ -124,7 +183,9 @@ def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingle
                     both = len(s & t)
                 else:
                     s, t = (s, t) if len(s) <= len(t) else (t, s)
-                    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                    if len(s) < similarity * len(t):
+                        return False
+                    both = np.count_nonzero(t.take(t.searchsorted(s), mode="clip") == s)
                 return both >= similarity * (len(s) + len(t) - both)
 
             return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
@@ -136,16 +197,13 @@ def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingle
     tested = saved(verified(members.where("key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")).distinct()), "tested")
     far = members.join(tested.where("NOT near").select(F.col("u").alias("f1"), F.col("v").alias("f2")), (F.col("key") == F.col("f1")) & (F.col("pivot") == F.col("f2"))).drop("f1", "f2")
     far = saved(far, "far")
-    # lists that have members which fail, with their lengths
-    left = far.groupBy("band").agg(F.count(F.lit(1)).alias("n_far"))
-    sizes = members.join(left, "band", "left_semi").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    odd = far.join(sizes, "band")
-    short = odd.where((F.col("n") > 2) & (F.col("n") <= LONG)).select("band", F.col("key").alias("o"))
+    short = far.where((F.col("n") > 2) & (F.col("n") <= LONG)).select("band", F.col("key").alias("o"))
     rest = short.join(members.where("key <> pivot").select("band", F.col("key").alias("m")), "band").where("o <> m")
     rest = rest.select(F.greatest("o", "m").alias("u"), F.least("o", "m").alias("v")).distinct()
     near = saved(tested.where("near").select("u", "v").union(verified(rest).where("near").select("u", "v")), "near")
-    queries = odd.where(F.col("n") > LONG).select("pivot", "key").distinct()
-    lists_ = members.join(sizes.where(F.col("n") > LONG), "band", "left_semi").where("key <> pivot").select("pivot", "key").distinct()
+    long = far.where(F.col("n") > LONG)
+    queries = long.select("pivot", "key").distinct()
+    lists_ = members.join(long.select("band").distinct(), "band", "left_semi").where("key <> pivot").select("pivot", "key").distinct()
     return near.union(against(lists_, saved(queries, "queries"), texts, hashes, similarity))
 
 
@@ -167,11 +225,15 @@ def against(lists_: DataFrame, queries: DataFrame, texts: DataFrame, hashes: Cal
     def block(group: pa.Table) -> pa.Table:
         keys, asks, far = (group.column(c).to_numpy() for c in ("key", "asks", "far"))
         flat, count = hashes(group.column("body").to_pylist())
-        pairs = np.unique(np.stack([flat, np.repeat(np.arange(len(count)), count).astype(np.uint64)], axis=1), axis=0)
-        size = np.bincount(pairs[:, 1].astype(np.int64), minlength=len(count))
-        _, column, often = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-        use = often[column] > 1
-        owner, column = pairs[use, 1].astype(np.int64), np.unique(column[use], return_inverse=True)[1]
+        order = np.argsort(flat, kind="stable")  # so equal shingles stand by owner
+        flat, owner = flat[order], np.repeat(np.arange(len(count)), count)[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        once = new | np.append(True, owner[1:] != owner[:-1])
+        new, owner = new[once], owner[once]
+        size = np.bincount(owner, minlength=len(count))
+        column = np.cumsum(new) - 1
+        use = np.bincount(column)[column] > 1
+        owner, column = owner[use], np.cumsum(new[use]) - 1
         asking, there = np.flatnonzero(asks), np.flatnonzero(~asks)
         spot = np.empty(len(count), np.int64)
         spot[asking], spot[there] = np.arange(len(asking)), np.arange(len(there))

@@ -152,10 +152,10 @@ def signed(rows: DataFrame, words: int = 5) -> DataFrame:
             alike = minhash.bands(np.concatenate(some), np.fromiter(map(len, some), np.int64, len(some)))
             both = np.concatenate([near, alike], axis=1)
             keys = np.array([xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * both.shape[1]), pa.array(both.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(keys), lists], names=[*names, "key", "bands"])
+            packed = pa.array([row.tobytes() for row in both], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(keys), packed], names=[*names, "key", "bands"])
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("bands", T.BinaryType())]))
 
 
 def bodies(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
