@@ -10,7 +10,7 @@ template's bigrams that every run needs.
 Defined results: one row for each line or block that reaches the threshold, with its best template (ties: the smaller
 name). Runs that reach it overlap, so of those with one best template a run makes a row, numbered by its first block,
 if it is the best from its first block and the best of these to its last block, single blocks included (ties: shorter);
-null, empty and one-word texts have no bigrams and no rows; rows equal in id and text are reported once.
+null, empty and one-word texts have no bigrams and no rows; rows equal in id and text are reported one by one.
 """
 
 from __future__ import annotations
@@ -75,9 +75,9 @@ def merged(bounds: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, unit, unit_no, body): lines and blocks of two lines or more."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("line"), F.split(text, GAP).alias("block"))
-    parts = [keyed.select("doc_id", "text_hash", F.lit(kind).alias("unit"), F.posexplode_outer(kind).alias("unit_no", "body")) for kind in ("line", "block")]
+    """(row_no, doc_id, unit, unit_no, body): lines and blocks of two lines or more. row_no tells equal rows apart."""
+    keyed = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), F.split(text, "\n").alias("line"), F.split(text, GAP).alias("block"))
+    parts = [keyed.select("row_no", "doc_id", F.lit(kind).alias("unit"), F.posexplode_outer(kind).alias("unit_no", "body")) for kind in ("line", "block")]
     return parts[0].union(parts[1].where("instr(trim(BOTH '\\n' FROM body), '\\n') > 0"))
 
 
@@ -116,7 +116,9 @@ def runs(docs: DataFrame, listed: DataFrame, threshold: int) -> DataFrame:
     dice = F.expr("n_shared / (n_unit + n_template)").desc()
     for by, order in ((["first", "at"], "license"), (["license", "first"], "at"), (["license", "at"], F.desc("first"))):
         close = close.withColumn("rank", F.row_number().over(Window.partitionBy(*key, *by).orderBy(dice, order))).where("rank = 1").drop("rank")
-    return close.where("first < at").select("doc_id", F.lit("run").alias("unit"), F.col("first").alias("unit_no"), "license", F.col("n_unit").cast("int"), "n_template", F.col("n_shared").cast("int"))
+    # rows equal in id and text are one until here
+    close = docs.select(*key).alias("d").join(close.where("first < at").alias("c"), same("d", "c")).select("c.*")
+    return close.select("doc_id", F.lit("run").alias("unit"), F.col("first").alias("unit_no"), "license", F.col("n_unit").cast("int"), "n_template", F.col("n_shared").cast("int"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,16 +129,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int
     listed = known.select("license", "n_template", F.explode("bs").alias("bigram"))
     listed = F.broadcast(listed) if sum(len(t.split()) for t in templates.values()) <= BROADCAST_BIGRAMS else listed
     # explode_outer: an inner explode adds a filter on the array's size, which would compute the array twice
-    sized = units(docs, doc_id, text).select("doc_id", "text_hash", "unit", "unit_no", F.explode_outer(F.transform(F.array(bigrams_of(F.col("body"), sizes)), lambda b: F.transform(b, lambda x: F.struct(F.size(b).alias("n_unit"), x.alias("bigram"))))[0]).alias("x"))
+    sized = units(docs, doc_id, text).select("row_no", "doc_id", "unit", "unit_no", F.explode_outer(F.transform(F.array(bigrams_of(F.col("body"), sizes)), lambda b: F.transform(b, lambda x: F.struct(F.size(b).alias("n_unit"), x.alias("bigram"))))[0]).alias("x"))
     shared = (
-        sized.select("doc_id", "text_hash", "unit", "unit_no", "x.n_unit", "x.bigram")
+        sized.select("row_no", "doc_id", "unit", "unit_no", "x.n_unit", "x.bigram")
         .join(listed, "bigram")
         .where(f"n_unit * {threshold} <= n_template * {200 - threshold} AND n_template * {threshold} <= n_unit * {200 - threshold}")
-        .groupBy("doc_id", "text_hash", "unit", "unit_no", "n_unit", "license", "n_template")
+        .groupBy("row_no", "doc_id", "unit", "unit_no", "n_unit", "license", "n_template")
         .agg(F.size(F.collect_set("bigram")).alias("n_shared"))
         .where(f"200 * n_shared >= {threshold} * (n_unit + n_template)")
     )
-    best = Window.partitionBy("doc_id", "text_hash", "unit", "unit_no").orderBy(F.expr("n_shared / (n_unit + n_template)").desc(), "license")
+    best = Window.partitionBy("row_no", "doc_id", "unit", "unit_no").orderBy(F.expr("n_shared / (n_unit + n_template)").desc(), "license")
     single = shared.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "unit", "unit_no", "license", "n_unit", "n_template", "n_shared")
     return single.union(runs(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), listed, threshold))
 
