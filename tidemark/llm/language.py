@@ -64,7 +64,7 @@ def fitted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 def likelihoods(rows: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
     """rows with ``ll`` in place of the text: tempered log-likelihoods of the languages."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # CELLS x languages
-    names = [c for c in rows.columns if c != text]
+    names = [c for c in rows.columns if c not in (text, "ll")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
@@ -78,7 +78,7 @@ def likelihoods(rows: DataFrame, model: np.ndarray, text: str = "text") -> DataF
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * table_.shape[1]), pa.array((out * TEMPER).reshape(-1)))
             yield pa.RecordBatch.from_arrays([*rest, flat], names=[*names, "ll"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text), "ll array<double>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names), "ll array<double>"])
     return rows.select(*names, text).mapInArrow(run, schema)
 
 
@@ -89,10 +89,12 @@ def softmax(scores: list[Column]) -> list[Column]:
 
 
 def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """rows (ll, host, domain, declared, suffix, ...) with ``lang`` and ``confidence``."""
-    k = len(languages)
+    """rows (ll, host, domain, declared, suffix, ...) with ``lang`` and ``confidence``, in place of columns so named."""
+    k, names = len(languages), [c for c in rows.columns if c not in ("ll", "lang", "confidence")]
     if not k:
-        return rows.select("*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence")).drop("ll")
+        return rows.select(*names, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
+    # the columns of the caller travel in one, as theirs could be named like those made here
+    rows = rows.select("ll", "host", "domain", "declared", "suffix", F.struct(*names).alias("row"))
     soft = saved(rows.select("*", *[p.alias(f"p{i}") for i, p in enumerate(softmax([F.col("ll")[i] for i in range(k)]))]), "soft")
     sums = lambda df, *by: df.groupBy(*by).agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(k)])
     hosts = saved(sums(soft.where("host IS NOT NULL"), "host", "domain"), "hosts")
@@ -123,10 +125,9 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
         own = F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0))
         host = F.coalesce(F.log((own + STRENGTH * F.col(f"q{i}")) / (h_total + STRENGTH)), F.lit(float(np.log(prior[i]))))
         scores.append(F.col("ll")[i] + host + F.coalesce(f"m{i}", F.lit(0.0)) + F.coalesce(f"s{i}", F.lit(0.0)))
-    scored = all_rows.select(*[c for c in rows.columns if c != "ll"], *[s.alias(f"x{i}") for i, s in enumerate(scores)])
+    scored = all_rows.select("row", *[s.alias(f"x{i}") for i, s in enumerate(scores)])
     best = F.greatest(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(softmax([F.col(f"x{i}") for i in range(k)]))]) if k > 1 else F.struct(F.lit(1.0).alias("p"), F.lit(0).alias("i"))
-    named = scored.withColumn("best", best)
-    return named.select(*[c for c in rows.columns if c != "ll"], F.element_at(F.array(*[F.lit(x) for x in languages]), 1 - F.col("best.i")).alias("lang"), F.round("best.p", 6).alias("confidence"))
+    return scored.select("row", best.alias("best")).select("row.*", F.element_at(F.array(*[F.lit(x) for x in languages]), 1 - F.col("best.i")).alias("lang"), F.round("best.p", 6).alias("confidence"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
