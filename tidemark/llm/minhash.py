@@ -203,7 +203,9 @@ def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingle
     near = saved(tested.where("near").select("u", "v").union(verified(rest).where("near").select("u", "v")), "near")
     long = far.where(F.col("n") > LONG)
     queries = long.select("pivot", "key").distinct()
-    lists_ = members.join(long.select("band").distinct(), "band", "left_semi").where("key <> pivot").select("pivot", "key").distinct()
+    # a table, so that the join isn't planned by band, of which a long list is one
+    bands_ = saved(long.select("band").distinct(), "long-bands")
+    lists_ = members.join(bands_, "band", "left_semi").where("key <> pivot").select("pivot", "key").distinct()
     return near.union(against(lists_, saved(queries, "queries"), texts, hashes, similarity))
 
 
