@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a session on one machine,
+    as in tests, gets a folder of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -35,17 +40,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables that the running pipeline stage has saved, and those of stages before whose rows are written by now.
-_open: list[str] | None = None
-_over: list[str] = []
+#: Paths of the tables that were saved inside the innermost owned().
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The paths of the tables that are saved inside; whoever opens this decides when they go."""
+    paths: list[str] = []
+    mark = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(mark)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to a table in the shared folder and read back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    if _open is not None:
-        _open.append(path)
+    if (paths := _owner.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,38 +79,25 @@ def dropped(df: DataFrame) -> None:
         deleted(df.sparkSession, top)
 
 
-def registered(path: str) -> None:
-    """In a pipeline stage: a table that was written without saved() goes with the others."""
-    if _open is not None:
-        _open.append(path)
-
-
-def dropped_but(spark: SparkSession, *kept: DataFrame, at: str = "") -> None:
-    """In a pipeline stage: deletes what it has saved so far, but for the tables that kept read and the one at ``at``."""
-    if _open is not None:
-        names = set().union(*map(tops_of, kept), {at.rsplit("/", 1)[-1]})
-        for path in [p for p in _open if p.rsplit("/", 1)[-1] not in names]:
-            deleted(spark, path)
-            _open.remove(path)
+def dropped_but(spark: SparkSession, *kept: DataFrame) -> None:
+    """In a pipeline stage: deletes the tables that it has saved so far, but for those that ``kept`` read."""
+    paths, names = _owner.get() or [], set().union(*map(tops_of, kept))
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] not in names]:
+        deleted(spark, path)
+        paths.remove(path)
 
 
 def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A pipeline stage. Its rows are read once, when they are written for the next stage; so when that begins, the
-    tables that stood behind them go, unless its own input reads them still."""
+    """A pipeline stage: it owns the tables that it saves and deletes those that its result doesn't read. The others
+    stay as long as the result may be read; they go with the owner around the stage, if there is one."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _open
-        names = tops_of(docs)
-        for path in [p for p in _over if p.rsplit("/", 1)[-1] not in names]:
-            deleted(spark, path)
-            _over.remove(path)
-        _open = []
-        try:
-            return stage(spark, docs, sf_dir)
-        finally:
-            _over.extend(_open)
-            _open = None
+        with owned() as paths:
+            out = stage(spark, docs, sf_dir)
+        if (around := _owner.get()) is not None:
+            around.extend(paths)
+        return out
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
-from tidemark.llm.common import dropped_but, registered, saved, scratch, staged, table
+from tidemark.llm.common import dropped_but, saved, staged, table
 from tidemark.llm.components import components
 
 CHARS, CHUNK = 8, 4 << 20
@@ -152,44 +152,12 @@ def rewritten(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     """docs with the lines that do not stay cut from their texts."""
     boxed = saved(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row")), "line-rows")
     rows = boxed.select("row_no", F.col("row")[doc_id].cast("long").alias("doc_id"), F.col("row")[text].alias("text"))
-    gone = classed(rows).where("NOT kept").groupBy("row_no").agg(F.collect_set("line_no").alias("gone")).withColumn("part", F.shiftright("row_no", 33))
-    place = scratch(docs.sparkSession, "lines-to-cut")
-    gone.repartition("part").write.partitionBy("part").parquet(place)
-    registered(place)
-    dropped_but(docs.sparkSession, boxed, at=place)
-    return cut(boxed, place, text)
-
-
-def cut(boxed: DataFrame, place: str, text: str) -> DataFrame:
-    """The rows of boxed (row_no, row) without the lines that the table at ``place`` names. The table is partitioned as
-    boxed is, by the task that numbered the rows: each task reads the part of its rows, and no text is shuffled."""
-    names = boxed.select("row.*").columns
-    spot = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        system, top = fs.FileSystem.from_uri(place)
-        part, gone = None, {}
-        for batch in batches:
-            numbers, columns = batch.column(0).to_pylist(), batch.columns[1:]
-            texts = columns[spot].to_pylist()
-            for i, n in enumerate(numbers):
-                if n >> 33 != part:
-                    part, gone = n >> 33, {}
-                    for f in system.get_file_info(fs.FileSelector(f"{top}/part={part}", allow_not_found=True)):
-                        if f.path.endswith(".parquet"):
-                            with system.open_input_file(f.path) as file:
-                                table_ = pq.read_table(file, columns=["row_no", "gone"])
-                            gone.update(zip(table_["row_no"].to_pylist(), map(set, table_["gone"].to_pylist()), strict=True))
-                if (lost := gone.get(n)) is not None:
-                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in lost)
-            columns[spot] = pa.array(texts, columns[spot].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kinds = boxed.select("row.*").schema
-    return boxed.select("row_no", "row.*").mapInArrow(run, kinds)
+    gone = saved(classed(rows).where("NOT kept").groupBy(F.col("row_no").alias("gone_no")).agg(F.collect_list(F.col("line_no").cast("int")).alias("gone")), "lines-to-cut")
+    dropped_but(docs.sparkSession, boxed, gone)
+    left = lambda t: F.array_join(F.filter(F.split(t, "\n"), lambda x, k: ~F.array_contains("gone", k)), "\n")
+    cut = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(left(F.col("row")[text]))
+    both = boxed.join(gone, F.col("row_no") == F.col("gone_no"), "left")
+    return both.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, saved, staged, table, words_of
+from tidemark.llm.common import dropped_but, fresh, saved, staged, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Least quartile distance of each feature, in thousandths: characters a word, symbols a word, repeated lines
@@ -82,15 +82,13 @@ def sketch(features: DataFrame, lang: str = "lang", source: str = "source") -> D
 
 def thresholds(sketches: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, lo_*, hi_*): fences of every group, from its own, its language's or the corpus's sketch."""
-    spark = sketches.sparkSession
-    sketches.createOrReplaceTempView(view := f"sketch_{id(sketches)}")
     least = "CASE feature " + " ".join(f"WHEN '{k}' THEN {v}L" for k, v in LEAST.items()) + " END"
     columns = ", ".join(f"max(CASE WHEN feature = '{f}' THEN lo END) AS lo_{f[2:]}, max(CASE WHEN feature = '{f}' THEN hi END) AS hi_{f[2:]}" for f in LEAST)
-    return spark.sql(f"""
+    return sketches.sparkSession.sql(f"""
         WITH merged AS (
-            SELECT 0 AS depth, lang, source, feature, bucket, n FROM {view}
-            UNION ALL SELECT 1, lang, NULL, feature, bucket, sum(n) FROM {view} GROUP BY lang, feature, bucket
-            UNION ALL SELECT 2, NULL, NULL, feature, bucket, sum(n) FROM {view} GROUP BY feature, bucket),
+            SELECT 0 AS depth, lang, source, feature, bucket, n FROM {{sketches}}
+            UNION ALL SELECT 1, lang, NULL, feature, bucket, sum(n) FROM {{sketches}} GROUP BY lang, feature, bucket
+            UNION ALL SELECT 2, NULL, NULL, feature, bucket, sum(n) FROM {{sketches}} GROUP BY feature, bucket),
         ranked AS (
             SELECT *, sum(n) OVER (PARTITION BY depth, lang, source, feature ORDER BY bucket) AS upto,
                 sum(n) OVER (PARTITION BY depth, lang, source, feature) AS total FROM merged),
@@ -106,7 +104,7 @@ def thresholds(sketches: DataFrame, reach: int = REACH, min_group: int = MIN_GRO
         wide AS (SELECT depth, lang, source, max(total) AS total, {columns} FROM fences GROUP BY depth, lang, source)
         SELECT g.lang, g.source, {", ".join(f"CASE WHEN g.total >= {min_group} THEN g.{s}_{f[2:]} WHEN l.total >= {min_group} THEN l.{s}_{f[2:]} ELSE c.{s}_{f[2:]} END AS {s}_{f[2:]}" for f in LEAST for s in ("lo", "hi"))}
         FROM wide g JOIN wide l ON l.depth = 1 AND g.lang <=> l.lang JOIN wide c ON c.depth = 2
-        WHERE g.depth = 0""")
+        WHERE g.depth = 0""", sketches=sketches)
 
 
 def with_verdict(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -128,9 +126,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their own columns."""
-    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
-    return with_verdict(saved(measured(boxed).drop("text"), "quality")).where("kept").select("row.*")
+    """Documents that the rules keep, with their own columns. A verdict depends on text, language and source alone, so
+    the rejected are known by 128 bits of hashes of these, and only hashes are stored."""
+    keys = [F.xxhash64(F.lit(i), F.col("lang").isNull(), "lang", F.col("source").isNull(), "source", "text") for i in range(2)]
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source").withColumns({f"key{i}": k for i, k in enumerate(keys)})
+    judged = with_verdict(saved(measured(boxed.drop("row")).drop("text"), "quality"))
+    bad = saved(judged.where("NOT kept").select(F.col("key0").alias("bad0"), F.col("key1").alias("bad1")).distinct(), "rejected")
+    dropped_but(spark, bad)
+    return boxed.join(bad, (F.col("key0") == F.col("bad0")) & (F.col("key1") == F.col("bad1")), "left_anti").select("row.*")
 
 
 def sql(words: str = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')") -> str:
