@@ -18,8 +18,14 @@ from pyspark.sql.window import Window
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: A table below this many bytes a core may be a single split of its file: its rows are dealt to all cores.
+SMALL = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 def shared_dir(spark: SparkSession) -> str:

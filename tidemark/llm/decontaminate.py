@@ -51,11 +51,12 @@ def windows(df: DataFrame, words: str, lengths: list[int], span: int = SPAN) ->
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash."""
-    items = saved(benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), item_words(F.col(item_text)).alias("ws")).where("size(ws) > 0"), "items")
+    items = saved(benchmark.repartition(benchmark.sparkSession.sparkContext.defaultParallelism).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), item_words(F.col(item_text)).alias("ws")).where("size(ws) > 0"), "items")
     lengths = sorted(r[0] for r in items.where(f"size(ws) < {span}").select(F.expr("size(ws)").alias("n")).distinct().collect())  # at most span - 1
     grams = windows(items, "ws", lengths, span).join(items.groupBy("item").agg(F.collect_set(F.expr(f"least(size(ws), {span})")).alias("own")), "item")
     grams = grams.where("array_contains(own, len)").groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
-    marks = fingerprinted(items, "ws", lengths, span, k).select(F.explode("fps").alias("fp")).distinct()
+    # a table: the filter that explode adds would be pushed below the arrays and compute them again for each entry
+    marks = saved(fingerprinted(items, "ws", lengths, span, k).select("fps"), "item-fingerprints").select(F.explode("fps").alias("fp")).distinct()
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), item_words(F.col(text)).alias("ws"))
     base = saved(fingerprinted(base, "ws", lengths, span, k).select("doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), "fps"), "winnowed")

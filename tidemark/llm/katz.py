@@ -11,8 +11,8 @@ first token is a start mark.
 
 Layout. Texts become *blocks*: some millions of tokens as ids into the block's word hashes, common words first (64 bits; the
 hash is the word). Counting is a round trip: a block sends its distinct words, or pairs, with training counts to
-the partitions of a count table, once each; a partition adds them up, stores its part of the table and answers
-every block in the order of what it sent. Contexts live in one partition each, but for those with over 1/4096 of
+the partitions of a count table, once each, one row for a partition that it has any for; so there are never more
+rows than entries. A partition adds them up, stores its part of the table and answers every block in the order of what it sent. Contexts live in one partition each, but for those with over 1/4096 of
 all tokens, which are spread by pair and whose sums, at most 4097, are added up again. So a word, pair or context of
 any frequency is one entry for each block that has it, and every lookup of the recursion is local.
 
@@ -219,8 +219,8 @@ def unigram_table(blocks: DataFrame, parts: int) -> DataFrame:
             for row in rows_of(batch):
                 block = Block(row)
                 order, ends, counts = block.words(parts)
-                pieces = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([row["block"]] * parts, pa.int64()), pa.array([block.vocabulary[p].tobytes() for p in pieces]), pa.array([zipped(counts[p]) for p in pieces])], names=["part", "block", "words", "counts"])
+                pieces = {k: order[a:b] for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b}  # never more than words
+                yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([row["block"]] * len(pieces), pa.int64()), pa.array([block.vocabulary[p].tobytes() for p in pieces.values()]), pa.array([zipped(counts[p]) for p in pieces.values()])], names=["part", "block", "words", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -262,7 +262,7 @@ def pair_table(blocks: DataFrame, uni: DataFrame, one: Unigrams, word_parts: int
                 block.answered(row["uni"], word_parts)
                 block.pairs(parts, hot)
                 counts = np.bincount(block.place[block.train], minlength=len(block.u1))
-                for part in range(parts):
+                for part in np.flatnonzero(np.diff(block.pair_ends, prepend=0)).tolist():  # never more than pairs
                     own = block.own(part)
                     starts, lengths = contexts(block.u1[own])
                     yield pa.RecordBatch.from_arrays(
@@ -304,6 +304,20 @@ def pair_table(blocks: DataFrame, uni: DataFrame, one: Unigrams, word_parts: int
     return saved(sent.groupBy("part").applyInArrow(add, "part long, block long, ids1 binary, ids2 binary, counts binary, totals binary, kinds binary, seen binary, of array<long>"), "pairs")
 
 
+def spread_sums(shares: DataFrame) -> DataFrame:
+    """(id, total, k0.., seen) of the contexts that are spread, added up over the parts' shares."""
+    names = ["id", "total", *(f"k{i}" for i in range(MOST_DISCOUNTED)), "seen"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in rows_of(batch):
+                kinds = unzipped(r["kinds"]).reshape(MOST_DISCOUNTED, -1)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (unzipped(r["ids1"]), unzipped(r["totals"]), *kinds, unzipped(r["seen"], np.float64)))], names=names)
+
+    schema = ", ".join(f"{c} {'double' if c == 'seen' else 'long'}" for c in names)
+    return shares.select("ids1", "totals", "kinds", "seen").mapInArrow(run, schema).groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
 def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text and
     the boolean column named by held): the model learns from rows where that is false."""
@@ -316,14 +330,8 @@ def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
     table_ = pair_table(blocks, uni, one, word_parts, parts)
     sums = table_.where("block = -1").agg(*[F.sum(F.col("of")[r]).alias(f"of{r}") for r in range(MOST_DISCOUNTED + 2)]).first()
     d = discounts([sums[f"of{r}"] or 0 for r in range(MOST_DISCOUNTED + 2)])
-    spread: dict[int, list] = {}  # at most HOT_SHARE + 1 contexts
-    for r in table_.where("block = -2").select("ids1", "totals", "kinds", "seen").toLocalIterator():
-        ids, total, kinds, seen = unzipped(r.ids1), unzipped(r.totals), unzipped(r.kinds), unzipped(r.seen, np.float64)
-        for i, w in enumerate(ids.tolist()):
-            have = spread.setdefault(w, [0, np.zeros(MOST_DISCOUNTED, np.int64), 0.0])
-            have[0] += int(total[i])
-            have[1] = have[1] + kinds.reshape(MOST_DISCOUNTED, -1)[:, i]
-            have[2] += float(seen[i])
+    whole = spread_sums(table_.where("block = -2")).collect()  # at most HOT_SHARE + 1 contexts
+    spread = {r.id: (r.total, np.array([r[f"k{i}"] for i in range(MOST_DISCOUNTED)]), r.seen) for r in whole}
     hot = max(1, one.n // HOT_SHARE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

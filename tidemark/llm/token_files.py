@@ -7,7 +7,7 @@ else u32. A document is read by the footer, the index and one frame. Segments fo
 The manifest, a table, lists the segments of successful task attempts; files of lost attempts aren't in it.
 
 Defined results: a null text is empty and has the end id alone; documents without id come first; rows that share
-an id lie side by side, ordered by their ids' checksum; an empty table gives no segment and an empty manifest.
+an id lie side by side, ordered by the checksum of their frames; an empty table gives no segment and an empty manifest.
 """
 
 from __future__ import annotations
@@ -38,6 +38,14 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def file_system(folder: str):
+    """(file system, path) of a URI; Hadoop's names of object stores are brought to those that Arrow knows."""
+    from pyarrow import fs
+
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasbs": "abfs"}.get(scheme, scheme) + mark + rest)
+
+
 def trained(docs: DataFrame, path: str, end: int, doc_id: str, text: str) -> bytes:
     """A dictionary from SAMPLE_DOCS documents in the order of their ids' hashes, none over SAMPLE_CHARS."""
     import zstandard
@@ -92,7 +100,6 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2, d
     ordered = encoded.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         out, name, ids, ends, count = None, "", [], [len(MAGIC) + 4 + 32], []
@@ -102,7 +109,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2, d
             if out is None:
                 segment = TaskContext.get().partitionId()
                 name = f"segment-{segment:06d}-{uuid.uuid4().hex}.tids"
-                system, top = fs.FileSystem.from_uri(folder)
+                system, top = file_system(folder)
                 system.create_dir(top, recursive=True)
                 out = system.open_output_stream(f"{top}/{name}")
                 out.write(MAGIC + struct.pack("<I", VERSION) + digest)
@@ -126,9 +133,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2, d
 
 
 def saved_dictionary(folder: str, dictionary: bytes) -> None:
-    from pyarrow import fs
-
-    system, top = fs.FileSystem.from_uri(folder)
+    system, top = file_system(folder)
     system.create_dir(top, recursive=True)
     with system.open_output_stream(f"{top}/dictionary-{hashlib.sha256(dictionary).hexdigest()}") as f:
         f.write(dictionary)
@@ -181,9 +186,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, top = fs.FileSystem.from_uri(folder)
+        system, top = file_system(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 segment = Segment(system, top, name)
