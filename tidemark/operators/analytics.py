@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scores import iso_week_key, score_band
+from tidemark.plans.tables import saved
 
 
 def hourly(samples: DataFrame, timestamp: str = "timestamp", value: str = "bpm") -> DataFrame:
@@ -50,8 +53,8 @@ def trends(by_day: DataFrame, names: list[str], dead_band: float = 0.5) -> DataF
 
 def heat(by_day: DataFrame, value: str) -> DataFrame:
     """value / the largest (1 at least), null as 0."""
-    top = F.greatest(F.lit(1.0), F.max(value).over(Window.partitionBy()))
-    return by_day.withColumn("heat", F.coalesce(F.col(value), F.lit(0)) / top)
+    top = by_day.agg(F.greatest(F.lit(1.0), F.max(value)).alias("_top"))  # one row
+    return by_day.crossJoin(F.broadcast(top)).withColumn("heat", F.coalesce(F.col(value), F.lit(0)) / F.col("_top")).drop("_top")
 
 
 def calendar(events: DataFrame, at: str = "ts", by: str = "auto", auto_days: int = 30) -> DataFrame:
@@ -73,17 +76,23 @@ def threads(messages: DataFrame, thread: str, sender: str, at: str, me: str) ->
     return messages.groupBy(thread).agg(F.array_sort(F.collect_set(F.when(F.col(sender) != me, F.col(sender)))).alias("participants"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count(F.lit(1)).alias("n_messages"))
 
 
-def reply_roots(messages: DataFrame, id_: str, reply_to: str, spark=None, levels: int = 1000) -> DataFrame:
-    """(id, root, depth): replies to a message that isn't there are roots."""
-    spark = spark or messages.sparkSession
+def reply_roots(messages: DataFrame, id_: str, reply_to: str) -> DataFrame:
+    """(id, root, depth): replies to a message that isn't there are roots; messages in a ring of replies have none and
+    are left out. By pointer jumping: each round doubles the way that every message has gone up."""
     ids = messages.select(F.col(id_).alias("p")).distinct()
-    tree = messages.select(F.col(id_).alias("id"), F.col(reply_to).alias("r")).join(ids, F.col("r") == F.col("p"), "left").select("id", F.col("p").alias("parent"))
-    tree.createOrReplaceTempView("reply_tree")
-    return spark.sql(f"""
-        WITH RECURSIVE t(id, root, depth) MAX RECURSION LEVEL {levels} AS (
-            SELECT id, id, 0 FROM reply_tree WHERE parent IS NULL
-            UNION ALL SELECT r.id, t.root, t.depth + 1 FROM t JOIN reply_tree r ON r.parent = t.id)
-        SELECT id, root, depth FROM t""")
+    tree = messages.select(F.col(id_).alias("id"), F.col(reply_to).alias("r")).join(ids, F.col("r") == F.col("p"), "left").select("id", F.col("p").alias("up"), F.col("p").isNotNull().cast("int").alias("depth"))
+    done = saved(tree.where("up IS NULL").select("id", F.col("id").alias("root"), "depth"), "roots")
+    now = saved(tree.where("up IS NOT NULL"), "replies")
+    out, n = [done], now.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        if now.isEmpty():
+            break
+        # up may be a message whose root is known, or one that has gone up as far itself
+        known = reduce(DataFrame.union, out).select(F.col("id").alias("k"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        out.append(saved(now.join(known, F.col("up") == F.col("k")).select("id", F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "roots"))
+        others = now.select(F.col("id").alias("k"), F.col("up").alias("top"), F.col("depth").alias("more"))
+        now = saved(now.join(others, F.col("up") == F.col("k")).select("id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "replies")
+    return reduce(DataFrame.union, out)
 
 
 #: The order of task states in lists.

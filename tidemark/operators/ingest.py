@@ -16,6 +16,7 @@ from tidemark.functions import text as X
 from tidemark.operators.chunking import chunked, line_chunks
 from tidemark.plans.provenance import latest_versions
 from tidemark.plans.store import Store
+from tidemark.plans.tables import saved
 
 UNSPECIFIED = "unspecified"
 
@@ -34,13 +35,15 @@ def ingest(store: Store, items: DataFrame, at: str, model: str = UNSPECIFIED, by
     """items: (source_id, adapter_id, domain, origin_ref, display_name, poll_strategy, poll_interval_sec,
     normalizer_version, markdown, extra_metadata). Returns the new store and one row for each item: (adapter_id,
     source_id, status, chunks_added, chunks_removed, chunks_unchanged, error)."""
-    seen = statuses(store, items)
+    # each of these is read by several of the store's tables: computed once, as a table
+    seen = saved(statuses(store, items), "statuses")
     work = seen.where("status <> 'unchanged'")
     narrow = work.select("source_id", "domain", "markdown", "extra_metadata")
     if by_line:
         parts = line_chunks(narrow.drop("extra_metadata")).withColumns({"context_header": F.lit(None).cast("string"), "chunk_type": F.lit("standard"), "domain_metadata": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     else:
         parts = chunked(narrow)
+    parts = saved(parts, "parts")
     failed = parts.where("error IS NOT NULL").select("source_id", "error")
     good = parts.where("error IS NULL AND chunk_index >= 0")
     hashes = good.groupBy("source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_hash"))), lambda x: x["chunk_hash"]).alias("chunk_hashes"))
@@ -49,6 +52,7 @@ def ingest(store: Store, items: DataFrame, at: str, model: str = UNSPECIFIED, by
     next_ = next_.withColumns({
         "added": F.array_except("chunk_hashes", "old_hashes"), "removed": F.array_except("old_hashes", "chunk_hashes"), "kept": F.array_intersect("chunk_hashes", "old_hashes"),
     })
+    next_ = saved(next_, "next")
     fine = next_.where("error IS NULL")
 
     rows = fine.select("source_id", "adapter_id", "domain", "origin_ref", "display_name", F.lit(0).alias("current_version"), F.lit(None).cast("string").alias("last_fetched_at"), "poll_strategy", "poll_interval_sec", F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
@@ -62,7 +66,7 @@ def ingest(store: Store, items: DataFrame, at: str, model: str = UNSPECIFIED, by
         "embedding_model_id": F.when(is_new, F.lit(model)).otherwise(F.coalesce("old_model", F.lit(model))), "parent_chunk_hash": F.lit(None).cast("string"), "cross_refs": none,
         "fetch_timestamp": F.lit(at), "created_at": F.lit(at), "retired_at": F.lit(None).cast("string"),
     }).select(store.chunks.columns)
-    out = out.write_chunks(rows)
+    out = out.write_chunks(saved(rows, "chunk-rows"))
     gone = fine.select("source_id", F.col("old_version").alias("source_version"), F.explode("removed").alias("chunk_hash"))
     out = out.retire(gone, at).touch(seen.where("status = 'unchanged'"), at)
     if vectors:

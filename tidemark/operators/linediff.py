@@ -7,22 +7,25 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where a view shows differences of the first lines alone.
 MOST_LINES = 500
 SCHEMA = "array<struct<kind:string, content:string, line_no:int>>"
 
 
-def differences(old: str, new: str, most: int = MOST_LINES) -> list[tuple[str, str, int]]:
-    """(context, added or removed; line; place) over the first ``most`` lines of each; where both would do, what is
-    removed stands before what is added."""
+def differences(old: str, new: str, most: int | None = None) -> list[tuple[str, str, int]]:
+    """(context, added or removed; line; place) over all lines, or the first ``most`` of each; where both would do, what
+    is removed stands before what is added."""
     a, b = old.split("\n")[:most], new.split("\n")[:most]
+    same_start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    head, a, b = a[:same_start], a[same_start:], b[same_start:]
     number = {x: i for i, x in enumerate(dict.fromkeys(a + b))}
-    same = np.array([number[x] for x in a])[:, None] == np.array([number[x] for x in b])[None, :]
+    same = np.array([number[x] for x in a], np.int64)[:, None] == np.array([number[x] for x in b], np.int64)[None, :]
     # length[i][j]: of the common subsequence of a[i:] and b[j:]
     length = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
         best = np.maximum(length[i + 1, :-1], np.where(same[i], length[i + 1, 1:] + 1, 0))
         length[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    out, i, j = [], 0, 0
+    out, i, j = [("context", x) for x in head], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and same[i, j]:
             out.append(("context", a[i]))
@@ -36,9 +39,9 @@ def differences(old: str, new: str, most: int = MOST_LINES) -> list[tuple[str, s
     return [(kind, line, k + 1) for k, (kind, line) in enumerate(out)]
 
 
-def line_diff(old: Column, new: Column) -> Column:
+def line_diff(old: Column, new: Column, most: int | None = None) -> Column:
     @F.pandas_udf(SCHEMA)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "content": c, "line_no": n} for k, c, n in differences(x or "", y or "")] for x, y in zip(a, b, strict=True)])
+        return pd.Series([[{"kind": k, "content": c, "line_no": n} for k, c, n in differences(x or "", y or "", most)] for x, y in zip(a, b, strict=True)])
 
     return run(old, new)

@@ -1,15 +1,19 @@
-"""Vector search: exact top-k, filters before it, retirement after it, rerank, and a bucketed index."""
+"""Vector search: exact top-k, filters before it, retirement after it, rerank, and a stored index."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from tidemark.functions import scores
 from tidemark.plans.catalog import lineage
@@ -36,8 +40,9 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "chunk
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_hash", most: int = 10_000) -> DataFrame:
-    """(query, key, score): the k nearest of each of a stated set of queries (query, query_vector), with ids that differ.
-    Every task holds the queries it compares, so a larger set is searched in blocks of at most ``most``."""
+    """(query, key, score): the k nearest of each of a stated set of queries (query, query_vector), with ids that differ;
+    of equal scores (to 12 places) the smaller key. Every task holds the queries it compares, so a larger set is
+    searched in blocks of at most ``most``. A task hands on k rows of each query, whatever it reads."""
     n, blocks = queries.count(), 1
     if n > most:
         block = lambda m: F.pmod(F.xxhash64("query"), F.lit(m))
@@ -48,39 +53,138 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
             blocks += max(1, blocks // 8)
         queries = queries.withColumn("block", block(blocks))
     parts = [queries] if blocks == 1 else [queries.where(F.col("block") == i).drop("block") for i in range(blocks)]
-    score = scores.search_score(scores.cosine(F.col("vector"), F.col("query_vector")))
-    best = F.slice(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)), 1, k)
+    shape = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    made_of = to_arrow_schema(shape)
+    last = Window.partitionBy("query").orderBy(F.desc("score"), key)
 
     def nearest(part: DataFrame) -> DataFrame:
-        pairs = vectors.select(key, "vector").join(F.broadcast(part)).select("query", F.struct(score.alias("score"), F.col(key).alias("id")).alias("x"))
-        # k best of each slice of the corpus first, so that a query's list is bounded by slices times k
-        slices = pairs.groupBy("query", F.pmod(F.xxhash64("x.id"), F.lit(64)).alias("part")).agg(best.alias("xs")).select("query", F.explode("xs").alias("x"))
-        return slices.groupBy("query").agg(best.alias("xs")).select("query", F.explode("xs").alias("x")).select("query", F.col("x.id").alias(key), F.col("x.score").alias("score"))
+        rows = part.select("query", "query_vector").collect()  # at most ``most``
+        if not rows:
+            return vectors.sparkSession.createDataFrame([], shape)
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.query for r in rows], unit(np.array([r.query_vector for r in rows], np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, against = shared.value
+            best: tuple[np.ndarray, np.ndarray] | None = None  # of each query, by falling score and then by key
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    ids, found = matrix(batch.slice(at, SLICE), against.shape[1])
+                    order = np.argsort(ids, kind="stable")
+                    score = np.round(np.clip((1 + against @ unit(found[order]).T) / 2, 0, 1), 12)
+                    best = merged_best(best, ids[order], score, k)
+            if best is not None and best[0].shape[1]:
+                ids, score = best
+                real = np.flatnonzero(score.reshape(-1) >= 0)
+                values = [names[i] for i in real // score.shape[1]], ids.reshape(-1)[real].tolist(), score.reshape(-1)[real]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(values, made_of, strict=True)], names=made_of.names)
+
+        near = vectors.select(key, "vector").where(F.col("vector").isNotNull()).mapInArrow(run, shape)
+        return near.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= k).drop("_k")
 
     return reduce(DataFrame.union, map(nearest, parts))
 
 
-class Planes:
-    """Buckets by signs against random planes, a deterministic index for larger corpora."""
-
-    def __init__(self, dim: int, bits: int = 8, tables: int = 8, seed: int = 7):
-        self.normals, self.bits, self.tables = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4), bits, tables
-
-    def codes(self, vector: Column) -> Column:
-        one = lambda t: sum((F.when(scores.dot(vector, literal(self.normals[t, b])) >= 0, 1 << b).otherwise(0) for b in range(self.bits)), F.lit(t << self.bits))
-        return F.array(*[one(t) for t in range(self.tables)])
-
-    def probes(self, query: list[float]) -> list[int]:
-        """The query's buckets and those one bit away, in each table."""
-        signs = (self.normals @ np.array(query)) >= 0
-        base = [(t << self.bits) | int(sum(1 << b for b in range(self.bits) if signs[t, b])) for t in range(self.tables)]
-        return base + [c ^ (1 << b) for c in base for b in range(self.bits)]
-
-
-def bucketed_top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "chunk_hash", planes: Planes | None = None) -> DataFrame:
-    planes = planes or Planes(len(query))
-    near = F.arrays_overlap(planes.codes(F.col("vector")), F.array(*[F.lit(c) for c in planes.probes(query)]))
-    return top_k(vectors, query, k, key, near)
+#: Vectors that are compared with the queries at a time.
+SLICE = 256
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of no length stay 0."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
+
+
+def matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, vectors) of a batch (key, vector)."""
+    return np.array(batch.column(0).to_pylist()), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def merged_best(best: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query after rows with rising ids; scores [queries, rows]. Only queries that a row can change
+    are sorted. Places that are not filled have score -1."""
+    if best is None:
+        best = np.full((len(score), k), ids[0]), np.full((len(score), k), -1.0)
+    old_ids, old = best
+    if len(ids) and old_ids.dtype != np.promote_types(old_ids.dtype, ids.dtype):
+        old_ids = old_ids.astype(np.promote_types(old_ids.dtype, ids.dtype))
+    change = np.flatnonzero(score.max(1, initial=-1.0) >= old[:, -1])
+    if len(change):
+        top = np.argsort(-score[change], axis=1, kind="stable")[:, :k]
+        all_ids = np.concatenate([old_ids[change], ids[top]], axis=1)
+        all_scores = np.concatenate([old[change], np.take_along_axis(score[change], top, 1)], axis=1)
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        old_ids[change], old[change] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+    return old_ids, old
+
+
+#: Vectors that centres are fitted on at most, queries that probes are chosen by, the recall that they aim at, and rows in a list.
+SAMPLE, TRIALS, RECALL, LIST_ROWS, MOST_LISTS = 20_000, 200, 0.97, 1000, 1024
+
+
+def centres_of(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Centres by spherical k-means."""
+    sample, rng = unit(sample), np.random.default_rng(seed)
+    out = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
+    for _ in range(rounds):
+        own = (sample @ out.T).argmax(1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, own, sample)
+        out = np.where(np.bincount(own, minlength=len(out))[:, None] > 0, unit(sums), out)
+    return out
+
+
+class Index:
+    """A stored inverted file: a table of all vectors, partitioned by the nearest of its centres. A search reads the
+    lists of the query's nearest centres alone, by partition pruning, and scores their vectors exactly.
+
+    Centres are fitted on at most SAMPLE vectors, in the order of hashed keys; every vector is in one list. How many
+    lists a search reads is measured when the index is built: at least as many as hold RECALL of the true neighbours
+    of TRIALS sampled vectors, which an exact search over all rows finds."""
+
+    def __init__(self, path: str, centres: np.ndarray, probes: int):
+        self.path, self.centres, self.probes = path, centres, probes
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, key: str = "chunk_hash", k: int = 10, lists: int | None = None) -> Index:
+        spark, real = vectors.sparkSession, vectors.where("vector IS NOT NULL")
+        n = real.count()
+        if not n:
+            raise ValueError("there are no vectors to index")
+        share = min(1.0, 1.5 * SAMPLE / n)
+        some = real.select(key, "vector", F.xxhash64(key).alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))).orderBy("h", key).limit(SAMPLE).collect()
+        sample = np.array([r.vector for r in some], np.float64)
+        centres = centres_of(sample, lists or max(1, min(MOST_LISTS, n // LIST_ROWS, round(np.sqrt(n)))))
+        shared, dim = spark.sparkContext.broadcast(centres), centres.shape[1]
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = matrix(batch.select([key, "vector"]), dim)[1]
+                own = (unit(found) @ shared.value.T).argmax(1) if len(found) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*batch.schema.names, "list"])
+
+        rows = real.mapInArrow(nearest, T.StructType([*real.schema.fields, T.StructField("list", T.IntegerType())]))
+        # ranges of (list, key): a long list is cut over several tasks, and each writes few lists
+        rows.repartitionByRange("list", key).write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
+        stored = spark.read.parquet(f"{path}/vectors")
+        trials = sample[:TRIALS]
+        asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(trials)], "query int, query_vector array<double>")
+        true = neighbours(stored, asked, k, key).join(stored.select(key, "list"), key).select("query", "list").collect()  # TRIALS x k
+        rank = np.argsort(np.argsort(-(unit(trials) @ centres.T), axis=1, kind="stable"), axis=1)
+        probes = int(np.quantile([rank[r.query, r.list] for r in true], RECALL, method="higher")) + 1
+        spark.createDataFrame([(i, c.tolist(), probes) for i, c in enumerate(centres)], "list int, centre array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        return cls(path, centres, probes)
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Index:
+        rows = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # at most MOST_LISTS, or as asked
+        return cls(path, np.array([r.centre for r in rows]), rows[0].probes)
+
+    def near(self, query: list[float]) -> list[int]:
+        return np.argsort(-(self.centres @ np.array(query, np.float64)), kind="stable")[: self.probes].tolist()
+
+    def top_k(self, spark: SparkSession, query: list[float], k: int = 10, key: str = "chunk_hash", where: Column | None = None) -> DataFrame:
+        rows = spark.read.parquet(f"{self.path}/vectors").where(F.col("list").isin(self.near(query)))
+        return top_k(rows.drop("list"), query, k, key, where)
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
@@ -113,6 +217,14 @@ def embedded(chunks: DataFrame, encode: Callable[[pd.Series], pd.Series] | None
     return chunks.select("chunk_hash", "source_id", "source_version", "domain", "content", vector(text).alias("vector"), "created_at")
 
 
+def refined(hits: DataFrame, adapters: list[str] | None = None, least_score: float | None = None, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Hits after the search: of some adapters, of a score at least, of a time. They take rows away and bring no others."""
+    hits = hits if adapters is None else hits.where(F.col("adapter_id").isin(adapters))
+    hits = hits if least_score is None else hits.where(F.col("score") >= least_score)
+    hits = hits if since is None else hits.where(F.col("fetch_timestamp") >= since)
+    return hits if before is None else hits.where(F.col("fetch_timestamp") <= before)
+
+
 def retrieve(store: Store, text: str, top_k_: int = 10, encode: Callable[[pd.Series], pd.Series] | None = None, domain: str | None = None, source: str | None = None, strict_source: bool = True) -> DataFrame:
     """Search hits with their chunk and lineage. Filters go before the k nearest, retirement after: fewer than k rows
     may come back. A person's metadata is not shown."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.plans.store import Store, latest
 
@@ -19,8 +20,9 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0)
 
 
 def prefix(column: str, text: str) -> Column:
-    """LIKE 'text%' without wildcards in text, of any case."""
-    return F.lower(F.col(column)).startswith(text.lower())
+    """LIKE 'text%' without wildcards in text, of either case of A-Z."""
+    upper, lower = (string.ascii_uppercase, string.ascii_lowercase)
+    return F.translate(F.col(column), upper, lower).startswith(text.translate(str.maketrans(upper, lower)))
 
 
 def list_sources(store: Store, domain: str | None = None, adapter_id: str | None = None, source_id_prefix: str | None = None, state: str | None = None, fetched_after: str | None = None, fetched_before: str | None = None, limit: int = 50, offset: int = 0, sort_by: str = "created_at", order: str = "asc") -> tuple[DataFrame, DataFrame]:
@@ -58,13 +60,14 @@ def list_chunks(store: Store, domain: str | None = None, adapter_id: str | None
     return page(sound.drop("s_domain", "s_adapter"), order, limit, offset), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-def chunks_of_source(store: Store, source_id: str, version: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+def chunks_of_source(store: Store, source_id: str, version: int | None = None, limit: int | None = None, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(page, total): chunks of one version, the current one if none is named, retired ones included."""
     rows = store.chunks.where(F.col("source_id") == source_id)
     if version is None:
         rows = rows.join(store.sources.select("source_id", F.col("current_version").alias("source_version")), ["source_id", "source_version"])
     else:
         rows = rows.where(F.col("source_version") == version)
-    return page(rows, [F.col("chunk_index"), F.col("chunk_hash")], limit, offset)
+    return page(rows, [F.col("chunk_index"), F.col("chunk_hash")], limit, offset), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def chunk_by_hash(store: Store, chunk_hash: str, source_id: str | None = None, retired: bool = False) -> DataFrame:
@@ -161,7 +164,7 @@ def dead_letters(store: Store, limit: int = 100) -> DataFrame:
 
 def with_total(df: DataFrame) -> DataFrame:
     """Rows with the number of all rows beside each page row."""
-    return df.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
 def adapter(store: Store, adapter_id: str) -> DataFrame:
@@ -183,12 +186,10 @@ def sync_log(store: Store, limit: int = 100, offset: int = 0) -> DataFrame:
     return page(store.sync_log, [F.desc_nulls_last("synced_at"), F.col("chunk_hash"), F.col("operation")], limit, offset)
 
 
-def last_page(df: DataFrame, order: list[Column], size: int, pages_back: int = 0) -> DataFrame:
-    """The last page of an order, or one before it, in the order itself."""
-    rank = F.row_number().over(Window.partitionBy().orderBy(*order))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = df.withColumns({"_k": rank, "_n": n})
-    return rows.where((F.col("_k") > F.col("_n") - size * (pages_back + 1)) & (F.col("_k") <= F.col("_n") - size * pages_back)).orderBy("_k").drop("_k", "_n")
+def last_page(df: DataFrame, order: list[str], size: int, pages_back: int = 0) -> DataFrame:
+    """The last page of an ascending order of columns, or one before it, in the order itself: the first rows of the
+    order turned round, by a bounded heap in each task."""
+    return page(df, [F.desc(c) for c in order], size, size * pages_back).orderBy(*order)
 
 
 def table_bytes(store: Store) -> int:

@@ -7,8 +7,6 @@ has its blanks doubled, a third is unchanged. Then adapter corpus:src7 is reset.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,28 +14,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import ingest, link_parents
 from tidemark.plans.store import Store, empty
+from tidemark.plans.tables import owned, scratch, table
 
 FIRST, SECOND, RESET = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "2024-03-01T00:00:00Z"
 _made: dict[tuple[str, str], str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-store-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+    docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc/"), "doc_id").alias("source_id"), F.concat(F.lit("corpus:"), "source").alias("adapter_id"), F.lit("documents").alias("domain"), F.concat(F.lit("file:///corpus/"), "lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("origin_ref"),
-        F.concat(F.lit("Document "), "doc_id").alias("display_name"), F.when(F.col("doc_id") % 2 == 0, "pull").otherwise("push").alias("poll_strategy"), F.when(F.col("doc_id") % 4 == 0, 3600).alias("poll_interval_sec"), F.lit("1").alias("normalizer_version"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("extra_metadata"), F.col("doc_id").alias("n"))
+        F.concat(F.lit("Document "), "doc_id").alias("display_name"), F.when(F.col("doc_id") % 2 == 0, "pull").otherwise("push").alias("poll_strategy"), F.when(F.col("doc_id") % 4 == 0, 3600).alias("poll_interval_sec"), F.lit("1").alias("normalizer_version"), F.coalesce("text", F.lit("")).alias("markdown"), F.lit(None).cast("string").alias("extra_metadata"), F.col("doc_id").alias("n"))
     return docs
 
 
@@ -58,22 +44,23 @@ def edited(docs: DataFrame) -> DataFrame:
 def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
-        path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+        path = scratch(spark, "store")
         docs, talks = items(spark, sf_dir), conversation_items(spark, sf_dir)
         adapters = docs.select("adapter_id", "domain").union(talks.select("adapter_id", "domain")).distinct().select(
             "adapter_id", "domain", F.substring_index("adapter_id", ":", 1).alias("adapter_type"), F.lit("1").alias("normalizer_version"), F.lit("{}").alias("config"), F.lit(True).alias("enabled"), F.lit(FIRST).alias("created_at"), F.lit(FIRST).alias("updated_at"))
         idle = spark.createDataFrame([("idle:none", "notes", "idle", "1", "{}", False, FIRST, FIRST)], adapters.schema)
-        store = Store.new(spark).register_adapters(adapters.union(idle))
-        store, _ = ingest(store, docs.drop("n").unionByName(talks.drop("n")), FIRST, "model-a", by_line=True, vectors=False)
-        store = store.write(f"{path}/first")
-        store, _ = ingest(store, edited(docs).drop("n"), SECOND, "model-b", by_line=True)
-        store = store.write(f"{path}/second")
-        store, _ = store.reset_adapter("corpus:src7", RESET)
-        store = link_parents(store)
-        vectors = table(spark, sf_dir, "embeddings").select(
-            F.concat(F.lit("vec/"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("chunk_hash"), F.concat(F.lit("src/"), F.col("vec_id") % 7).alias("source_id"), F.lit(1).alias("source_version"), F.concat(F.lit("domain"), "label").alias("domain"),
-            F.lit("").alias("content"), F.col("embedding").cast("array<float>").alias("vector"), F.lit(FIRST).alias("created_at"))
-        store = replace(store, vectors=vectors, dead_letters=empty(spark, "dead_letters"))
-        store.write(f"{path}/store")
+        with owned(spark):
+            store = Store.new(spark).register_adapters(adapters.union(idle))
+            store, _ = ingest(store, docs.drop("n").unionByName(talks.drop("n")), FIRST, "model-a", by_line=True, vectors=False)
+            store = store.write(f"{path}/first")
+            store, _ = ingest(store, edited(docs).drop("n"), SECOND, "model-b", by_line=True)
+            store = store.write(f"{path}/second")
+            store, _ = store.reset_adapter("corpus:src7", RESET)
+            store = link_parents(store)
+            vectors = table(spark, sf_dir, "embeddings").select(
+                F.concat(F.lit("vec/"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("chunk_hash"), F.concat(F.lit("src/"), F.col("vec_id") % 7).alias("source_id"), F.lit(1).alias("source_version"), F.concat(F.lit("domain"), "label").alias("domain"),
+                F.lit("").alias("content"), F.col("embedding").cast("array<float>").alias("vector"), F.lit(FIRST).alias("created_at"))
+            store = replace(store, vectors=vectors, dead_letters=empty(spark, "dead_letters"))
+            store.write(f"{path}/store")
         _made[key] = f"{path}/store"
     return Store.at(spark, _made[key])

@@ -8,14 +8,18 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.scores import chain_similarity, cosine
 from tidemark.plans.store import Store, latest
-
-MOST_LEVELS = 1000
+from tidemark.plans.tables import saved
 
 
 def latest_versions(store: Store) -> DataFrame:
     return latest(store.versions, ["source_id"], F.desc("version"))
 
 
+def source_version(store: Store, source_id: str, version: int) -> DataFrame:
+    """One version of a source; no row, where there is none of that number."""
+    return store.versions.where((F.col("source_id") == source_id) & (F.col("version") == version))
+
+
 def history(store: Store, source_id: str | None = None) -> DataFrame:
     rows = store.versions if source_id is None else store.versions.where(F.col("source_id") == source_id)
     return rows.orderBy("source_id", "version")
@@ -49,18 +53,23 @@ def diff(store: Store, source_id: str, from_version: int, to_version: int) -> Da
 
 def chains(store: Store, heads: DataFrame) -> DataFrame:
     """(head, chunk_hash, level): each head and its ancestors by parent_chunk_hash, level 0 the head. A chunk that
-    comes again ends its chain. heads: (chunk_hash)."""
-    spark = heads.sparkSession
+    comes again ends its chain. heads: (chunk_hash).
+
+    By doubling: after k rounds a chain has its first 2^k levels, and ``jumps`` leads 2^k levels up; so a chain of any
+    length takes the logarithm of it in rounds."""
     live = latest(store.live_chunks(), ["chunk_hash"], "created_at", "source_id", "source_version").select("chunk_hash", "parent_chunk_hash")
-    live.createOrReplaceTempView("chain_nodes")
-    heads.select("chunk_hash").distinct().createOrReplaceTempView("chain_heads")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(head, chunk_hash, parent, level, seen) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-            SELECT n.chunk_hash, n.chunk_hash, n.parent_chunk_hash, 0, array(n.chunk_hash) FROM chain_nodes n JOIN chain_heads h ON n.chunk_hash = h.chunk_hash
-            UNION ALL
-            SELECT c.head, n.chunk_hash, n.parent_chunk_hash, c.level + 1, array_append(c.seen, n.chunk_hash)
-            FROM chain c JOIN chain_nodes n ON c.parent = n.chunk_hash WHERE NOT array_contains(c.seen, n.chunk_hash))
-        SELECT head, chunk_hash, level FROM chain""")
+    live = saved(live, "chain-nodes")
+    there = live.select(F.col("chunk_hash").alias("up"))
+    jumps = saved(live.select(F.col("chunk_hash").alias("at"), F.col("parent_chunk_hash").alias("up")).join(there, "up", "left_semi").select("at", "up"), "jumps")
+    found = saved(live.join(heads.select("chunk_hash").distinct(), "chunk_hash", "left_semi").select(F.col("chunk_hash").alias("head"), "chunk_hash", F.lit(0).alias("level")), "chains")
+    n, step = found.count(), 1
+    while True:
+        further = found.join(jumps, F.col("chunk_hash") == F.col("at")).select("head", F.col("up").alias("chunk_hash"), (F.col("level") + step).alias("level"))
+        found = saved(found.union(further).groupBy("head", "chunk_hash").agg(F.min("level").alias("level")), "chains")
+        before, n, step = n, found.count(), 2 * step
+        if n == before:
+            return found
+        jumps = saved(jumps.join(jumps.select(F.col("at").alias("mid"), F.col("up").alias("top")), F.col("up") == F.col("mid")).select("at", F.col("top").alias("up")), "jumps")
 
 
 def chain_similarities(store: Store, heads: DataFrame) -> DataFrame:
