@@ -52,6 +52,11 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def owner() -> list[str] | None:
+    """The list of the innermost owned(), if there is one."""
+    return _owner.get()
+
+
 @contextmanager
 def owned(spark: SparkSession | None = None) -> Iterator[list[str]]:
     """The paths of the tables that are saved inside; whoever opens this decides when they go. With a session they go
