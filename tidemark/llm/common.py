@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,71 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: The white space of the word contracts: space and the controls from tab to carriage return.
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-#: A table below this many bytes a core may be a single split of its file: its rows are dealt to all cores.
-SMALL = 8 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a session on one machine,
-    as in tests, gets a folder of its own; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
+from tidemark.plans import tables
+from tidemark.plans.tables import deleted, owned, saved, scratch, table
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["ascii_lower", "deleted", "dropped", "dropped_but", "fresh", "numbered", "owned", "saved", "scratch", "staged", "table", "words_of"]
 
-
-#: Paths of the tables that were saved inside the innermost owned().
-_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
-
-
-@contextmanager
-def owned() -> Iterator[list[str]]:
-    """The paths of the tables that are saved inside; whoever opens this decides when they go."""
-    paths: list[str] = []
-    mark = _owner.set(paths)
-    try:
-        yield paths
-    finally:
-        _owner.reset(mark)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to a table in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    if (paths := _owner.get()) is not None:
-        paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The white space of the word contracts: space and the controls from tab to carriage return.
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 def tops_of(df: DataFrame) -> set[str]:
     return {f[: f.rindex("/")].rsplit("/", 1)[-1] for f in df.inputFiles()}
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by saved(), once nothing reads it any more."""
     for top in {f[: f.rindex("/")] for f in df.inputFiles()}:
@@ -87,7 +31,7 @@ def dropped(df: DataFrame) -> None:
 
 def dropped_but(spark: SparkSession, *kept: DataFrame) -> None:
     """In a pipeline stage: deletes the tables that it has saved so far, but for those that ``kept`` read."""
-    paths, names = _owner.get() or [], set().union(*map(tops_of, kept))
+    paths, names = tables.owner() or [], set().union(*map(tops_of, kept))
     for path in [p for p in paths if p.rsplit("/", 1)[-1] not in names]:
         deleted(spark, path)
         paths.remove(path)
@@ -101,7 +45,7 @@ def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callab
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with owned() as paths:
             out = stage(spark, docs, sf_dir)
-        if (around := _owner.get()) is not None:
+        if (around := tables.owner()) is not None:
             around.extend(paths)
         return out
 
