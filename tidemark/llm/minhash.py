@@ -157,7 +157,8 @@ def lists(signed: DataFrame) -> DataFrame:
     each = members.groupBy("band").agg(*marks).groupBy("n", "low", "top", "s1", "s2").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("times"))
     members = saved(members.join(each.select("band", "n", "times"), "band"), "distinct-lists")
     weights = members.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
-    pivots = members.join(weights, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("x")).select("band", F.col("x.key").alias("pivot"))
+    # a table, so that the join with it isn't bound to the aggregation's partitions: a long list can be split
+    pivots = saved(members.join(weights, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("x")).select("band", F.col("x.key").alias("pivot")), "pivots")
     return saved(members.drop("times").join(pivots, "band"), "lists")
 
 
