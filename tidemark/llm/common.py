@@ -37,16 +37,43 @@ def dropped_but(spark: SparkSession, *kept: DataFrame) -> None:
         paths.remove(path)
 
 
+#: (path, weak references to Spark's index of its files) of tables that results of stages read.
+_left: list[tuple[str, list]] = []
+
+
+def left_to(spark: SparkSession, out: DataFrame, paths: list[str]) -> None:
+    """Tables that a result reads go once nothing can read them any more: when Spark's index of their files, which every
+    plan over them refers to, is garbage, as Spark's own cleaner does it for shuffles. Those it doesn't read go now."""
+    leaves, refs = out._jdf.queryExecution().analyzed().collectLeaves(), {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            place = leaf.relation().location()
+            refs.setdefault(place.rootPaths().head().getName(), []).append(spark.sparkContext._jvm.java.lang.ref.WeakReference(place))
+    for path in paths:
+        _left.append((path, refs.get(path.rsplit("/", 1)[-1], [])))
+    swept(spark)
+
+
+def swept(spark: SparkSession) -> None:
+    for item in [x for x in _left if all(ref.refersTo(None) for ref in x[1])]:
+        deleted(spark, item[0])
+        _left.remove(item)
+
+
 def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A pipeline stage: it owns the tables that it saves and deletes those that its result doesn't read. The others
-    stay as long as the result may be read; they go with the owner around the stage, if there is one."""
+    stay as long as the result, or what was made of it, can be read; or they go with the owner around the stage."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        swept(spark)
         with owned() as paths:
             out = stage(spark, docs, sf_dir)
         if (around := tables.owner()) is not None:
             around.extend(paths)
+        else:
+            left_to(spark, out, paths)
         return out
 
     return run

@@ -156,7 +156,7 @@ def rewritten(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     dropped_but(docs.sparkSession, boxed, gone)
     left = lambda t: F.array_join(F.filter(F.split(t, "\n"), lambda x, k: ~F.array_contains("gone", k)), "\n")
     cut = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(left(F.col("row")[text]))
-    both = boxed.join(gone, F.col("row_no") == F.col("gone_no"), "left")
+    both = boxed.join(gone.hint("merge"), F.col("row_no") == F.col("gone_no"), "left")  # it grows with the documents
     return both.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
