@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import minhash
 from tidemark.llm.common import dropped_but, saved, staged, table
 from tidemark.llm.components import components
+from tidemark.llm.encode import relax
 
 CHARS, CHUNK = 8, 4 << 20
 #: White space other than single blanks and line feeds, as str.split() knows it.
@@ -113,6 +114,7 @@ def signed_lines(rows: DataFrame) -> DataFrame:
                     part, size = [], 0
             if part:
                 yield made(part)
+            relax()
 
     return rows.select("row_no", "doc_id", "text").mapInArrow(run, "row_no long, doc_id long, line_no long, key long, bands binary")
 
@@ -129,6 +131,8 @@ def line_bodies(texts: DataFrame, filter_: np.ndarray) -> DataFrame:
             keys = np.array([xxh64_intdigest(p.encode(), 42) for p in plain], np.uint64).view(np.int64)
             fit = np.flatnonzero(minhash.passing(likely.value, keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys[fit], pa.int64()), pa.array([plain[i] for i in fit], pa.string())], names=["key", "body"])
+            del plain, keys
+            relax()
 
     return texts.mapInArrow(run, "key long, body string")
 

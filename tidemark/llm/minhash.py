@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved
+from tidemark.llm.encode import relax
 
 BANDS, ROWS, SIMILARITY = 13, 5, 0.8
 #: A list longer than LONG compares its failing members with the others by blocks of BLOCK.
 LONG, BLOCK = 32, 1024
 #: Bands in a packed load, and about as many in a part.
-PART = 2_000_000
+PART = 1_000_000
 #: Bits of the filters that spare shuffling rows which surely match nothing; the joins after them are exact.
 FILTER_BITS = 24
 _rng = np.random.default_rng(20_240_501)
@@ -124,12 +125,18 @@ def shared_bands(signed: DataFrame) -> DataFrame:
             if size >= PART:
                 yield load()
                 held, size = [], 0
+                relax()
         if size:
             yield load()
+            held = []
+        relax()
 
     def both(group: pa.Table) -> pa.Table:
         band, low, top = ends_of_runs(*(np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("band", "key")))
-        return pa.table({"band": band[low != top]})
+        out = pa.table({"band": band[low != top]})
+        del band, low, top
+        relax()
+        return out
 
     return signed.select("key", "bands").mapInArrow(send, "part long, band binary, key binary").groupBy("part").applyInArrow(both, "band long")
 
@@ -149,6 +156,7 @@ def lists(signed: DataFrame) -> DataFrame:
             flat, per = unpacked(batch.column(1))
             fit = np.flatnonzero(passing(likely.value, flat))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), per)[fit]), pa.array(flat[fit])], names=["key", "band"])
+        relax()
 
     members = signed.select("key", "bands").mapInArrow(run, "key long, band long")
     members = saved(members.join(shared, "band").distinct(), "members")
@@ -189,7 +197,11 @@ def links(members: DataFrame, bodies: Callable[[np.ndarray], DataFrame], shingle
                     both = np.count_nonzero(t.take(t.searchsorted(s), mode="clip") == s)
                 return both >= similarity * (len(s) + len(t) - both)
 
-            return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+            out = pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+            sets.cache_clear()
+            numbers.cache_clear()
+            relax()
+            return out
 
         first = texts.withColumnsRenamed({"key": "k1", "body": "b1"})
         second = texts.withColumnsRenamed({"key": "k2", "body": "b2"})
@@ -261,6 +273,8 @@ def against(lists_: DataFrame, queries: DataFrame, texts: DataFrame, hashes: Cal
             if len(roots) > 1:
                 root[np.isin(root, roots)] = roots[-1]
         u, v = np.array(us, np.int64), np.array(vs, np.int64)
+        del both, linked
+        relax()
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     return rows.groupBy("pivot", "qb", "mb").applyInArrow(block, "u long, v long")

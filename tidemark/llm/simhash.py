@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tidemark.llm import minhash
 from tidemark.llm.common import dropped_but, saved, staged, table
 from tidemark.llm.components import components
-from tidemark.llm.encode import strings
+from tidemark.llm.encode import relax, strings
 
 WORDS, BITS, LONG, SLICE = 3, 2, 64, 65_536
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -154,6 +154,8 @@ def signed(rows: DataFrame, words: int = 5) -> DataFrame:
             keys = np.array([xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
             packed = pa.array([row.tobytes() for row in both], pa.binary())
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(keys), packed], names=[*names, "key", "bands"])
+            del texts, hashes, some, near, alike, both, packed
+            relax()
 
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("bands", T.BinaryType())]))
 
