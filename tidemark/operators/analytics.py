@@ -165,3 +165,30 @@ def latest_watch(watches: DataFrame, indexed: DataFrame) -> DataFrame:
     """The latest watch of each video that has no transcript yet."""
     last = watches.where("video_id IS NOT NULL").groupBy("video_id").agg(F.max_by(F.struct(*[c for c in watches.columns if c != "video_id"]), "watched_at").alias("x"))
     return last.join(indexed.select("video_id").distinct(), "video_id", "left_anti").select("video_id", "x.*")
+
+
+def by_type_and_day(records: DataFrame, kind: str, date: str, value: str) -> DataFrame:
+    """(kind, date, n, total) of records."""
+    return records.groupBy(kind, date).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+#: Orders of the music and document lists: (column, descending); ties by the id.
+LIST_ORDERS = {"plays": ("play_count", True), "recent": ("last_played", True), "title": ("title", False), "name": ("title", False), "date": ("modified_at", True), "size": ("file_size_bytes", True)}
+
+
+def listed_by(rows: DataFrame, sort: str, id_: str, limit: int | None = 50) -> DataFrame:
+    """A list's first rows in one of its orders, nulls last."""
+    column, falling = LIST_ORDERS[sort]
+    out = rows.orderBy(F.desc_nulls_last(column) if falling else F.asc_nulls_last(column), F.col(id_))
+    return out if limit is None else out.limit(limit)
+
+
+def letters(names: DataFrame, name: str) -> DataFrame:
+    """(letter, n): names by their first letter, '#' for what is none of A to Z."""
+    first = F.upper(F.substring(F.trim(name), 1, 1))
+    return names.groupBy(F.when(first.rlike("^[A-Z]$"), first).otherwise("#").alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_filled(rows: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:
+    """(key, column): of each key the first value that isn't null; null where all are."""
+    return rows.groupBy(key).agg(F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*order))).alias(column))

@@ -237,10 +237,12 @@ def list_chunks_page(s, d):
     return C.list_chunks(corpus_store(s, d), adapter_id="corpus:src2", limit=25, offset=5)[0].select("source_id", "chunk_index", "chunk_hash", "content")
 
 
-@query("SELECT event_id FROM events WHERE json_type(props, '$.k') = 'VARCHAR' AND json_extract_string(props, '$.k') = '5'")
+@query("SELECT event_id FROM events WHERE user_id = 5 AND event_type <> 'view'")
 def metadata_filter_strict(s, d):
-    """No row: the values are numbers, and only strings equal a text."""
-    return table(s, d, "events").where(C.metadata_equals("props", "k", "5")).select("event_id")
+    """Views keep the user's id as a number, others as a string: only a string equals a text."""
+    value = F.when(F.col("event_type") == "view", F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"'), "user_id", F.lit('"')))
+    rows = table(s, d, "events").withColumn("md", F.concat(F.lit('{"k": '), value, F.lit("}")))
+    return rows.where(C.metadata_equals("md", "k", "5")).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE json_extract_string('{\"k\": \"' || event_type || '\"}', '$.k') = 'click'")
@@ -442,9 +444,11 @@ def colleagues(s, d):
     return linking.colleagues(replace(corpus_store(s, d), entity_links=linking.resolved(_contacts(s, d), "2024-01-01T00:00:00Z")))
 
 
-@query("SELECT 'p' || c_custkey AS chunk_hash FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 10000 NOT IN (SELECT o_orderkey % 10000 FROM orders)")
+@query("SELECT 'p' || c_custkey AS chunk_hash FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 10000 NOT IN (SELECT o_orderkey % 10000 FROM orders) UNION ALL SELECT 's' || s_suppkey FROM supplier")
 def orphan_people(s, d):
-    c = _contacts(s, d)
+    """Contacts that nothing mentions: customers without orders, and suppliers."""
+    more = table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.lit("people"), F.concat(F.lit('{"contact_id": "s'), "s_suppkey", F.lit('", "emails": ["s'), "s_suppkey", F.lit('@mail.example"]}')))
+    c = _contacts(s, d).union(more)
     return c.where("domain = 'people'").join(linking.resolved(c, "x"), F.col("chunk_hash") == F.col("source_chunk_hash"), "left_anti").select("chunk_hash")
 
 
@@ -624,12 +628,11 @@ def due_classes(s, d):
     return table(s, d, "orders").select("o_orderkey", scores.due_class(due, F.to_date(F.lit("1998-01-14"))).alias("class"))
 
 
-@query("SELECT user_id::VARCHAR AS video_id, max(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1")
+@query("SELECT user_id::VARCHAR AS video_id, max(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1")
 def latest_watch(s, d):
-    """The last watch of videos that have no transcript."""
-    e = table(s, d, "events")
-    watches = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("watched_at"), "event_id")
-    return A.latest_watch(watches, e.where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("video_id"))).select("video_id", "event_id")
+    """The last watch of videos that have no transcript; those that are named like nations have one."""
+    watches = table(s, d, "events").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("watched_at"), "event_id")
+    return A.latest_watch(watches, table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("video_id"))).select("video_id", "event_id")
 
 
 @query("SELECT n_name AS name, list_sort(list(c_name)) AS backlinks FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT c_name, []::VARCHAR[] FROM customer UNION ALL SELECT n_name, []::VARCHAR[] FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
@@ -748,3 +751,79 @@ def line_diff(s, d):
     new = v.where("version = 2").select("source_id", F.col("markdown").alias("b"))
     rows = old.join(new, "source_id").select("source_id", F.explode(diff(F.col("a"), F.col("b"))).alias("x"))
     return rows.select("source_id", "x.*").where("kind <> 'context'")
+
+
+# Lists and views
+
+
+@query(f"""
+    WITH h AS (SELECT vec_id, 'a' || vec_id % 4 AS adapter_id, {_SCORE} AS score, '2024-01-' || lpad((vec_id % 28 + 1)::VARCHAR, 2, '0') AS fetch_timestamp FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 200)
+    SELECT vec_id, score FROM h WHERE adapter_id IN ('a1', 'a2') AND score >= 0.55 AND fetch_timestamp >= '2024-01-05' AND fetch_timestamp <= '2024-01-25'""")
+def search_refined(s, d):
+    """The 200 nearest, then by adapter, score and time."""
+    v = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.concat(F.lit("a"), F.col("vec_id") % 4).alias("adapter_id"), F.concat(F.lit("2024-01-"), F.lpad((F.col("vec_id") % 28 + 1).cast("string"), 2, "0")).alias("fetch_timestamp"))
+    hits = vector.top_k(v, _query_vector(s, d), 200, "vec_id").withColumn("score", F.round("score", 6))
+    return vector.refined(hits, ["a1", "a2"], 0.55, "2024-01-05", "2024-01-25").select("vec_id", "score")
+
+
+@query("SELECT v.source_id, v.version, v.tm AS fetch_timestamp, len(h.hs)::INT AS chunk_count FROM ver v JOIN hsh h USING (source_id, version) WHERE source_id = 'doc/3' AND version = 2", base=True)
+def source_version(s, d):
+    return P.source_version(corpus_store(s, d), "doc/3", 2).select("source_id", "version", "fetch_timestamp", F.size("chunk_hashes").alias("chunk_count"))
+
+
+@query("SELECT count(*) AS total FROM chk WHERE source_id = 'doc/6' AND version = current_version", base=True)
+def source_chunks_total(s, d):
+    return C.chunks_of_source(corpus_store(s, d), "doc/6", limit=2)[1]
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def records_by_type_and_day(s, d):
+    rows = table(s, d, "events").withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    return A.by_type_and_day(rows, "event_type", "date", "value").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT p_partkey AS track, p_name AS title, sum(l_quantity)::BIGINT AS play_count FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL ORDER BY play_count DESC, track LIMIT 50")
+def top_tracks(s, d):
+    plays = table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("track")).agg(F.sum("l_quantity").cast("long").alias("play_count"))
+    return A.listed_by(plays.join(table(s, d, "part").select(F.col("p_partkey").alias("track"), F.col("p_name").alias("title")), "track"), "plays", "track").select("track", "title", "play_count")
+
+
+@query("SELECT doc_id, n_chars AS file_size_bytes FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 50")
+def largest_documents(s, d):
+    return A.listed_by(table(s, d, "documents").select("doc_id", F.col("n_chars").alias("file_size_bytes")), "size", "doc_id")
+
+
+@query("SELECT CASE WHEN regexp_matches(upper(p_name[1:1]), '^[A-Z]$') THEN upper(p_name[1:1]) ELSE '#' END AS letter, count(*) AS n FROM (SELECT trim(p_name) AS p_name FROM part) GROUP BY 1")
+def name_letters(s, d):
+    return A.letters(table(s, d, "part"), "p_name")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'view') AS event_type FROM events GROUP BY 1")
+def first_filled(s, d):
+    """Of each user the first event that isn't a view."""
+    rows = table(s, d, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"))
+    return A.first_filled(rows, "user_id", "event_type", ["event_id"])
+
+
+@query(r"SELECT doc_id, file, split_part(file, '.', -1) AS extension, CASE split_part(file, '.', -1) WHEN 'pdf' THEN 'pdf' WHEN 'md' THEN 'text' WHEN 'py' THEN 'code' WHEN 'csv' THEN 'spreadsheet' ELSE 'other' END AS category FROM (SELECT doc_id, 'a/b.c/' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' WHEN 2 THEN 'py' WHEN 3 THEN 'csv' ELSE 'zzz' END AS file FROM documents)")
+def file_categories(s, d):
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "md", "py", "csv", "zzz"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("a/b.c/"), "doc_id", F.lit("."), kind).alias("file"))
+    return rows.select("doc_id", "file", X.extension(F.col("file")).alias("extension"), X.file_category(F.col("file")).alias("category"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN m < 60 THEN m || 'm' WHEN m % 60 = 0 THEN m // 60 || 'h' ELSE m // 60 || 'h ' || m % 60 || 'm' END AS label, CASE WHEN p BETWEEN 1 AND 3 THEN 1 WHEN p = 4 THEN 2 WHEN p BETWEEN 5 AND 7 THEN 3 WHEN p BETWEEN 8 AND 9 THEN 4 END::INT AS priority, CASE WHEN e <= 1 THEN e * 100 ELSE e END AS efficiency
+    FROM (SELECT o_orderkey, (o_orderkey % 500)::INT AS m, (o_orderkey % 10)::INT AS p, (o_orderkey % 8)::DOUBLE / 4 AS e FROM orders)""")
+def labels_and_scales(s, d):
+    """Durations, priorities and efficiencies as they are shown."""
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select("o_orderkey", scores.duration_label((k % 500).cast("int")).alias("label"), scores.task_priority((k % 10).cast("int")).alias("priority"), scores.as_percent((k % 8).cast("double") / 4).alias("efficiency"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT starts_with(ltrim(x), '>') AND NOT regexp_matches(trim(x), '^On .+ wrote:$')), '|') AS own, regexp_extract_all(t, 'https?://[^\s)\]>"'']+') AS links
+    FROM (SELECT doc_id, 'Hello ' || doc_id || chr(10) || 'On day ' || doc_id || ' ann wrote:' || chr(10) || '> see [x](https://a.example/' || doc_id || ')' || chr(10) || 'and http://b.example' AS t FROM documents)""")
+def quotes_and_links(s, d):
+    n = F.col("doc_id").cast("string")
+    rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("Hello "), n, F.lit("\nOn day "), n, F.lit(" ann wrote:\n> see [x](https://a.example/"), n, F.lit(")\nand http://b.example")).alias("t"))
+    return rows.select("doc_id", F.replace(X.without_quotes(F.col("t")), F.lit("\n"), F.lit("|")).alias("own"), X.links_in(F.col("t")).alias("links"))
