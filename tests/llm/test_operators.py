@@ -164,6 +164,20 @@ def test_packing_weights_and_odd(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_many_sources(spark, docs):
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "large").otherwise(F.col("doc_id").cast("string")).alias("source"))
+    pieces = packing.pack(rows, length=64).collect()
+    windows = check_packing(pieces, {r.doc_id: r.text for r in rows.collect()}, 64)
+    assert len({p.source for p in pieces}) > packing.MANY
+    share = sum(p.length for p in pieces if p.source == "large") / sum(p.length for p in pieces)
+    assert all(abs(sum(p.length for p in ps if p.source == "large") - 64 * share) < 2.5 for k, ps in windows.items() if k < max(windows))
+
+
+def test_packing_needs_all_weights(spark, odd):
+    with pytest.raises(ValueError, match="no weight for source"):
+        packing.pack(odd, weights={"s": 2, "t": 3})
+
+
 def test_given_is_a_growing_prefix():
     rng = random.Random(2)
     for _ in range(50):

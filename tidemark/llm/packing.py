@@ -11,6 +11,10 @@ queue, are a prefix of every queue, and prefixes grow with N. So the deficits ca
 the spans before it. The default weights are the queues' lengths: every window has the corpus's mixture and all
 queues end together. With other weights a queue that ends leaves its share to the rest.
 
+A source whose share is below one token a window can't be in every window: such sources are dealt by hash to
+``SHARED`` queues, which have the sum of their shares. So there are at most LENGTH + SHARED queues, however many
+sources there are. If weights are given, each of their sources is a queue; a source without a weight is an error.
+
 Defined results: a null or empty text has its end token alone; null source is a queue of its own; repeated rows are
 packed one by one; an empty table makes no piece. Only the last window may be short of ``LENGTH``.
 """
@@ -32,8 +36,9 @@ from tidemark.llm.common import saved, staged, table
 from tidemark.llm.encode import encoder, ragged, relax, strings
 
 LENGTH, SPAN = 1024, 1024
-#: Sources are queues of a mixture: a bounded number, whose totals the driver holds.
-MOST_SOURCES = 100_000
+#: Queues that sources below a token a window share, counts that a worker holds at once, and queues from which on
+#: rows are dealt by their place in the queues.
+SHARED, COUNTS, MANY = 256, 1 << 21, 64
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -47,7 +52,9 @@ def given(n: int, totals: list[int], weights: list[int]) -> list[int]:
     if n >= sum(totals):
         return list(totals)
     upto = lambda x: [min(t, (2 * x.numerator * w + x.denominator) // (2 * x.denominator)) for t, w in zip(totals, weights, strict=True)]
-    lo, hi = Fraction(0), Fraction(max((t + 1) / w for t, w in zip(totals, weights, strict=True)))
+    # rounding takes at most half a token for each queue: the lower bound is close, if no queue has ended
+    lo = max(Fraction(0), Fraction(2 * n - len(totals), 2 * sum(weights)))
+    hi = max(lo, Fraction(max((t + 1) / w for t, w in zip(totals, weights, strict=True))))
     for _ in range(200):
         mid = Fraction(float((lo + hi) / 2))
         if mid in (lo, hi) or n - sum(upto(lo)) <= len(totals):
@@ -120,26 +127,47 @@ def tokenized(docs: DataFrame, path: str, end: int, doc_id: str, text: str, sour
 
 
 def queued(runs: DataFrame) -> DataFrame:
-    """runs with ``start``, tokens of the same source before it; windows see sums by part first, then a part's runs."""
-    parts = runs.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    keys = runs.select("source", "part", "seq", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner"))
-    starts = keys.join(bases, keys["source"].eqNullSafe(bases["b_source"]) & (keys["part"] == bases["b_part"])).select(F.col("source").alias("s_source"), F.col("part").alias("s_part"), F.col("seq").alias("s_seq"), (F.col("base") + F.col("inner")).alias("start"))
+    """runs (with ``queue``) and ``start``, tokens of the same queue before it; windows see sums by part first, then a
+    part's runs."""
+    parts = runs.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(F.col("queue").alias("b_queue"), F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("queue", "part").orderBy("seq", "source").rowsBetween(Window.unboundedPreceding, -1)
+    keys = runs.select("queue", "source", "part", "seq", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner"))
+    starts = keys.join(bases, (keys["queue"] == bases["b_queue"]) & (keys["part"] == bases["b_part"])).select(F.col("source").alias("s_source"), F.col("part").alias("s_part"), F.col("seq").alias("s_seq"), (F.col("base") + F.col("inner")).alias("start"))
     return runs.join(starts, runs["source"].eqNullSafe(starts["s_source"]) & (runs["part"] == starts["s_part"]) & (runs["seq"] == starts["s_seq"])).select(*runs.columns, "start")
 
 
+def dealt(runs: DataFrame, length: int, weights: dict[str | None, int] | None) -> tuple[DataFrame, list[int], list[int]]:
+    """runs with ``queue``, and the queues' totals and weights."""
+    sums = runs.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    grand = runs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    if weights is None:
+        own = sums.where(F.col("n") * length >= grand)  # at most `length` rows
+    else:
+        named = F.coalesce(F.col("source").isin([w for w in weights if w is not None]), F.lit(None in weights))
+        if (other := sums.where(~named).first()) is not None:
+            raise ValueError(f"no weight for source {other.source!r}")
+        own = sums
+    names = [r.source for r in own.orderBy("source").collect()]
+    known = runs.sparkSession.createDataFrame([(s, k) for k, s in enumerate(names)], "own string, place int")
+    rest = (F.lit(len(names)) + F.pmod(F.xxhash64("source"), F.lit(SHARED))).cast("int")
+    rows = runs.join(F.broadcast(known), runs["source"].eqNullSafe(known["own"]), "left").select(*runs.columns, F.coalesce("place", rest).alias("queue"))
+    totals = {r.queue: r.n for r in rows.groupBy("queue").agg(F.sum("n_tokens").alias("n")).collect()}
+    # queues that no source fell to are left out
+    order = {q: k for k, q in enumerate(sorted(totals))}
+    if len(order) < len(names) + SHARED and any(k != q for q, k in order.items()):
+        rows = rows.withColumn("queue", F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("queue")))
+    return rows, [totals[q] for q in order], [totals[q] for q in order] if weights is None else [weights[name] for name in names]
+
+
 def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, int] | None = None, path: str | None = None, end: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Pieces: (doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset). weights: whole numbers,
     each source's part of the mixture; the sources' tokens if None."""
     runs = saved(tokenized(docs, path or vocabulary(), end, doc_id, text, source), "runs")
-    found = runs.groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: packing by mixture needs a bounded number of queues")
-    names, totals = [r.source for r in found], [r.n for r in found]
-    parts = totals if weights is None else [weights[name] for name in names]
+    rows, totals, parts = dealt(runs, length, weights)
     grand, span = sum(totals), length * SPAN
+    at_once = max(1, min(16, COUNTS // ((SPAN + 1) * max(1, len(totals)))))  # spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -166,18 +194,17 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, int] |
             if not rows:
                 continue
             for r in rows:
-                r["s"] = names.index(r["source"])
-                r["spans"] = spans_of(r["s"], r["start"], r["start"] + r["n_tokens"])
+                r["spans"] = spans_of(r["queue"], r["start"], r["start"] + r["n_tokens"])
             need = sorted({b for r in rows for b in r["spans"]})
-            for k in range(0, len(need), 16):  # spans at a time
-                own = need[k : k + 16]
+            for k in range(0, len(need), at_once):
+                own = need[k : k + at_once]
                 base = np.array([edge(b) for b in own], np.int64)
                 got = rounds(np.array([edge(b + 1) for b in own], np.int64) - base, length)
-                inner = np.cumsum(np.diff(got, axis=1), axis=2) - np.diff(got, axis=1)  # places of the sources before
+                inner = np.cumsum(np.diff(got, axis=1), axis=2) - np.diff(got, axis=1)  # places of the queues before
                 for r in rows:
                     if not (mine := [i for i, b in enumerate(own) if b in r["spans"]]):
                         continue
-                    s, a = r["s"], r["start"]
+                    s, a = r["queue"], r["start"]
                     lo, hi = max(a, int(base[mine[0], s])), min(a + r["n_tokens"], edge(own[mine[-1]] + 1)[s])
                     starts = np.concatenate([base[i, s] + got[i, :-1, s] for i in mine])  # of windows, in the queue
                     counts = np.array(r["counts"], np.int64)
@@ -200,7 +227,10 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, int] |
             del rows
             relax()
 
-    return queued(runs).mapInArrow(run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = queued(rows)
+    if len(totals) > MANY:  # a task then has few spans
+        placed = placed.repartitionByRange(F.col("start") / F.element_at(F.array(*map(F.lit, totals)), F.col("queue") + 1))
+    return placed.mapInArrow(run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
