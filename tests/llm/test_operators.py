@@ -527,6 +527,67 @@ def test_language(spark, docs):
     assert len(pages) == 50 and (pages.lang == pages.declared).mean() >= 0.95
 
 
+def fused_by_hand(rows, k):
+    """(best language, its probability) of rows (ll, host, domain, declared, suffix), by loops."""
+    soft = []
+    for r in rows:
+        e = np.exp(np.array(r["ll"]) - max(r["ll"]))
+        soft.append(e / e.sum())
+    tally = lambda key: {v: sum(p for r, p in zip(rows, soft, strict=True) if key(r) == v) for v in {key(r) for r in rows} - {None}}
+    hosts = tally(lambda r: None if r["host"] is None else (r["host"], r["domain"]))
+    domains = tally(lambda r: None if r["host"] is None else r["domain"])
+    corpus = (sum(soft) + 1) / (len(rows) + k)
+    trust = {}
+    for name in ("declared", "suffix"):
+        seen = tally(lambda r, name=name: r[name])
+        all_ = sum(seen.values(), np.zeros(k))
+        trust[name] = {v: np.log((n + language.SMOOTH) / (all_ + language.SMOOTH * (len(seen) + 1))) for v, n in seen.items()}
+    for r, p in zip(rows, soft, strict=True):
+        prior = corpus
+        if r["host"] is not None:
+            d = domains.get(r["domain"], np.zeros(k))
+            parent = (d + language.STRENGTH * corpus) / (d.sum() + language.STRENGTH)
+            own = np.maximum(hosts[r["host"], r["domain"]] - p, 0)
+            prior = (own + language.STRENGTH * parent) / (own.sum() + language.STRENGTH)
+        x = np.array(r["ll"]) + np.log(prior) + sum(trust[n][r[n]] for n in trust if r[n] is not None)
+        e = np.exp(x - x.max())
+        yield int(x.argmax()), (e / e.sum()).max()
+
+
+def test_language_by_hand(spark):
+    """The query's rows from its tables, by plain Python but for the trigram model."""
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    names, model = language.fitted(docs)
+    rows = [{"id": (r.doc_id, None), "text": r.text or "", "declared": None, "suffix": None, "host": r.source, "domain": None} for r in docs.collect()]
+    for r in spark.read.parquet(SF + "/pages.parquet").collect():
+        host = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", r.url.lower())[1]
+        text = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", r.html)
+        said = re.search(r"""<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", r.html.lower())
+        parts = host.split(".")
+        rows.append({"id": (None, r.page_id), "text": re.sub(r"&[#A-Za-z0-9]{1,10};", " ", text), "declared": said and said[1], "suffix": parts[-1] if len(parts) > 1 else None, "host": host, "domain": ".".join(parts[-2:]) if len(parts) > 1 else None})
+    for r in rows:
+        r["ll"] = model[language.cells(r["text"])].sum(0, dtype=float) * language.TEMPER
+    want = {r["id"]: found for r, found in zip(rows, fused_by_hand(rows, len(names)), strict=True)}
+    got = language.op6_language(spark, SF).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        best, sure = want[r.doc_id, r.page_id]
+        assert r.lang == names[best] and abs(r.confidence - sure) < 1e-4
+
+
+def test_language_by_hand_mixed(spark):
+    """Texts that say little, so that hosts, domains, declarations and suffixes decide; nulls in each."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        host = rng.choice([None, "a.x.org", "b.x.org", "c.y.de", "d.z.fr", "local"])
+        rows.append({"i": i, "ll": [rng.gauss(0, 1) + (2 if host and host.endswith(("org", "de", "fr")[j]) else 0) for j in range(3)], "host": host, "domain": host[2:] if host and "." in host else None, "declared": rng.choice([None, "p", "q", "r"]), "suffix": rng.choice([None, "org", "de"])})
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "i long, ll array<double>, host string, domain string, declared string, suffix string")
+    got = {r.i: r for r in language.fused(frame, ["p", "q", "r"]).collect()}
+    for r, (best, sure) in zip(rows, fused_by_hand(rows, 3), strict=True):
+        assert got[r["i"]].lang == "pqr"[best] and abs(got[r["i"]].confidence - sure) < 1e-5
+
+
 def test_language_held_out(spark):
     """Fitted on one half of the labels, tested on the other."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
