@@ -41,8 +41,8 @@ def test_hash_of_odd_texts(spark):
 
 
 def test_phones_and_emails(spark):
-    df = spark.createDataFrame([("(212) 555-0100 ext. 7",), ("+44 20 7946 0958",), ("1-212-555-0100",), ("12",), (" Ann@X.org ",)], "t string")
-    assert [r.t for r in df.select(X.normalised_identifier(F.col("t")).alias("t")).collect()] == ["+12125550100", "+442079460958", "+12125550100", "", "ann@x.org"]
+    df = spark.createDataFrame([("(212) 555-0100 ext. 7",), ("+44 20 7946 0958",), ("1-212-555-0100",), ("12",), (" Ann@X.org ",), ("011 44 20 7946 0958",), ("011 44",)], "t string")
+    assert [r.t for r in df.select(X.normalised_identifier(F.col("t")).alias("t")).collect()] == ["+12125550100", "+442079460958", "+12125550100", "", "ann@x.org", "+442079460958", ""]
 
 
 def test_split_text():
@@ -244,6 +244,31 @@ def test_readers(spark, tmp_path):
         assert all(r.error is None for r in C.chunked(items.select("source_id", "domain", "markdown", "extra_metadata")).collect()), name
 
 
+def test_files_and_pages(spark, tmp_path):
+    docs = tmp_path / "docs"
+    (docs / "in").mkdir(parents=True)
+    for name, text in (("a.md", "# A"), ("in/b.HTML", "<p>Hi <b>you</b></p>"), ("c.txt", "plain <b>"), ("d.bin", "x"), ("none", "x")):
+        (docs / name).write_text(text)
+    ids = lambda found: {r.source_id: r.markdown for r in found[0].collect()}
+    assert ids(readers.files(spark, str(docs))) == {"a.md": "# A"}
+    got = readers.files(spark, str(docs), extensions=("md", ".html", "txt"))
+    assert ids(got) == {"a.md": "# A", "in/b.HTML": "Hi **you**", "c.txt": "plain <b>"} and got[1].isEmpty()
+    assert {json.loads(r.extra_metadata)["document_type"] for r in got[0].collect()} == {"text/markdown", "text/html", "text/plain"}
+    with pytest.raises(ValueError):
+        readers.files(spark, str(docs), extensions=("pdf",))
+
+    pages = tmp_path / "pages of a feed"
+    pages.mkdir()
+    (pages / "1.json").write_text('{"source_id": "a.md", "markdown": "x"}\n{"has_more": true, "next_cursor": "c1"}')
+    (pages / "2.json").write_text('{"source_id": "b.md", "markdown": "y"}\n{"has_more": false, "next_cursor": "c2"}')
+    items, _, trailers = readers.file_feed(spark, str(pages))
+    assert {r.source_id for r in items.collect()} == {"a.md", "b.md"}
+    assert {(r.has_more, r.next_cursor) for r in trailers.collect()} == {(True, "c1"), (False, "c2")}
+    (pages / "3.json").write_text('{"source_id": "c.md", "markdown": "z"}')
+    with pytest.raises(ValueError):  # one page of three was cut off
+        readers.file_feed(spark, str(pages))
+
+
 def test_calendar_and_card_files(spark, tmp_path):
     (tmp_path / "a.ics").write_text("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:Long\r\n  title\r\nDTSTART:20240101T100000Z\r\nDURATION:PT1H30M\r\nATTENDEE:mailto:b@x.org\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
     row = readers.ical(spark, str(tmp_path))[0].first()

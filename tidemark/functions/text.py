@@ -67,10 +67,10 @@ def address_in(text: Column) -> Column:
 
 
 def normalised_phone(text: Column) -> Column:
-    """E.164 for numbers of the North American plan and for numbers with an explicit country code; else ''.
-
-    An extension is dropped."""
+    """E.164 for numbers of the North American plan and for numbers with an explicit country code, after + or after
+    the plan's international prefix 011; else ''. An extension is dropped."""
     bare = F.regexp_replace(F.lower(text), r"\s*(?:x|ext\.?|extension|#)\s*\d+\s*$", "")
+    bare = F.regexp_replace(bare, r"^\D*0\D*1\D*1(?=(?:\D*[1-9])(?:\D*\d){7,14}\D*$)", "+")
     digits = F.regexp_replace(bare, r"\D", "")
     plus = F.ltrim(bare).startswith("+")
     return (

@@ -7,7 +7,9 @@ rejects a record and not the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,12 @@ ITEM = ("source_id", "adapter_id", "domain", "origin_ref", "display_name", "poll
 Both = tuple[DataFrame, DataFrame]
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(raw, r): each line, and the record it holds; r is null where it holds none."""
+def json_lines(spark: SparkSession, path: str | list[str], schema: str, file: str | None = None) -> DataFrame:
+    """(raw, r): each line, and the record it holds; r is null where it holds none. Also its file, under that name."""
     kind = T._parse_datatype_string(schema)
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.col("value").alias("raw"), F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"))
+    named = [F.col("_metadata.file_path").alias(file)] if file else []
+    return lines.select(F.col("value").alias("raw"), F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"), *named)
 
 
 def metadata(**fields: Column) -> Column:
@@ -67,22 +70,37 @@ def join_text(*parts: Column) -> Column:
 # Files and notes
 
 
-def files(spark: SparkSession, folder: str, adapter_id: str = "files:local", pattern: str = "*.md") -> Both:
-    """Markdown files below a folder; the id is the path inside it."""
+#: Files that are read, with the type that their items name.
+FORMATS = {"md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html"}
+
+
+def files(spark: SparkSession, folder: str, adapter_id: str = "files:local", pattern: str = "*", extensions: tuple[str, ...] = ("md",)) -> Both:
+    """Files below a folder with one of the extensions (of FORMATS, either case); HTML becomes markdown, other files
+    stay as they are. The id is the path inside the folder. An extension that can't be read is an error."""
+    kinds = {e.lower().lstrip("."): FORMATS.get(e.lower().lstrip(".")) for e in extensions}
+    if unknown := [e for e, kind in kinds.items() if kind is None]:
+        raise ValueError(f"no reader for {unknown}; there are {sorted(FORMATS)}")
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
     inner = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
-    meta = metadata(document_id=inner, title=X.file_name(inner), document_type=F.lit("text/markdown"), source_type=F.lit("filesystem"), file_size_bytes=F.col("size"), modified_at=F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return made(rows, adapter_id, "documents", inner, F.col("raw"), meta, F.lit(True), X.file_name(inner), F.col("path"))
-
-
-def file_feed(spark: SparkSession, path: str, adapter_id: str = "files:feed") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An NDJSON feed: canonical records, delete marks, and a last line with the cursor. Returns (items, rejects,
-    trailer); a delete is an item with empty markdown. A feed without a trailer was cut off: an error."""
-    rows = json_lines(spark, path, "op string, source_id string, markdown string, modified_at string, has_more boolean, next_cursor string, extra_metadata string")
-    trailer = rows.where("r.has_more IS NOT NULL").select(r("has_more").alias("has_more"), r("next_cursor").alias("next_cursor"))
-    if trailer.isEmpty():
-        raise ValueError("the feed was cut off: it has no last line")
+    meta = metadata(document_id=inner, title=X.file_name(inner), document_type=F.col("kind"), source_type=F.lit("filesystem"), file_size_bytes=F.col("size"), modified_at=F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    body = F.when(F.col("kind") == "text/html", html_text(F.col("raw"))).otherwise(F.col("raw"))
+    return made(rows, adapter_id, "documents", inner, body, meta, F.lit(True), X.file_name(inner), F.col("path"))
+
+
+def file_feed(spark: SparkSession, path: str | list[str], adapter_id: str = "files:feed") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An NDJSON feed of one or more pages, a file each: canonical records, delete marks, and a last line with the
+    cursor. Returns (items, rejects, trailers), a trailer for each page; a delete is an item with empty markdown. Any
+    page without a trailer was cut off: an error, so that no cursor moves past rows that never came."""
+    rows = json_lines(spark, path, "op string, source_id string, markdown string, modified_at string, has_more boolean, next_cursor string, extra_metadata string", "page")
+    trailer = rows.where("r.has_more IS NOT NULL").select("page", r("has_more").alias("has_more"), r("next_cursor").alias("next_cursor"))
+    plain = lambda file: re.sub("^([^:/]+):/+", r"\1:/", unquote(file))  # noqa: E731  Spark writes file:/ and file:///
+    pages = {plain(f) for f in spark.read.text(path).inputFiles()}
+    cut = pages - {plain(x.page) for x in trailer.select("page").distinct().toLocalIterator()}
+    if cut or not pages:
+        raise ValueError(f"the feed was cut off, it has no last line: {sorted(cut)[:10]}")
     body = rows.where("r.has_more IS NULL OR r IS NULL")
     meta = F.coalesce(r("extra_metadata"), metadata(document_id=r("source_id"), title=X.file_name(r("source_id")), document_type=F.lit("text/markdown"), source_type=F.lit("filesystem"), modified_at=r("modified_at")))
     items, rejects = made(body, adapter_id, "documents", r("source_id"), F.when(F.coalesce(r("op"), F.lit("")) != "delete", r("markdown")), meta, r("markdown").isNotNull() | (r("op") == "delete"), origin=r("source_id"), strategy="push")
