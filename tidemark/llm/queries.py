@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, katz, language, licenses, lines, packing, quality, sharding, simhash, token_files
+from tidemark.llm import clusters, decontaminate, katz, language, licenses, lines, packing, quality, repair, sharding, simhash, token_files, weighted
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_katz": katz.op8_katz,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_fingerprints": weighted.op11_fingerprints,
+    "op12_repair": repair.op12_repair,
+    "op13_clusters": clusters.op13_clusters,
 }
-ORACLES = {"op1_license_scan": licenses.sql(), "op7_quality_rules": quality.sql(), "op10_decontaminate": decontaminate.sql()}
+ORACLES = {"op1_license_scan": licenses.sql(), "op7_quality_rules": quality.sql(), "op10_decontaminate": decontaminate.sql(), "op12_repair": repair.sql(), "op13_clusters": clusters.sql()}
