@@ -197,23 +197,6 @@ def test_neighbours_in_blocks(spark):
     assert len(whole) == 3 * q.count() and parts == whole
 
 
-@pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
-def test_index_recall(spark, tmp_path, d):
-    """Every vector is in the index, and queries that it wasn't fitted by find 0.9 of their neighbours."""
-    v = spark.read.parquet(f"/root/testdata/{d}/embeddings.parquet").withColumnRenamed("embedding", "vector")
-    index = vector.Index.build(v, f"file://{tmp_path}/index", "vec_id", lists=20)
-    assert spark.read.parquet(f"{index.path}/vectors").count() == v.count()
-    index = vector.Index.at(spark, index.path)
-    hit = total = 0
-    for row in v.where("vec_id % 50 = 0").orderBy("vec_id").limit(20).collect():
-        exact = {r.vec_id for r in vector.top_k(v, row.vector, 10, "vec_id").collect()}
-        found = index.top_k(spark, row.vector, 10, "vec_id")
-        hit += len(exact & {r.vec_id for r in found.collect()})
-        total += 10
-    assert hit / total >= 0.9 and index.probes < len(index.centres)
-    assert "PartitionFilters: [list" in found._jdf.queryExecution().toString()
-
-
 def test_readers(spark, tmp_path):
     def lines(name, *rows):
         p = tmp_path / name

@@ -1,4 +1,4 @@
-"""Vector search: exact top-k, filters before it, retirement after it, rerank, and a stored index."""
+"""Vector search: exact top-k, filters before it, retirement after it, rerank. operators.index has the stored index."""
 
 from __future__ import annotations
 
@@ -117,76 +117,6 @@ def merged_best(best: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, sco
     return old_ids, old
 
 
-#: Vectors that centres are fitted on at most, queries that probes are chosen by, the recall that they aim at, and rows in a list.
-SAMPLE, TRIALS, RECALL, LIST_ROWS, MOST_LISTS = 20_000, 200, 0.97, 1000, 1024
-
-
-def centres_of(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Centres by spherical k-means."""
-    sample, rng = unit(sample), np.random.default_rng(seed)
-    out = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
-    for _ in range(rounds):
-        own = (sample @ out.T).argmax(1)
-        sums = np.zeros_like(out)
-        np.add.at(sums, own, sample)
-        out = np.where(np.bincount(own, minlength=len(out))[:, None] > 0, unit(sums), out)
-    return out
-
-
-class Index:
-    """A stored inverted file: a table of all vectors, partitioned by the nearest of its centres. A search reads the
-    lists of the query's nearest centres alone, by partition pruning, and scores their vectors exactly.
-
-    Centres are fitted on at most SAMPLE vectors, in the order of hashed keys; every vector is in one list. How many
-    lists a search reads is measured when the index is built: at least as many as hold RECALL of the true neighbours
-    of TRIALS sampled vectors, which an exact search over all rows finds."""
-
-    def __init__(self, path: str, centres: np.ndarray, probes: int):
-        self.path, self.centres, self.probes = path, centres, probes
-
-    @classmethod
-    def build(cls, vectors: DataFrame, path: str, key: str = "chunk_hash", k: int = 10, lists: int | None = None) -> Index:
-        spark, real = vectors.sparkSession, vectors.where("vector IS NOT NULL")
-        n = real.count()
-        if not n:
-            raise ValueError("there are no vectors to index")
-        share = min(1.0, 1.5 * SAMPLE / n)
-        some = real.select(key, "vector", F.xxhash64(key).alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))).orderBy("h", key).limit(SAMPLE).collect()
-        sample = np.array([r.vector for r in some], np.float64)
-        centres = centres_of(sample, lists or max(1, min(MOST_LISTS, n // LIST_ROWS, round(np.sqrt(n)))))
-        shared, dim = spark.sparkContext.broadcast(centres), centres.shape[1]
-
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = matrix(batch.select([key, "vector"]), dim)[1]
-                own = (unit(found) @ shared.value.T).argmax(1) if len(found) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*batch.schema.names, "list"])
-
-        rows = real.mapInArrow(nearest, T.StructType([*real.schema.fields, T.StructField("list", T.IntegerType())]))
-        # ranges of (list, key): a long list is cut over several tasks, and each writes few lists
-        rows.repartitionByRange("list", key).write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
-        stored = spark.read.parquet(f"{path}/vectors")
-        trials = sample[:TRIALS]
-        asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(trials)], "query int, query_vector array<double>")
-        true = neighbours(stored, asked, k, key).join(stored.select(key, "list"), key).select("query", "list").collect()  # TRIALS x k
-        rank = np.argsort(np.argsort(-(unit(trials) @ centres.T), axis=1, kind="stable"), axis=1)
-        probes = int(np.quantile([rank[r.query, r.list] for r in true], RECALL, method="higher")) + 1
-        spark.createDataFrame([(i, c.tolist(), probes) for i, c in enumerate(centres)], "list int, centre array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-        return cls(path, centres, probes)
-
-    @classmethod
-    def at(cls, spark: SparkSession, path: str) -> Index:
-        rows = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # at most MOST_LISTS, or as asked
-        return cls(path, np.array([r.centre for r in rows]), rows[0].probes)
-
-    def near(self, query: list[float]) -> list[int]:
-        return np.argsort(-(self.centres @ np.array(query, np.float64)), kind="stable")[: self.probes].tolist()
-
-    def top_k(self, spark: SparkSession, query: list[float], k: int = 10, key: str = "chunk_hash", where: Column | None = None) -> DataFrame:
-        rows = spark.read.parquet(f"{self.path}/vectors").where(F.col("list").isin(self.near(query)))
-        return top_k(rows.drop("list"), query, k, key, where)
-
-
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     """A deterministic stand-in for a sentence model: signed word hashes, normalised."""
     def encode(texts: pd.Series) -> pd.Series:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import scores
 from tidemark.functions import text as X
 from tidemark.operators import analytics as A
-from tidemark.operators import chunking, linking, vector
+from tidemark.operators import chunking, index, linking, vector
 from tidemark.operators.ingest import run_stats, statuses
 from tidemark.plans import catalog as C
 from tidemark.plans import provenance as P
@@ -402,8 +402,8 @@ def vector_bucketed_topk(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _indexes:
         v = table(s, d, "embeddings").withColumnRenamed("embedding", "vector")
-        _indexes[key] = vector.Index.build(v, scratch(s, "vector-index"), "vec_id").path
-    found = vector.Index.at(s, _indexes[key]).top_k(s, _query_vector(s, d), 10, "vec_id")
+        _indexes[key] = index.Index.build(v, scratch(s, "vector-index"), "vec_id").path
+    found = index.Index.at(s, _indexes[key]).top_k(s, _query_vector(s, d), 10, "vec_id")
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
