@@ -301,19 +301,6 @@ def test_config(spark, tmp_path):
             config.loaded(str(tmp_path / "bad.json"))
 
 
-def test_stream_into_store(spark, tmp_path):
-    folder, path = tmp_path / "in", str(tmp_path / "store")
-    folder.mkdir()
-    rec = lambda i, m, at: json.dumps({"adapter_id": "a", "source_id": i, "domain": "notes", "markdown": m, "normalizer_version": "1", "modified_at": at})
-    (folder / "1.json").write_text(rec("x", "one", T1) + "\n" + rec("y", "two", T1))
-    start = streams.into_store(streams.feed(spark, str(folder)), path, str(tmp_path / "ck"))
-    start().awaitTermination()
-    assert streams.current(spark, path).active_chunks().count() == 2
-    (folder / "2.json").write_text(rec("x", "", T2))
-    start().awaitTermination()
-    assert {r.source_id for r in streams.current(spark, path).active_chunks().collect()} == {"y"}
-
-
 def test_stream_windows_equal_batch(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "value", "user_id", "event_id")
     src.repartition(3).write.parquet(str(tmp_path / "ev"))

@@ -59,13 +59,16 @@ def owner() -> list[str] | None:
 
 @contextmanager
 def owned(spark: SparkSession | None = None) -> Iterator[list[str]]:
-    """The paths of the tables that are saved inside; whoever opens this decides when they go. With a session they go
-    at the end."""
+    """The paths of the tables that are saved inside. With a session they go at the end: what was made inside has to be
+    read by then. Without one they pass to the owner around this, if there is one; else whoever opens this decides."""
     paths: list[str] = []
     mark = _owner.set(paths)
     try:
         yield paths
     finally:
         _owner.reset(mark)
-        for path in paths if spark is not None else ():
-            deleted(spark, path)
+        if spark is not None:
+            for path in paths:
+                deleted(spark, path)
+        elif (around := _owner.get()) is not None:
+            around.extend(paths)

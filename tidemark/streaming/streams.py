@@ -11,8 +11,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ingest import ingest
+from tidemark.plans.durable import BUCKETS, MOST, DurableStore
 from tidemark.plans.store import Store
-from tidemark.plans.tables import owned
+from tidemark.plans.tables import owned, saved
 
 CANONICAL = "adapter_id string, source_id string, domain string, markdown string, normalizer_version string, extra_metadata string, modified_at string"
 MOST_RETRIES = 3
@@ -59,36 +60,28 @@ def debounced(changes: DataFrame, gap_ms: int = 500, late: str = "10 seconds") -
     return kept.applyInPandasWithState(last, "path string, kind string, ts timestamp", "kinds string, ts timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def into_store(feed_: DataFrame, path: str, checkpoint: str, adapter: dict | None = None) -> Callable[[], StreamingQuery]:
-    """Ingests each batch into the store at ``path``; the offset is committed after the store is written, so a batch
-    that fails comes again and finds its items unchanged. Versions of the store are folders, and so are the pointers to
-    them: a version counts once its pointer, written after it and never changed, is whole."""
+def into_store(feed_: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, most: int = MOST) -> Callable[[], StreamingQuery]:
+    """Ingests each batch into the durable store at ``path``; the offset is committed after the batch is. A batch that
+    comes again after a crash finds itself done, or overwrites what it had left behind."""
     spark = feed_.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        at = batch.agg(F.coalesce(F.max("modified_at"), F.lit("1970-01-01T00:00:00Z")).alias("at")).first().at
-        store = current(spark, path)
-        none = F.lit(None).cast("string")
-        last = batch.groupBy("source_id").agg(F.max_by(F.struct("adapter_id", "domain", "markdown", "normalizer_version", "extra_metadata"), "modified_at").alias("x")).select("source_id", "x.*")
-        items = last.select("source_id", "adapter_id", "domain", none.alias("origin_ref"), none.alias("display_name"), F.lit("push").alias("poll_strategy"), F.lit(None).cast("int").alias("poll_interval_sec"), "normalizer_version", F.coalesce("markdown", F.lit("")).alias("markdown"), "extra_metadata")
-        adapters = items.groupBy("adapter_id").agg(F.min("domain").alias("domain")).select("adapter_id", "domain", F.lit("feed").alias("adapter_type"), F.lit("1").alias("normalizer_version"), F.lit("{}").alias("config"), F.lit(True).alias("enabled"), F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
+        store = DurableStore(spark, path, buckets, most)
         with owned(spark):
-            ingest(store.register_adapters(adapters), items, at)[0].write(f"{path}/v{number}")
-        spark.createDataFrame([(f"v{number}",)], "name string").coalesce(1).write.mode("overwrite").text(f"{path}/pointers/{number:012d}")
+            batch = saved(batch, "batch")
+            at = batch.agg(F.coalesce(F.max("modified_at"), F.lit("1970-01-01T00:00:00Z")).alias("at")).first().at
+            none = F.lit(None).cast("string")
+            last = batch.groupBy("source_id").agg(F.max_by(F.struct("adapter_id", "domain", "markdown", "normalizer_version", "extra_metadata"), "modified_at").alias("x")).select("source_id", "x.*")
+            items = last.select("source_id", "adapter_id", "domain", none.alias("origin_ref"), none.alias("display_name"), F.lit("push").alias("poll_strategy"), F.lit(None).cast("int").alias("poll_interval_sec"), "normalizer_version", F.coalesce("markdown", F.lit("")).alias("markdown"), "extra_metadata")
+            adapters = items.groupBy("adapter_id").agg(F.min("domain").alias("domain")).select("adapter_id", "domain", F.lit("feed").alias("adapter_type"), F.lit("1").alias("normalizer_version"), F.lit("{}").alias("config"), F.lit(True).alias("enabled"), F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
+            store.apply(number, items, lambda s: ingest(s.register_adapters(adapters), items, at)[0])
 
     return lambda: feed_.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start()
 
 
 def current(spark: SparkSession, path: str) -> Store:
-    """The store of the newest whole pointer; a new one, where there is no pointer at all."""
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    top = Path(f"{path}/pointers")
-    names = sorted((f.getPath().getName() for f in system.listStatus(top)), reverse=True) if system.exists(top) else []
-    for name in names:
-        if system.exists(Path(f"{path}/pointers/{name}/_SUCCESS")):
-            return Store.at(spark, f"{path}/{spark.read.text(f'{path}/pointers/{name}').first().value}")
-    return Store.new(spark)
+    """The store as its last whole batch left it; a new one, where there is none."""
+    return DurableStore(spark, path).store()
 
 
 def retried(queue: DataFrame, succeeded: DataFrame, most: int = MOST_RETRIES) -> tuple[DataFrame, DataFrame]:
