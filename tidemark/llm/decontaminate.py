@@ -7,12 +7,15 @@ a hit are read again, their windows are compared word by word, and hits extend o
 with fewer words than SPAN is one window, found by the hash of its whole length.
 
 Defined results: null or wordless texts have no words, no hits and are not contaminated; a wordless item is never
-found; an item without id counts as the item ''; rows equal in id and text get equal results; an empty benchmark
+found; rows of the benchmark that share an id are one item in the counts, and have windows each of its own length; an item
+without id counts as the item ''; rows equal in id and text get equal results; an empty benchmark
 hits nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +54,15 @@ def windows(df: DataFrame, words: str, lengths: list[int], span: int = SPAN) ->
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash."""
-    items = saved(benchmark.repartition(benchmark.sparkSession.sparkContext.defaultParallelism).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), item_words(F.col(item_text)).alias("ws")).where("size(ws) > 0"), "items")
-    lengths = sorted(r[0] for r in items.where(f"size(ws) < {span}").select(F.expr("size(ws)").alias("n")).distinct().collect())  # at most span - 1
-    grams = windows(items, "ws", lengths, span).join(items.groupBy("item").agg(F.collect_set(F.expr(f"least(size(ws), {span})")).alias("own")), "item")
-    grams = grams.where("array_contains(own, len)").groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
+    # each row of the benchmark has windows of one length, whatever other rows have its id
+    items = benchmark.repartition(benchmark.sparkSession.sparkContext.defaultParallelism).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), item_words(F.col(item_text)).alias("ws")).where("size(ws) > 0")
+    items = saved(items.withColumn("len", F.expr(f"least(size(ws), {span})")), "items")
+    lengths = sorted(r[0] for r in items.where(f"len < {span}").select("len").distinct().collect())  # at most span - 1
+    grams = items.select("item", "len", F.explode(F.expr("transform(sequence(0, size(ws) - len), i -> array_join(slice(ws, i + 1, len), ' '))")).alias("gram"))
+    grams = grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
     # a table: the filter that explode adds would be pushed below the arrays and compute them again for each entry
-    marks = saved(fingerprinted(items, "ws", lengths, span, k).select("fps"), "item-fingerprints").select(F.explode("fps").alias("fp")).distinct()
+    marks = [fingerprinted(items.where(F.col("len") == n), "ws", [n] if n < span else [], span, k).select("fps") for n in [*lengths, span]]
+    marks = saved(reduce(DataFrame.union, marks), "item-fingerprints").select(F.explode("fps").alias("fp")).distinct()
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), item_words(F.col(text)).alias("ws"))
     base = saved(fingerprinted(base, "ws", lengths, span, k).select("doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), "fps"), "winnowed")
