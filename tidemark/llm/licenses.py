@@ -10,7 +10,8 @@ template's bigrams that every run needs.
 Defined results: one row for each line or block that reaches the threshold, with its best template (ties: the smaller
 name). Runs that reach it overlap, so of those with one best template a run makes a row, numbered by its first block,
 if it is the best from its first block and the best of these to its last block, single blocks included (ties: shorter);
-null, empty and one-word texts have no bigrams and no rows; rows equal in id and text are reported one by one.
+null, empty and one-word texts have no bigrams and no rows; texts of any length are compared whole; rows equal in id and
+text are reported one by one.
 """
 
 from __future__ import annotations
@@ -151,16 +152,25 @@ def sql() -> str:
     words = lambda t: f"list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda x: x <> '')"
     pairs = "list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])"
     known = ", ".join(f"('{name}', '{body.replace(chr(39), chr(39) * 2)}')" for name, body in sorted(TEMPLATES.items()))
+    gap = GAP.replace("\n", "\\n")
+    shared = lambda source, unit: f"SELECT r, doc_id, {unit}, n_unit, license, n_template, count(*) AS n_shared FROM {source} JOIN (SELECT license, len(bs) AS n_template, unnest(bs) AS bigram FROM listed) USING (bigram) GROUP BY ALL HAVING 200 * n_shared >= {THRESHOLD} * (n_unit + n_template)"
+    dice = "n_shared / (n_unit + n_template) DESC"
     return f"""
         WITH known AS (SELECT license, {words("body")} AS ws FROM (VALUES {known}) t(license, body)),
         listed AS (SELECT license, {pairs} AS bs FROM known),
-        lines AS (SELECT r, doc_id, 'line' AS unit, unnest(ls) AS body, generate_subscripts(ls, 1) - 1 AS unit_no FROM (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-        blocks AS (SELECT r, doc_id, 'block' AS unit, unnest(ls) AS body, generate_subscripts(ls, 1) - 1 AS unit_no FROM (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n') AS ls FROM documents)),
+        numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        lines AS (SELECT r, doc_id, 'line' AS unit, unnest(ls) AS body, generate_subscripts(ls, 1) - 1 AS unit_no FROM (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM numbered)),
+        blocks AS (SELECT r, doc_id, 'block' AS unit, unnest(ls) AS body, generate_subscripts(ls, 1) - 1 AS unit_no FROM (SELECT r, doc_id, regexp_split_to_array(text, '{gap}') AS ls FROM numbered)),
         units AS (SELECT * FROM lines UNION ALL SELECT * FROM blocks WHERE contains(trim(body, chr(10)), chr(10))),
         cut AS (SELECT r, doc_id, unit, unit_no, {pairs} AS bs FROM (SELECT *, {words("body")} AS ws FROM units) WHERE len(ws) >= 2),
         each_bigram AS (SELECT r, doc_id, unit, unit_no, len(bs) AS n_unit, unnest(bs) AS bigram FROM cut),
-        shared AS (
-            SELECT r, doc_id, unit, unit_no, n_unit, license, n_template, count(*) AS n_shared
-            FROM each_bigram JOIN (SELECT license, len(bs) AS n_template, unnest(bs) AS bigram FROM listed) USING (bigram) GROUP BY ALL),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY n_shared / (n_unit + n_template) DESC, license) AS k FROM shared WHERE 200 * n_shared >= {THRESHOLD} * (n_unit + n_template))
-        SELECT doc_id, unit, unit_no, license, n_unit, n_template, n_shared FROM ranked WHERE k = 1"""
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY {dice}, license) AS k FROM ({shared("each_bigram", "unit, unit_no")})),
+        split AS (SELECT r, doc_id, list_transform(regexp_split_to_array(text, '{gap}'), lambda b: {words("b")}) AS bl FROM numbered WHERE regexp_matches(text, '{gap}')),
+        starts AS (SELECT *, unnest(range(1, len(bl) + 1)) AS f FROM split),
+        runs AS (SELECT r, doc_id, f, a, {pairs} AS bs FROM (SELECT r, doc_id, f, a, flatten(bl[f:a]) AS ws FROM (SELECT *, unnest(range(f, len(bl) + 1)) AS a FROM starts)) WHERE len(ws) >= 2),
+        run_bigram AS (SELECT r, doc_id, f, a, len(bs) AS n_unit, unnest(bs) AS bigram FROM runs),
+        close AS (SELECT * FROM ({shared("run_bigram", "f, a")}) QUALIFY row_number() OVER (PARTITION BY r, f, a ORDER BY {dice}, license) = 1),
+        first AS (SELECT * FROM close QUALIFY row_number() OVER (PARTITION BY r, license, f ORDER BY {dice}, a) = 1),
+        last AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY r, license, a ORDER BY {dice}, f DESC) = 1)
+        SELECT doc_id, unit, unit_no, license, n_unit, n_template, n_shared FROM ranked WHERE k = 1
+        UNION ALL SELECT doc_id, 'run', f - 1, license, n_unit, n_template, n_shared FROM last WHERE f < a"""
