@@ -7,8 +7,11 @@ documents without links out, which fill the places that were left. So every roun
 cuts fewer links. A group larger than a shard is first dealt into blocks of about half a shard by a hash of the
 document, as it can't be in one shard anyway.
 
+Rounds go on until no document asks to move, none can, or ``STALLED`` rounds in a row leave no fewer of them asking.
+
 Only sums by (group, shard) and tables of shards x shards counts are gathered; ranks are counted in pieces. Defined
-results: null and empty texts are equal texts of no bytes; repeated rows are documents of their own; an empty
+results: null and empty texts are equal texts of no bytes; repeated rows are documents of their own; texts of any
+length are hashed whole; groups that elect with equal votes decide by a hash of group and shard; an empty
 table gives an empty result.
 """
 
@@ -20,7 +23,9 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import dropped, numbered, saved, table
 
-SHARDS, ROUNDS, PIECE_ROWS = 16, 6, 20_000
+SHARDS, PIECE_ROWS = 16, 20_000
+#: Rounds in a row without fewer members outside their group's shard, after which it has settled.
+STALLED = 2
 
 
 def spread(nodes: DataFrame, shards: int, pieces: int) -> DataFrame:
@@ -38,7 +43,7 @@ def by_ranges(value: Column, ranges: list[tuple[int, int]]) -> Column:
     return out
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(id, label) for nodes (id long, distinct) and links (id, key): which documents share which keys."""
     n = nodes.count()
     pieces = max(1, n // PIECE_ROWS)
@@ -48,7 +53,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     tied = saved(links.join(sizes, "key").select("id", F.xxhash64("key", block).alias("key")), "tied")
     free = saved(nodes.select("id").join(tied.select("id").distinct(), "id", "left_anti"), "free")
     state = saved(spread(nodes, shards, pieces), "labels")
-    for _ in range(rounds):
+    least, stalled = None, 0
+    while True:
         loose = free.join(state, "id")
         room = {r.label: r.n for r in loose.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         votes = tied.join(state, "id").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -60,7 +66,9 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         asks = tied.join(elected, "key").groupBy("id").agg(F.max("won").alias("won")).select("id", F.col("won.label").alias("to"), F.col("won.h").alias("h"))
         asks = saved(asks.join(state, "id").where("to <> label").select("id", "to", "h", (F.col("label") * shards + F.col("to")).alias("pair")), "asks")
         wanted = {r.pair: r.n for r in asks.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards at most
-        if not wanted:
+        left = sum(wanted.values())
+        least, stalled = (left, 0) if least is None or left < least else (least, stalled + 1)
+        if not wanted or stalled == STALLED:
             break
         quota, change = {}, [0] * shards
         for pair, asked in sorted(wanted.items()):
