@@ -6,8 +6,8 @@ corpus, from the text's soft decisions summed by grouped aggregation over all ro
 out of its host's sums. How far declarations and suffixes can be trusted is counted the same way.
 
 Every language that a row is labelled with is a candidate. The trigram model is fitted on an equal part of
-``TRAIN_ROWS`` for each (``LEAST_ROWS`` at least), in the order of the ids' hashes, with the first ``TRAIN_CHARS``
-characters of a text; all else covers all rows. Defined results: a null, empty or very short text has little or no likelihood and is decided
+``TRAIN_ROWS`` for each (``LEAST_ROWS`` at least), in the order of the ids' hashes, by their whole
+texts; all else covers all rows. Defined results: a null, empty or very short text has little or no likelihood and is decided
 by the other evidence, or by the corpus's prior; missing declarations, suffixes and hosts say nothing; ties go to
 the first language by name; repeated rows are decided one by one; without labelled rows every language is null.
 """
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import saved, table
 from tidemark.llm.encode import strings
 
-TRAIN_ROWS, TRAIN_CHARS, CELLS, SLICE = 4_000, 20_000, 1 << 16, 1 << 20
+TRAIN_ROWS, CELLS, SLICE = 4_000, 1 << 16, 1 << 20
 #: A language's part of the training rows, where there are many languages.
 LEAST_ROWS = 50
 #: Neighbouring trigrams are not independent: their log-likelihoods count by this part.
@@ -41,23 +41,35 @@ def cells(text: str) -> np.ndarray:
     return ((raw[:-2] * 7919 + raw[1:-1]) * 7919 + raw[2:]) * np.uint32(2654435761) >> np.uint32(16) if len(raw) > 2 else np.zeros(0, np.uint32)
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, cell, n) of texts (lang, text)."""
+    for batch in batches:
+        sums: dict[str, np.ndarray] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)).to_pylist(), strict=True):
+            sums[lang] = sums.get(lang, 0) + np.bincount(cells(text), minlength=CELLS)
+        for lang, n in sums.items():
+            there = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], names=["lang", "cell", "n"])
+
+
 def fitted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [CELLS, languages]) from labelled (doc_id, text, lang)."""
-    known = labelled.where("lang IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
+    known = labelled.where("lang IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
     count = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not count:
         return [], np.zeros((CELLS, 0), np.float32)
     most = max(LEAST_ROWS, TRAIN_ROWS // len(count))
     cut = {name: min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 1.5 * most / n) * (1 << 64))) for name, n in count.items()}
     some = known.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for item in cut.items() for x in item]), F.col("lang")))
-    rows = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= most).collect()
-    lost = sorted(count.keys() - {r.lang for r in rows})  # ids that repeat can all lie behind the cut
+    rows = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= most).select("lang", "text")
+    rows = saved(rows, "training")
+    lost = sorted(count.keys() - {r.lang for r in rows.select("lang").distinct().collect()})  # ids that repeat can all lie behind the cut
     if lost:
-        rows += known.where(F.col("lang").isin(lost)).groupBy("lang").agg(F.min(F.struct("h", "text")).alias("x")).select("lang", "x.text").collect()
+        rows = rows.union(known.where(F.col("lang").isin(lost)).groupBy("lang").agg(F.min(F.struct("h", "text")).alias("x")).select("lang", "x.text"))
     names = sorted(count)
     counts = np.full((CELLS, len(names)), 0.5)
-    for r in rows:
-        counts[:, names.index(r.lang)] += np.bincount(cells(r.text or ""), minlength=CELLS)
+    for r in rows.mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toLocalIterator():  # CELLS a language at most
+        counts[r.cell, names.index(r.lang)] += r.n
     return names, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
