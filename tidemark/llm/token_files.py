@@ -30,6 +30,8 @@ from tidemark.llm.encode import encoder, strings
 MAGIC, VERSION, LEVEL = b"TIDS", 1, 3
 #: The dictionary: its size, and the documents and characters in each that it is trained on at most.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 65_536, 1_000, 20_000
+#: Documents in a segment at most, and bytes of its frames from which it is closed.
+SEGMENT_DOCS, SEGMENT_BYTES = 1 << 20, 1 << 30
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -89,7 +91,45 @@ def frames(docs: DataFrame, dictionary: bytes, path: str, end: int, doc_id: str,
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, crc long, frame binary")
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class NewSegment:
+    """A file being written: frames go out at once, ids, ends and counts are held until it is closed, for ``most``
+    documents. The file is made with its first document."""
+
+    def __init__(self, folder: str, number: int, digest: bytes, most: int):
+        self.folder, self.number, self.digest, self.most = folder, number, digest, most
+        self.out, self.docs, self.ids, self.ends, self.count = None, 0, [], [len(MAGIC) + 4 + 32], []
+
+    def full(self) -> bool:
+        return self.docs >= self.most or self.ends[-1] >= SEGMENT_BYTES
+
+    def add(self, batch: pa.RecordBatch) -> int:
+        """Rows (doc_id, n_tokens, crc, frame) from the start of a batch, until the segment is full; returns how many."""
+        if self.out is None:
+            self.name = f"segment-{self.number >> 32:06d}-{self.number & 0xFFFFFFFF:06d}-{uuid.uuid4().hex}.tids"
+            system, top = file_system(self.folder)
+            system.create_dir(top, recursive=True)
+            self.out = system.open_output_stream(f"{top}/{self.name}")
+            self.out.write(MAGIC + struct.pack("<I", VERSION) + self.digest)
+        n = 0
+        for frame in batch.column(3).to_pylist():
+            self.out.write(frame)
+            self.ends.append(self.ends[-1] + len(frame))
+            self.docs, n = self.docs + 1, n + 1
+            if self.full():
+                break
+        self.ids.append(batch.column(0).slice(0, n))
+        self.count.append(batch.column(1).slice(0, n).to_numpy(zero_copy_only=False))
+        return n
+
+    def closed(self) -> pa.RecordBatch:
+        keys, count = pa.concat_arrays(self.ids), np.concatenate(self.count)
+        self.out.write(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + keys.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes() + np.array(self.ends, "<u8").tobytes() + count.astype("<u4").tobytes())
+        self.out.write(struct.pack("<QQ", self.ends[-1], len(keys)) + MAGIC)
+        self.out.close()
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([self.name]), pa.array([len(keys)], pa.int64()), pa.array([int(count.sum())], pa.int64())], names=["segment", "file", "n_docs", "n_tokens"])
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2, doc_id: str = "doc_id", text: str = "text", most: int = SEGMENT_DOCS) -> DataFrame:
     """Writes the files to ``folder``, a URI that driver and executors share; returns the manifest (segment, file,
     n_docs, n_tokens, start), start: ids in the segments before."""
     path = path or vocabulary()
@@ -102,28 +142,19 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, name, ids, ends, count = None, "", [], [len(MAGIC) + 4 + 32], []
+        part = TaskContext.get().partitionId()
+        segment = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                segment = TaskContext.get().partitionId()
-                name = f"segment-{segment:06d}-{uuid.uuid4().hex}.tids"
-                system, top = file_system(folder)
-                system.create_dir(top, recursive=True)
-                out = system.open_output_stream(f"{top}/{name}")
-                out.write(MAGIC + struct.pack("<I", VERSION) + digest)
-            for frame in batch.column(3).to_pylist():
-                out.write(frame)
-                ends.append(ends[-1] + len(frame))
-            ids.append(batch.column(0))
-            count.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if out is not None:
-            keys, count = pa.concat_arrays(ids), np.concatenate(count)
-            out.write(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + keys.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes() + np.array(ends, "<u8").tobytes() + count.astype("<u4").tobytes())
-            out.write(struct.pack("<QQ", ends[-1], len(keys)) + MAGIC)
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([int(count.sum())], pa.int64())], names=["segment", "file", "n_docs", "n_tokens"])
+            at = 0
+            while at < batch.num_rows:
+                if segment is None:
+                    segment = NewSegment(folder, part << 32, digest, most)
+                at += segment.add(batch.slice(at))
+                if segment.full():
+                    yield segment.closed()
+                    segment = NewSegment(folder, segment.number + 1, digest, most)
+        if segment is not None and segment.docs:
+            yield segment.closed()
 
     made = saved(ordered.mapInArrow(run, "segment long, file string, n_docs long, n_tokens long"), "segments")
     dropped(encoded)
