@@ -28,7 +28,7 @@ LONG, BLOCK = 32, 1024
 #: Bands in a packed load, and about as many in a part.
 PART = 1_000_000
 #: Bits of the filters that spare shuffling rows which surely match nothing; the joins after them are exact.
-FILTER_BITS = 24
+LEAST_BITS, MOST_BITS = 24, 28
 _rng = np.random.default_rng(20_240_501)
 _ODD = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)).astype(np.uint32)
 
@@ -67,17 +67,18 @@ def bands(hashes: np.ndarray, count: np.ndarray, block: int = 1 << 16) -> np.nda
 
 
 def bitset(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits, whatever the rows: bit (key mod its size) is set for each key."""
-    word = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = keys.groupBy(F.shiftright(word, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        out[r.w] = r.b
+    """A filter with some eight bits for each key, between 2**LEAST_BITS and 2**MOST_BITS (32 MB) in all: bit (key mod its size)
+    is set for each key. What it can't rule out the joins after it do."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
+    word = F.col(column).bitwiseAND(F.lit(size - 1))
+    rows = keys.groupBy(F.shiftright(word, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size >> 6, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return out
 
 
 def passing(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & ((1 << FILTER_BITS) - 1)
+    at = keys & ((len(filter_) << 6) - 1)
     return (filter_[at >> 6] >> (at & 63)) & 1 == 1
 
 
@@ -149,7 +150,7 @@ def lists(signed: DataFrame) -> DataFrame:
     nearly every list of the group, and nearer to each copy than the copies are to each other."""
     signed = signed.where("bands IS NOT NULL")
     shared = saved(shared_bands(signed), "shared-bands")
-    likely = signed.sparkSession.sparkContext.broadcast(bitset(shared, "band"))  # of fixed size
+    likely = signed.sparkSession.sparkContext.broadcast(bitset(shared, "band"))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
