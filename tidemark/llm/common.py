@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tidemark.plans import tables
 from tidemark.plans.tables import deleted, owned, saved, scratch, table
 
-__all__ = ["ascii_lower", "deleted", "dropped", "dropped_but", "fresh", "numbered", "owned", "saved", "scratch", "staged", "table", "words_of"]
+__all__ = ["ascii_lower", "deleted", "dropped", "dropped_but", "fresh", "numbered", "owned", "saved", "scratch", "staged", "table", "tidied", "words_of"]
 
 #: The white space of the word contracts: space and the controls from tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -70,15 +70,27 @@ def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callab
         swept(spark)
         with owned() as paths:
             out = stage(spark, docs, sf_dir)
-        if (around := tables.owner()) is not None:
-            around.extend(paths)
-        else:
+        if tables.owner() is None:
             left_to(spark, out, paths)
         return out
 
     return run
 
 
+def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that deletes the tables it has saved, but for those that its result reads. These stay, or go with the owner
+    around the query: ``with owned(spark): query(spark, sf_dir).write...`` leaves none."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with owned():
+            out = query(spark, sf_dir)
+            dropped_but(spark, out)
+        return out
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

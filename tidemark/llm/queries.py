@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import clusters, decontaminate, katz, language, licenses, lines, packing, quality, repair, sharding, simhash, token_files, weighted
+from tidemark.llm.common import tidied
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,4 +20,5 @@ QUERIES = {
     "op12_repair": repair.op12_repair,
     "op13_clusters": clusters.op13_clusters,
 }
+QUERIES = {name: tidied(query) for name, query in QUERIES.items()}
 ORACLES = {"op1_license_scan": licenses.sql(), "op7_quality_rules": quality.sql(), "op10_decontaminate": decontaminate.sql(), "op12_repair": repair.sql(), "op13_clusters": clusters.sql()}
