@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from tidemark.functions import scores
 from tidemark.functions import text as X
 from tidemark.operators.analytics import hourly
+from tidemark.sources.changes import Snapshots
+from tidemark.sources.markup import html_markdown
 
 ITEM = ("source_id", "adapter_id", "domain", "origin_ref", "display_name", "poll_strategy", "poll_interval_sec", "normalizer_version", "markdown", "extra_metadata")
 Both = tuple[DataFrame, DataFrame]
@@ -70,6 +72,19 @@ def join_text(*parts: Column) -> Column:
 # Files and notes
 
 
+def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(raw, path, inner, at, size) of the files below a folder, which may have any name; inner: the path inside it."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = Path(folder)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(re.sub(r"([\[\]{}*?\\])", r"\\\1", folder), wholetext=True)
+    # Spark tells paths as URIs, with percent signs; a plus is a plus there
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = rows.select(F.col("value").alias("raw"), path.alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
+    return rows.withColumn("inner", F.substr(plain, F.lit(len(top) + 2)))
+
+
 #: Files that are read, with the type that their items name.
 FORMATS = {"md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html"}
 
@@ -80,13 +95,12 @@ def files(spark: SparkSession, folder: str, adapter_id: str = "files:local", pat
     kinds = {e.lower().lstrip("."): FORMATS.get(e.lower().lstrip(".")) for e in extensions}
     if unknown := [e for e, kind in kinds.items() if kind is None]:
         raise ValueError(f"no reader for {unknown}; there are {sorted(FORMATS)}")
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    rows = rows.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
+    rows = listed(spark, folder, pattern)
     kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
-    inner = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
+    inner = F.col("inner")
     meta = metadata(document_id=inner, title=X.file_name(inner), document_type=F.col("kind"), source_type=F.lit("filesystem"), file_size_bytes=F.col("size"), modified_at=F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    body = F.when(F.col("kind") == "text/html", html_text(F.col("raw"))).otherwise(F.col("raw"))
+    body = F.when(F.col("kind") == "text/html", html_markdown(F.col("raw"))).otherwise(F.col("raw"))
     return made(rows, adapter_id, "documents", inner, body, meta, F.lit(True), X.file_name(inner), F.col("path"))
 
 
@@ -131,9 +145,8 @@ def inline_fields(body: Column) -> Column:
 
 def vault(spark: SparkSession, folder: str, adapter_id: str = "vault:local") -> Both:
     """A vault of linked notes: front matter, inline fields, links out and links back."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    inner = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
-    rows = rows.select(F.col("value").alias("raw"), inner.alias("path")).withColumns({"front": F.regexp_extract("raw", FRONT, 1), "body": F.regexp_replace("raw", FRONT, "")})
+    rows = listed(spark, folder, "*.md").select("raw", F.col("inner").alias("path"))
+    rows = rows.withColumns({"front": F.regexp_extract("raw", FRONT, 1), "body": F.regexp_replace("raw", FRONT, "")})
     rows = rows.withColumns({"name": F.regexp_replace(X.file_name(F.col("path")), r"\.md$", ""), "wikilinks": X.wikilinks(F.col("body"))})
     edges = rows.select(F.col("name").alias("src"), F.explode("wikilinks").alias("dst"))
     back = edges.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
@@ -159,9 +172,8 @@ def vault_tasks(spark: SparkSession, folder: str, adapter_id: str = "vault-tasks
     """Checkbox lines of a vault; on a board, the lane's heading gives an open box its state. The text is the title."""
     from pyspark.sql.window import Window
 
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    inner = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), "^" + folder.replace("file://", "").rstrip("/") + "/", "")
-    lines = rows.select(inner.alias("path"), F.col("value").rlike(r"(?m)^kanban-plugin:").alias("board"), F.posexplode(F.split("value", "\n")).alias("i", "raw"))
+    rows = listed(spark, folder, "*.md")
+    lines = rows.select(F.col("inner").alias("path"), F.col("raw").rlike(r"(?m)^kanban-plugin:").alias("board"), F.posexplode(F.split("raw", "\n")).alias("i", "raw"))
     lane = F.last(F.when(F.col("raw").rlike(r"^#{2,3}\s"), F.lower(F.trim(F.regexp_replace("raw", r"^#{2,3}\s+", "")))), True).over(Window.partitionBy("path").orderBy("i"))
     tasks = lines.withColumn("lane", lane).where(F.col("raw").rlike(r"^\s*- \[[^\]]*\] .+$"))
     text, mark = F.regexp_extract("raw", r"^\s*- \[([^\]]*)\] (.+)$", 2), F.lower(F.regexp_extract("raw", r"^\s*- \[([^\]]*)\] (.+)$", 1))
@@ -193,26 +205,12 @@ def chat(spark: SparkSession, path: str, adapter_id: str = "chat:local") -> Both
     return made(rows, adapter_id, "messages", F.concat_ws("/", r("thread_id"), r("id")), body, meta, filled(r("id"), r("thread_id"), r("sender"), r("timestamp")) & r("text").isNotNull())
 
 
-def html_text(html: Column) -> Column:
-    """HTML as plain markdown: links and emphasis kept, blocks on lines of their own."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
-    t = F.regexp_replace(t, r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", r"**$1**")
-    t = F.regexp_replace(t, r"(?is)<(?:i|em)>(.*?)</(?:i|em)>", r"_$1_")
-    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n- ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|tr|h[1-6]|ul|ol|table)\s*>", "\n\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return X.stripped(F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
-
-
 def mail(spark: SparkSession, path: str, account: str = "main") -> Both:
     rows = json_lines(spark, path, "id string, threadId string, messageId string, from struct<name:string, address:string>, to array<struct<name:string, address:string>>, subject string, date string, inReplyTo string, text string, html string")
     ids = lambda c: X.or_else(c, r("id"))
     sender = X.or_else(F.lower(r("from.address")), r("from.name"))
     meta = metadata(thread_id=ids(r("threadId")), message_id=ids(r("messageId")), sender=sender, recipients=F.coalesce(F.transform(r("to"), lambda x: F.lower(x["address"])), F.array().cast("array<string>")), timestamp=r("date"), in_reply_to=r("inReplyTo"), subject=r("subject"), is_thread_root=r("inReplyTo").isNull())
-    body = F.coalesce(F.when(r("html") != "", html_text(r("html"))), r("text"))
+    body = F.coalesce(F.when(r("html") != "", html_markdown(r("html"))), r("text"))
     return made(rows, f"email:{account}", "messages", F.concat(F.lit(f"email:{account}:"), r("id")), body, meta, filled(r("id"), sender, r("date")), r("subject"))
 
 
@@ -249,6 +247,11 @@ def ical_time(value: Column) -> Column:
 def ical(spark: SparkSession, folder: str, adapter_id: str = "caldav:local", changed_after: str | None = None) -> Both:
     """VEVENTs of .ics files. changed_after drops those with an older LAST-MODIFIED; one that can't be read stays."""
     rows = spark.read.option("pathGlobFilter", "*.ics").text(folder, wholetext=True)
+    return ical_events(rows, adapter_id, changed_after)
+
+
+def ical_events(rows: DataFrame, adapter_id: str, changed_after: str | None = None) -> Both:
+    """VEVENTs of calendar texts (value). One without UID or SUMMARY can't be named: it is rejected."""
     ev = rows.select(F.explode(F.regexp_extract_all(unfolded(F.col("value")), F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), 1)).alias("raw"))
     b = F.col("raw")
     start, end = ical_time(prop(b, "DTSTART")), ical_time(prop(b, "DTEND"))
@@ -257,11 +260,27 @@ def ical(spark: SparkSession, folder: str, adapter_id: str = "caldav:local", cha
     spoken = F.when(given.isNotNull(), part("W") * 10080 + part("D") * 1440 + part("H") * 60 + part("M"))
     minutes = F.coalesce(spoken, scores.duration_minutes(F.to_timestamp(start), F.to_timestamp(end)))
     host = prop(b, "ORGANIZER")
-    meta = metadata(event_id=prop(b, "UID"), title=F.coalesce(prop(b, "SUMMARY"), F.lit("(untitled)")), start_date=start, end_date=end, duration_minutes=minutes, host=host, invitees=F.filter(props(b, "ATTENDEE"), lambda x: host.isNull() | (x != host)), source_type=F.lit("caldav"))
+    meta = metadata(event_id=prop(b, "UID"), title=prop(b, "SUMMARY"), start_date=start, end_date=end, duration_minutes=minutes, host=host, invitees=F.filter(props(b, "ATTENDEE"), lambda x: host.isNull() | (x != host)), source_type=F.lit("caldav"))
     if changed_after is not None:
         at = F.try_to_timestamp(ical_time(prop(b, "LAST-MODIFIED")))
         ev = ev.where(at.isNull() | (at > F.to_timestamp(F.lit(changed_after))))
-    return made(ev, adapter_id, "events", prop(b, "UID"), join_text(F.coalesce(prop(b, "SUMMARY"), F.lit("")), F.coalesce(prop(b, "DESCRIPTION"), F.lit(""))), meta, filled(prop(b, "UID"), start), prop(b, "SUMMARY"))
+    return made(ev, adapter_id, "events", prop(b, "UID"), join_text(F.coalesce(prop(b, "SUMMARY"), F.lit("")), F.coalesce(prop(b, "DESCRIPTION"), F.lit(""))), meta, filled(F.trim(prop(b, "UID")), F.trim(prop(b, "SUMMARY")), start), prop(b, "SUMMARY"))
+
+
+def calendar_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """(href, etag, value, start, end) of the .ics files of a folder, for changes.Snapshots: the name is the href, the
+    hash of the text the etag; start and end are those of the file's first event."""
+    rows = listed(spark, folder, "*.ics")
+    b = F.regexp_extract(unfolded(F.col("raw")), r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT", 1)
+    return rows.select(F.col("inner").alias("href"), F.sha2("raw", 256).alias("etag"), F.col("raw").alias("value"), ical_time(prop(b, "DTSTART")).alias("start"), ical_time(prop(b, "DTEND")).alias("end"))
+
+
+def ical_sync(snapshots: Snapshots, token: str | None, since: str | None, adapter_id: str = "caldav:local") -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(items, rejects, removed hrefs, next token) of the calendar since a token, or since a time where the token has
+    expired. Either way events whose LAST-MODIFIED isn't after ``since`` don't come again."""
+    delta = snapshots.sync(token, since)
+    items, rejects = ical_events(delta.items.where("kind = 'upserted'").select("value"), adapter_id, since)
+    return items, rejects, delta.items.where("kind = 'removed'").select("href"), delta.token
 
 
 def contact_text(name: Column, org: Column, title: Column, notes_: Column) -> Column:
