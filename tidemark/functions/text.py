@@ -66,15 +66,48 @@ def address_in(text: Column) -> Column:
     return normalised_email(F.regexp_replace(F.when(inner != "", inner).otherwise(text), r"(?i)^\s*mailto:", ""))
 
 
+#: Fixed values of the numbering plan. Country codes of one and of two digits; all others have three. Of countries with
+#: lengths of their own: the least and most digits behind the code, and the trunk prefix that goes there.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+LENGTHS = {
+    "1": (10, 10, "1"), "7": (10, 10, "8"), "20": (8, 10, "0"), "27": (9, 9, "0"), "30": (10, 10, ""), "31": (9, 9, "0"), "32": (8, 9, "0"), "33": (9, 9, "0"), "34": (9, 9, ""), "36": (8, 9, "06"), "39": (6, 11, ""),
+    "40": (9, 9, "0"), "41": (9, 9, "0"), "43": (4, 13, "0"), "44": (9, 10, "0"), "45": (8, 8, ""), "46": (7, 10, "0"), "47": (8, 8, ""), "48": (9, 9, ""), "49": (5, 13, "0"), "51": (8, 9, "0"), "52": (10, 10, ""), "55": (10, 11, "0"),
+    "56": (9, 9, ""), "57": (8, 10, "0"), "58": (10, 10, "0"), "60": (8, 10, "0"), "61": (9, 9, "0"), "62": (7, 12, "0"), "63": (8, 10, "0"), "64": (8, 10, "0"), "65": (8, 8, ""), "66": (8, 9, "0"), "81": (9, 10, "0"), "82": (8, 10, "0"),
+    "84": (9, 10, "0"), "86": (10, 11, "0"), "90": (10, 10, "0"), "91": (10, 10, "0"), "92": (9, 10, "0"), "98": (10, 10, "0"), "351": (9, 9, ""), "353": (7, 9, "0"), "358": (5, 12, "0"), "972": (8, 9, "0"),
+}
+
+
+def country_code(digits: Column) -> Column:
+    """The code that digits behind a plus begin with."""
+    return F.when(F.substring(digits, 1, 1).isin(*ONE_DIGIT), F.substring(digits, 1, 1)).when(F.substring(digits, 1, 2).isin(*TWO_DIGITS), F.substring(digits, 1, 2)).otherwise(F.substring(digits, 1, 3))
+
+
+def international(digits: Column) -> Column:
+    """E.164 of digits that begin with a country code: a trunk prefix behind the code goes, if the number is as long as
+    its country has them then; else ''. Countries without lengths of their own have 4 to 15 digits, code included."""
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(*[F.lit(v).alias(n) for n, v in zip(("least", "most", "trunk"), x, strict=True)]) for pair in LENGTHS.items() for x in pair])
+
+    def judged(parts: Column) -> Column:
+        code, rest = parts["code"], parts["rest"]
+        plan = F.coalesce(F.try_element_at(table, code), F.struct(F.lit(4).alias("least"), (F.lit(15) - F.length(code)).alias("most"), F.lit("0").alias("trunk")))
+        bare = F.when((plan["trunk"] != "") & F.startswith(rest, plan["trunk"]), F.substr(rest, F.length(plan["trunk"]) + 1)).otherwise(rest)
+        fits = lambda x: F.length(x).between(plan["least"], plan["most"])
+        return F.when(fits(bare), F.concat(F.lit("+"), code, bare)).when(fits(rest), F.concat(F.lit("+"), code, rest)).otherwise("")
+
+    parts = F.struct(country_code(digits).alias("code"), F.substr(digits, F.length(country_code(digits)) + 1).alias("rest"))
+    return F.transform(F.array(parts), judged)[0]
+
+
 def normalised_phone(text: Column) -> Column:
-    """E.164 for numbers of the North American plan and for numbers with an explicit country code, after + or after
-    the plan's international prefix 011; else ''. An extension is dropped."""
+    """E.164 for numbers of the North American plan, and for those with a country code after + or after the plan's
+    international prefix 011, by their country's lengths and trunk prefix; else ''. An extension is dropped."""
     bare = F.regexp_replace(F.lower(text), r"\s*(?:x|ext\.?|extension|#)\s*\d+\s*$", "")
-    bare = F.regexp_replace(bare, r"^\D*0\D*1\D*1(?=(?:\D*[1-9])(?:\D*\d){7,14}\D*$)", "+")
+    bare = F.regexp_replace(bare, r"^\D*0\D*1\D*1(?=(?:\D*[1-9])(?:\D*\d){6,14}\D*$)", "+")
     digits = F.regexp_replace(bare, r"\D", "")
     plus = F.ltrim(bare).startswith("+")
     return (
-        F.when(plus & F.length(digits).between(8, 15), F.concat(F.lit("+"), digits))
+        F.when(plus & digits.rlike("^[1-9]"), international(digits))
         .when(~plus & (F.length(digits) == 10) & digits.rlike("^[2-9]"), F.concat(F.lit("+1"), digits))
         .when(~plus & (F.length(digits) == 11) & digits.startswith("1"), F.concat(F.lit("+"), digits))
         .otherwise("")
@@ -120,7 +153,8 @@ def has_tables(markdown: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    """All after the last dot of the file's name."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
 def file_name(path: Column) -> Column:
