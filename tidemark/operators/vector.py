@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from tidemark.functions import scores
+from tidemark.operators.models import Model, applied, normal
 from tidemark.plans.catalog import lineage
 from tidemark.plans.store import Store, latest
 
@@ -135,8 +136,13 @@ def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     return encode
 
 
-def embedded(chunks: DataFrame, encode: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """chunks as rows of vectors: the header is prepended for the encoder only."""
+def embedded(chunks: DataFrame, encode: Callable[[pd.Series], pd.Series] | Model | None = None) -> DataFrame:
+    """chunks as rows of vectors: the header is prepended for the encoder only. A Model is loaded once in each worker."""
+    if isinstance(encode, Model):
+        whole = Model(encode.name, lambda: (lambda texts, apply=encode.load(): normal(apply(texts))))
+        text = F.when(F.col("context_header").isNotNull(), F.concat("context_header", F.lit("\n\n"), "content")).otherwise(F.col("content"))
+        rows = chunks.select("chunk_hash", "source_id", "source_version", "domain", "content", "created_at", text.alias("_text"))
+        return applied(rows, whole, ["_text"], "vector", T.ArrayType(T.FloatType())).select("chunk_hash", "source_id", "source_version", "domain", "content", "vector", "created_at")
     run = encode or hashing_encoder()
 
     @F.pandas_udf("array<float>")
@@ -189,6 +195,16 @@ def rerank(hits: DataFrame, logit: Column, top_k_: int | None = None) -> DataFra
     return out if top_k_ is None else out.limit(top_k_)
 
 
+def reranked(hits: DataFrame, query: str, scorer: Model, top_k_: int | None = None, passage: str = "content") -> DataFrame:
+    """hits by a cross-encoder: a Model that gives a logit for each (query, passage). The scores are its, as
+    probabilities; all candidates are scored, in batches, and the others of their columns stay."""
+    if not query.strip():
+        raise ValueError("the query is blank")
+    asked = hits.withColumn("_query", F.lit(query))
+    scored = applied(asked, scorer, ["_query", passage], "_logit", T.DoubleType())
+    return rerank(scored, F.col("_logit"), top_k_).drop("_query", "_logit")
+
+
 def reembedded(store: Store, model: str, encode: Callable[[pd.Series], pd.Series] | None = None) -> tuple[Store, DataFrame]:
     """Embeds anew the active chunks of another model, in one job; what is done is not stale when it runs again.
     Returns also the count."""
