@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.operators.ingest import ingest
 from tidemark.plans.durable import BUCKETS, MOST, DurableStore
@@ -84,6 +85,55 @@ def current(spark: SparkSession, path: str) -> Store:
     return DurableStore(spark, path).store()
 
 
+class Retries(StatefulProcessor):
+    """Of one source: attempts so far. A failure asks for another attempt after a wait, by a timer in event time; the
+    last one that is allowed ends as a dead letter; a success forgets the source and its timers."""
+
+    def __init__(self, most: int, wait_ms: int):
+        self.most, self.wait_ms = most, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("attempts", "attempts int, error string")
+
+    def told(self, key: tuple, kind: str, attempts: int, error: str | None, ms: int) -> pd.DataFrame:
+        return pd.DataFrame({"source_ref": [key[0]], "kind": [kind], "attempts": [attempts], "error": [error], "at": [pd.Timestamp(ms, unit="ms")]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        attempts, error = (self.state.get()[0], self.state.get()[1]) if self.state.exists() else (0, None)
+        for ok, what, ts in zip(found["ok"], found["error"], found["ts"], strict=True):
+            if ok:
+                attempts, error = 0, None
+                continue
+            attempts, error, ms = attempts + 1, what, int(ts.timestamp() * 1000)
+            if attempts >= self.most:
+                yield self.told(key, "dead", attempts, error, ms)
+                attempts, error = 0, None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if attempts:
+            self.state.update((attempts, error))
+            # a timer that lies before the watermark fires in the next batch
+            self.handle.registerTimer(max(ms + self.wait_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        elif self.state.exists():
+            self.state.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            attempts, error = self.state.get()
+            yield self.told(key, "retry", attempts, error, expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def retries(outcomes: DataFrame, most: int = MOST_RETRIES, wait_ms: int = 5_000, late: str = "10 seconds") -> DataFrame:
+    """outcomes (source_ref, ok, error, ts) of attempts to (source_ref, kind, attempts, error, at): 'retry' when a
+    failed source is due again, 'dead' at its last failure. Needs the state store of RocksDB."""
+    return outcomes.withWatermark("ts", late).groupBy("source_ref").transformWithStateInPandas(Retries(most, wait_ms), "source_ref string, kind string, attempts int, error string, at timestamp", "append", "eventtime")
+
+
 def retried(queue: DataFrame, succeeded: DataFrame, most: int = MOST_RETRIES) -> tuple[DataFrame, DataFrame]:
     """queue (path, attempts) after a drain: (what is tried again, what is given up)."""
     left = queue.join(succeeded.select("path").distinct(), "path", "left_anti").withColumn("attempts", F.col("attempts") + 1)
