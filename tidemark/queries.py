@@ -11,12 +11,17 @@ from pyspark.sql.window import Window
 from tidemark.functions import scores
 from tidemark.functions import text as X
 from tidemark.operators import analytics as A
-from tidemark.operators import chunking, index, linking, vector
-from tidemark.operators.ingest import run_stats, statuses
+from tidemark.operators import chunking, index, linking, sketches, vector
+from tidemark.operators.ingest import ingest, run_stats, statuses
+from tidemark.operators.substrings import SubstringIndex
 from tidemark.plans import catalog as C
 from tidemark.plans import provenance as P
-from tidemark.plans.corpus import corpus_store, edited, items, table
+from tidemark.plans.corpus import FIRST, SECOND, corpus_store, edited, items, table
+from tidemark.plans.durable import DurableStore
+from tidemark.plans.pages import Pages
 from tidemark.plans.tables import scratch
+from tidemark.sources.changes import Snapshots
+from tidemark.sources.markup import html_markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -827,3 +832,90 @@ def quotes_and_links(s, d):
     n = F.col("doc_id").cast("string")
     rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("Hello "), n, F.lit("\nOn day "), n, F.lit(" ann wrote:\n> see [x](https://a.example/"), n, F.lit(")\nand http://b.example")).alias("t"))
     return rows.select("doc_id", F.replace(X.without_quotes(F.col("t")), F.lit("\n"), F.lit("|")).alias("own"), X.links_in(F.col("t")).alias("links"))
+
+
+# Indexes, snapshots and the durable store
+
+
+def _built(s: SparkSession, d: str, name: str, build: Callable[[str], object]) -> str:
+    """The path of something that is built once for a folder of tables."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _indexes:
+        path = scratch(s, name)
+        build(path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+_TERMS = ("Licensed under", "the th", "éren", "zqx", "t.")
+
+
+@query(f"SELECT term, doc_id FROM documents, (VALUES {', '.join(f"('{t}')" for t in _TERMS)}) t(term) WHERE contains(lower(text), lower(term))")
+def substring_search(s, d):
+    """Documents that hold a term, by the postings of its rarest trigrams."""
+    docs = table(s, d, "documents")
+    path = _built(s, d, "substrings", lambda p: SubstringIndex.build(docs, p, "doc_id"))
+    return SubstringIndex(s, path).search_all(docs, list(_TERMS), "doc_id")
+
+
+@query("SELECT event_id, user_id, value, (SELECT count(*) FROM events) AS total FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 50 OFFSET 400")
+def deep_page(s, d):
+    """A page far into a list, with the total, from the ranges that it lies in."""
+    path = _built(s, d, "pages", lambda p: Pages.build(table(s, d, "events"), p, [("value", False), ("event_id", True)]))
+    pages = Pages(s, path)
+    return pages.page(400, 50).select("event_id", "user_id", "value", F.lit(pages.total).cast("bigint").alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type")
+def sketch_counts(s, d):
+    """Rows and distinct users by type from stored sketches of days, beside the exact count: near is within 3 %."""
+    path = _built(s, d, "sketches", lambda p: sketches.stored(sketches.daily(table(s, d, "events"), "ts", "event_type", "user_id"), p))
+    found = sketches.merged(sketches.read(s, path), "group")
+    exact = table(s, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(found, F.col("event_type").eqNullSafe(F.col("group"))).select("event_type", "n", "users", (F.abs(F.col("items") - F.col("users")) <= 0.03 * F.col("users")).alias("near"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey, c_custkey % 7 AS k, lpad((c_custkey % 100000000)::VARCHAR, 8, '1') AS n FROM customer)
+    SELECT c_custkey, CASE k WHEN 0 THEN '+4420' || n WHEN 1 THEN '+1212' || substr(n, 2) WHEN 2 THEN '+3906' || n WHEN 3 THEN '' WHEN 4 THEN '+813' || n WHEN 5 THEN '' ELSE '+3531' || substr(n, 2) END AS e164 FROM c""")
+def phone_plan(s, d):
+    """Numbers as written in several countries, in E.164 by the numbering plan."""
+    n, k = F.lpad((F.col("c_custkey") % 100_000_000).cast("string"), 8, "1"), F.col("c_custkey") % 7
+    written = F.when(k == 0, F.concat(F.lit("+44 (0)20 "), n, F.lit(" ext. 12"))).when(k == 1, F.concat(F.lit("(212) "), F.substr(n, F.lit(2)))).when(k == 2, F.concat(F.lit("+39 06-"), n)).when(k == 3, F.concat(F.lit("0555 "), n)).when(k == 4, F.concat(F.lit("011 81 03 "), n))
+    written = written.when(k == 5, F.concat(F.lit("+45 1"), n)).otherwise(F.concat(F.lit("+353 01 "), F.substr(n, F.lit(2))))
+    return table(s, d, "customer").select("c_custkey", X.normalised_phone(written).alias("e164"))
+
+
+@query("""
+    WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS etag FROM documents WHERE source IS DISTINCT FROM 'src3'),
+    b AS (SELECT doc_id, sha256(CASE WHEN lang = 'fr' THEN coalesce(text, '') || ' Revised.' ELSE coalesce(text, '') END) AS etag FROM documents WHERE source IS DISTINCT FROM 'src7')
+    SELECT coalesce(a.doc_id, b.doc_id)::VARCHAR AS href, CASE WHEN b.doc_id IS NULL THEN 'removed' ELSE 'upserted' END AS kind, b.etag FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.etag IS DISTINCT FROM b.etag""")
+def snapshot_changes(s, d):
+    """What changed since a token: documents of one source are new by then, those of another gone, those of a language revised."""
+    text = F.coalesce("text", F.lit(""))
+    docs, kept = table(s, d, "documents"), lambda name: F.coalesce(F.col("source"), F.lit("")) != name
+    log = Snapshots(s, scratch(s, "snapshots"))
+    told = lambda df, body: df.select(F.col("doc_id").cast("string").alias("href"), F.sha2(body, 256).alias("etag"))
+    token = log.put(told(docs.where(kept("src3")), text))
+    log.put(told(docs.where(kept("src7")), F.when(F.col("lang") == "fr", F.concat(text, F.lit(" Revised."))).otherwise(text)))
+    return log.since(token).items
+
+
+@query(", now AS (SELECT o.source_id, o.version, o.chunk_index, o.chunk_hash FROM once o JOIN src s USING (source_id) WHERE o.version = s.current_version AND s.domain = 'documents') SELECT source_id, version AS source_version, chunk_index::INT AS chunk_index, chunk_hash FROM now", base=True)
+def durable_active_chunks(s, d):
+    """Active chunks of a store on disk after two batches, of which the second wrote what it changed."""
+    docs = items(s, d)
+    adapters = docs.select("adapter_id", "domain").distinct().select("adapter_id", "domain", F.lit("corpus").alias("adapter_type"), F.lit("1").alias("normalizer_version"), F.lit("{}").alias("config"), F.lit(True).alias("enabled"), F.lit(FIRST).alias("created_at"), F.lit(FIRST).alias("updated_at"))
+
+    def build(path: str) -> None:
+        for n, (rows, at, model) in enumerate([(docs, FIRST, "model-a"), (edited(docs), SECOND, "model-b")]):
+            DurableStore(s, path).apply(n, rows, lambda x, rows=rows, at=at, model=model: ingest(x.register_adapters(adapters), rows.drop("n"), at, model, by_line=True)[0])
+
+    store = DurableStore(s, _built(s, d, "durable", build)).store()
+    return store.active_chunks().select("source_id", "source_version", "chunk_index", "chunk_hash")
+
+
+@query()
+def page_markdown(s, d):
+    """Web pages as markdown; tests hold the converter against cases by hand."""
+    return table(s, d, "pages").select("page_id", html_markdown(F.col("html")).alias("markdown"))
