@@ -130,3 +130,82 @@ def test_retries_by_timers(spark, tmp_path):
     got = sorted((r.source_ref, r.kind, r.attempts, r.error, int((r.at - base).total_seconds())) for r in spark.table("retries").collect())
     assert got == [("a", "dead", 3, "e3", 121), ("a", "retry", 1, "e1", 5), ("a", "retry", 2, "e2", 66), ("b", "retry", 1, "e1", 6), ("d", "retry", 1, "e1", 126)]
     assert spark.table("retries").where(F.col("source_ref").isin("c", "z")).count() == 0
+
+
+# Feeds, vaults from a service, transcripts, resets
+
+
+def test_drained_feed(spark, tmp_path):
+    line = lambda more, cursor: json.dumps({"has_more": more, "next_cursor": cursor})
+    item = lambda i: json.dumps({"op": "upsert", "source_id": i, "markdown": "x", "modified_at": at(0)})
+    (tmp_path / "p1.json").write_text(item("a") + "\n" + line(True, "c1"))
+    (tmp_path / "p2.json").write_text(item("b") + "\n" + line(False, "c2"))
+    items, _, trailers = readers.file_feed(spark, str(tmp_path))
+    assert items.count() == 2 and readers.drained(trailers) == ("c2", True)
+    assert readers.drained(trailers.where("next_cursor = 'c1'")) == ("c1", False)
+    (tmp_path / "p3.json").write_text(item("c") + "\n" + line(True, "c3"))
+    with pytest.raises(ValueError, match="end of the feed"):
+        readers.drained(readers.file_feed(spark, str(tmp_path))[2])
+
+
+def test_vault_from_a_service(spark, tmp_path):
+    notes = [{"path": "a b.md", "content": "---\ntags: [x]\n---\nsee [[c]]"}, {"path": "d/c.md", "content": "[[a b]]"}, {"path": "", "content": "x"}, {"path": "n.md"}]
+    (tmp_path / "v.json").write_text("\n".join([*map(json.dumps, notes), "{broken"]))
+    items, rejects = readers.vault_json(spark, str(tmp_path / "v.json"))
+    found = {r.source_id: json.loads(r.extra_metadata) for r in items.collect()}
+    assert found["a b.md"]["backlinks"] == ["c"] and found["a b.md"]["tags"] == ["x"] and found["d/c.md"]["backlinks"] == ["a b"] and len(found) == 2 and rejects.count() == 3
+
+
+def at(n):
+    return f"2024-02-{n + 1:02d}T00:00:00Z"
+
+
+@pytest.fixture(scope="module")
+def watched(spark, tmp_path_factory):
+    from tidemark.operators.ingest import ingest
+    from tidemark.plans.store import Store
+
+    folder = tmp_path_factory.mktemp("watched")
+    seen = [{"video_id": "v1", "title": "One", "channel": "C", "url": "https://v.example/1", "watched_at": at(0)}, {"video_id": "v1", "title": "One, again", "channel": "C", "url": "https://v.example/1", "watched_at": at(3)}, {"video_id": "v2", "title": "Two", "watched_at": at(1)}, {"video_id": "v3", "title": "Three", "watched_at": at(2)}]
+    (folder / "w.json").write_text("\n".join(map(json.dumps, seen)))
+    said = lambda i, *texts: {"video_id": i, "segments": [{"text": t, "start": 3599.0 + 2 * k, "duration": 2.0} for k, t in enumerate(texts)]}
+    (folder / "c.json").write_text("\n".join(map(json.dumps, [said("v1", "hello there", "more words"), said("v2", "second"), said("v9", "never watched"), {"video_id": "v3"}])))
+    items, _ = readers.watches(spark, str(folder / "w.json"))
+    adapters = spark.createDataFrame([(a, d, "x", "1", "{}", True, at(0), at(0)) for a, d in (("videos:local", "events"), ("transcripts:local", "documents"))], "adapter_id string, domain string, adapter_type string, normalizer_version string, config string, enabled boolean, created_at string, updated_at string")
+    store = ingest(Store.new(spark).register_adapters(adapters), items, at(5))[0].write(str(folder / "store"))
+    return folder, store
+
+
+def test_transcripts_of_watched_videos(spark, watched):
+    from tidemark.operators.ingest import ingest
+
+    folder, store = watched
+    items, rejects = readers.transcripts(spark, str(folder / "c.json"), store, "videos:local", words=2)
+    found = {r.source_id: r for r in items.collect()}
+    assert found.keys() == {"video/transcript/v1", "video/transcript/v2"} and rejects.count() == 1
+    assert found["video/transcript/v1"].markdown == f"# One, again\n\n**Channel:** C\n**URL:** https://v.example/1\n**Watched:** {at(3)}\n\n## Transcript\n\n[59:59] hello there\n\n[1:00:01] more words"
+    store = ingest(store, items.where("source_id = 'video/transcript/v1'"), at(6))[0].write(str(folder / "later"))
+    again, _ = readers.transcripts(spark, str(folder / "c.json"), store, "videos:local")
+    assert [r.source_id for r in again.collect()] == ["video/transcript/v2"]
+
+
+def test_reset_in_steps(spark, watched):
+    from tidemark.plans.reset import HelperFailed, UnknownAdapter, reset
+
+    _, store = watched
+    done = []
+    after, told = reset(store, "videos:local", at(7), helper=lambda: done.append("helper") or ["cursor"], trigger=lambda a: done.append(a) or True)
+    assert told.ok and told.helper_reset and told.cleared == ["cursor"] and told.triggered and done == ["helper", "videos:local"]
+    assert told.sources_reset == 4 and told.chunks_retired == store.live_chunks().count() and after.live_chunks().count() == 0
+    with pytest.raises(UnknownAdapter):
+        reset(store, "no:such", at(7))
+
+    def broken(*_):
+        raise OSError("down")
+
+    with pytest.raises(HelperFailed, match="OSError: down"):
+        reset(store, "videos:local", at(7), helper=broken)
+    after, told = reset(store, "videos:local", at(7), trigger=broken)
+    assert not told.ok and told.helper_reset is None and told.errors == ["OSError: down"] and after.live_chunks().count() == 0
+    after, told = reset(store, "videos:local", at(7))
+    assert told.needs_fetch != told.ok and told.chunks_retired > 0

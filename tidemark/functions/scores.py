@@ -70,3 +70,22 @@ def iso_week_key(day: Column, iso_year: bool = False) -> Column:
     """'2025-W01'. The year is the calendar year, unless iso_year asks for the week's own."""
     year = F.extract(F.lit("YEAROFWEEK"), day) if iso_year else F.year(day)
     return F.format_string("%04d-W%02d", year.cast("int"), F.weekofyear(day))
+
+
+def day_header(day: Column) -> Column:
+    """'Saturday, March 21, 2026'."""
+    return F.date_format(day, "EEEE, MMMM d, yyyy")
+
+
+def week_header(day: Column) -> Column:
+    """'Week 12: Mar 16 – Mar 22, 2026', with the year of its Sunday."""
+    monday = F.date_trunc("week", day).cast("date")
+    sunday = F.date_add(monday, 6)
+    return F.format_string("Week %d: %s – %s, %s", F.weekofyear(day), F.date_format(monday, "MMM d"), F.date_format(sunday, "MMM d"), F.date_format(sunday, "yyyy"))
+
+
+def clock(seconds: Column) -> Column:
+    """M:SS, or H:MM:SS from an hour on."""
+    s = F.floor(seconds).cast("int")
+    hours, minutes, rest = F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int"), s % 60
+    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))

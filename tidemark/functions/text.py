@@ -135,6 +135,13 @@ def links_in(markdown: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(markdown, F.lit(r"(https?://[^\s)\]>\"']+)"), 1))
 
 
+def titled_links(markdown: Column) -> Column:
+    """(title, url) of markdown links, in order: the text shown, or what stands in quotes behind the target."""
+    pattern = F.lit(r"""(?<!!)\[([^\]\[]*)\]\(\s*<?([^\s()<>]+)>?(?:\s+"([^"]*)")?\s*\)""")
+    parts = [F.regexp_extract_all(markdown, pattern, i) for i in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("shown", "url", "quoted"), strict=True)]), lambda x: F.struct(or_else(x["quoted"], x["shown"]).alias("title"), x["url"].alias("url")))
+
+
 def wikilinks(markdown: Column) -> Column:
     """Targets of [[target]], [[target|shown]] and [[target#heading]]."""
     return F.array_distinct(F.transform(F.regexp_extract_all(markdown, F.lit(r"\[\[([^\]\[|#]+)"), 1), lambda x: F.trim(x)))
@@ -181,6 +188,20 @@ def file_category(path: Column) -> Column:
     return out
 
 
+#: Names of document types.
+TYPE_NAMES = {"text/markdown": "Markdown", "text/plain": "Text", "application/pdf": "PDF", "audio/mpeg": "Music", "audio/mp4": "Music"}
+
+
+def document_type(adapter_id: Column) -> Column:
+    """The type of a source's documents, as its adapter tells it."""
+    return F.when(F.contains(adapter_id, F.lit("music")), "audio/mpeg").otherwise("text/markdown")
+
+
+def document_type_name(kind: Column) -> Column:
+    """Its name in lists; a type without one is its own."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair]), kind), kind)
+
+
 def preview(text: Column, length: int = 300) -> Column:
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("…"))).otherwise(text)
 

@@ -192,3 +192,8 @@ def letters(names: DataFrame, name: str) -> DataFrame:
 def first_filled(rows: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:
     """(key, column): of each key the first value that isn't null; null where all are."""
     return rows.groupBy(key).agg(F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*order))).alias(column))
+
+
+def choices(rows: DataFrame, column: str) -> DataFrame:
+    """(column): the values of a filter's list, each once, in order; null is none."""
+    return rows.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

@@ -88,5 +88,13 @@ def provenance(store: Store, heads: DataFrame) -> DataFrame:
     return first.join(origin, "source_id", "left").join(store.adapters.select(F.col("adapter_id").alias("source_adapter"), "adapter_type"), "source_adapter", "left").join(chain, F.col("chunk_hash") == F.col("head"), "left").drop("head")
 
 
+def provenance_tree(store: Store, heads: DataFrame) -> DataFrame:
+    """provenance() as (chunk, lineage, source, version_chain), each but the last a struct."""
+    rows = provenance(store, heads)
+    chunk = F.struct("chunk_hash", "content", "context_header", "chunk_index", "chunk_type", "domain_metadata", "cross_refs")
+    lineage = F.struct("chunk_hash", "source_id", F.col("source_version").alias("source_version_id"), "adapter_id", "domain", "normalizer_version", "embedding_model_id")
+    return rows.select(chunk.alias("chunk"), lineage.alias("lineage"), F.struct("source_id", "origin_ref", "adapter_type").alias("source"), "version_chain")
+
+
 def timeline(store: Store, source_id: str) -> DataFrame:
     return history_counts(store).where(F.col("source_id") == source_id).join(store.versions.select("source_id", "version", "fetch_timestamp"), ["source_id", "version"]).orderBy("version")

@@ -1,7 +1,7 @@
 """The content store: append-only tables, views of what is current, and the operations that change it.
 
-Tables are DataFrames; an operation returns the store with one table replaced. Nothing is updated in place: a
-retirement is a row, a re-registration is a later row, and views pick the latest.
+Tables are DataFrames; an operation returns the store with tables replaced, as plans over those before. Nothing is updated
+in place. Store.write writes whole tables; plans.durable works on the rows that a batch touches, and writes what changed.
 """
 
 from __future__ import annotations
@@ -192,10 +192,13 @@ class Store:
         """done: (adapter_id, source_id) that succeeded."""
         return replace(self, dead_letters=self.dead_letters.join(done.select("adapter_id", "source_id").distinct(), ["adapter_id", "source_id"], "left_anti"))
 
-    def add_links(self, rows: DataFrame) -> Store:
+    def new_links(self, rows: DataFrame) -> DataFrame:
+        """Of those rows the ones that add_links would add; their count is what it reports."""
         key = ["source_chunk_hash", "target_chunk_hash", "link_type"]
-        new = latest(rows, key, F.desc("confidence")).join(self.entity_links, key, "left_anti")
-        return replace(self, entity_links=self.entity_links.unionByName(new.select(self.entity_links.columns)))
+        return latest(rows, key, F.desc("confidence")).join(self.entity_links, key, "left_anti")
+
+    def add_links(self, rows: DataFrame) -> Store:
+        return replace(self, entity_links=self.entity_links.unionByName(self.new_links(rows).select(self.entity_links.columns)))
 
     def stale_links(self) -> DataFrame:
         """Links whose person, or whose target, was known once and has no active chunk now."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -919,3 +920,53 @@ def durable_active_chunks(s, d):
 def page_markdown(s, d):
     """Web pages as markdown; tests hold the converter against cases by hand."""
     return table(s, d, "pages").select("page_id", html_markdown(F.col("html")).alias("markdown"))
+
+
+# Lists and labels
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS n FROM events WHERE (SELECT date_diff('day', min(ts), max(ts)) FROM events) < 30 GROUP BY 1 UNION ALL SELECT printf('%04d-W%02d', year(ts)::INT, weekofyear(ts)::INT), count(*) FROM events WHERE (SELECT date_diff('day', min(ts), max(ts)) FROM events) >= 30 GROUP BY 1")
+def events_by_span(s, d):
+    """By day, or by week where they span 30 days and more."""
+    return A.calendar(table(s, d, "events"))
+
+
+@query("SELECT DISTINCT adapter_id, 'text/markdown' AS document_type, 'Markdown' AS name FROM (SELECT 'corpus:' || source AS adapter_id FROM documents) UNION ALL SELECT DISTINCT 'music:' || c_mktsegment, 'audio/mpeg', 'Music' FROM customer")
+def document_types(s, d):
+    ids = table(s, d, "documents").select(F.concat(F.lit("corpus:"), "source").alias("adapter_id")).union(table(s, d, "customer").select(F.concat(F.lit("music:"), "c_mktsegment")))
+    kind = X.document_type(F.col("adapter_id"))
+    return A.choices(ids, "adapter_id").select("adapter_id", kind.alias("document_type"), X.document_type_name(kind).alias("name"))
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), w AS (SELECT day, date_trunc('week', day)::DATE AS mon FROM d)
+    SELECT day::VARCHAR AS day, strftime(day, '%A, %B %-d, %Y') AS day_header, 'Week ' || weekofyear(day) || ': ' || strftime(mon, '%b %-d') || ' – ' || strftime(mon + 6, '%b %-d, %Y') AS week_header FROM w""")
+def date_headers(s, d):
+    day = F.col("day")
+    return table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select(day.cast("string").alias("day"), scores.day_header(day).alias("day_header"), scores.week_header(day).alias("week_header"))
+
+
+@query("SELECT doc_id, 'Document ' || doc_id AS title, 'https://corpus.example/' || source || '/' || doc_id AS url FROM documents UNION ALL SELECT doc_id, coalesce(lang, ''), 'http://' || doc_id || '.example' FROM documents")
+def titled_links(s, d):
+    """Links that follow a document's text, with what they show or are titled."""
+    docs = table(s, d, "documents").where(F.col("source").isNotNull())
+    mark = F.concat(F.translate(F.coalesce("text", F.lit("")), "[]()!", "     "), F.lit("\n[Document "), "doc_id", F.lit("](https://corpus.example/"), "source", F.lit("/"), "doc_id", F.lit(') ![image](x.png) [shown](http://'), "doc_id", F.lit('.example "'), F.coalesce("lang", F.lit("")), F.lit('")'))
+    return docs.select("doc_id", F.explode(X.titled_links(mark)).alias("x")).select("doc_id", "x.title", "x.url")
+
+
+@query(", gone AS (SELECT source_id FROM src WHERE adapter_id = 'corpus:src3') SELECT c.source_id, c.version AS source_version, c.chunk_hash, CASE WHEN g.source_id IS NULL THEN c.domain ELSE 'notes' END AS domain, g.source_id IS NOT NULL AND c.retired_at IS NULL AND c.version = c.current_version AS queued FROM chk c LEFT JOIN gone g USING (source_id)", base=True)
+def domain_moved(s, d):
+    """Sources of an adapter registered anew in another domain: all their chunks move, the active ones are queued."""
+    store = corpus_store(s, d)
+    rows = store.sources.where("adapter_id = 'corpus:src3'").withColumns({"domain": F.lit("notes"), "created_at": F.lit("2024-05-01T00:00:00Z")})
+    moved = replace(store, sync_log=store.sync_log.where("false")).register_sources(rows)
+    queued = moved.active_chunks().where("domain = 'notes'").select("source_id", "source_version", "chunk_hash").join(moved.sync_log.where("operation = 'insert'").select("chunk_hash"), "chunk_hash", "left_semi").withColumn("queued", F.lit(True))
+    return moved.chunks.join(queued, ["source_id", "source_version", "chunk_hash"], "left").select("source_id", "source_version", "chunk_hash", "domain", F.coalesce("queued", F.lit(False)).alias("queued"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND label <> 3")
+def vectors_of_dimension(s, d):
+    """Vectors that stay when a collection starts with a dimension; those of one label are of another."""
+    store = corpus_store(s, d)
+    v = store.vectors.withColumn("vector", F.when(F.col("domain") == "domain3", F.slice("vector", 1, 32)).otherwise(F.col("vector")))
+    return replace(store, vectors=v).with_dimension(64).vectors.select(F.substr("chunk_hash", F.lit(5)).cast("bigint").alias("vec_id"))

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scores
 from tidemark.functions import text as X
-from tidemark.operators.analytics import hourly
+from tidemark.operators.analytics import hourly, latest_watch
+from tidemark.plans.store import Store
 from tidemark.sources.changes import Snapshots
 from tidemark.sources.markup import html_markdown
 
@@ -121,6 +122,15 @@ def file_feed(spark: SparkSession, path: str | list[str], adapter_id: str = "fil
     return items, rejects, trailer
 
 
+def drained(trailers: DataFrame) -> tuple[str | None, bool]:
+    """(cursor to go on from, whether the feed is drained) of file_feed's pages, which follow each other by name. A page
+    that says that nothing follows, but isn't the last, is an error: what comes after it belongs to another feed."""
+    pages = [(r.page, r.has_more, r.next_cursor) for r in trailers.orderBy("page").select("page", "has_more", "next_cursor").collect()]  # one for each page
+    if early := [p for p, more, _ in pages[:-1] if not more]:
+        raise ValueError(f"pages follow the end of the feed: {early[:10]}")
+    return (pages[-1][2], not pages[-1][1]) if pages else (None, False)
+
+
 FRONT = r"\A---\n(?s:(.*?))\n---\n?"
 
 
@@ -145,7 +155,19 @@ def inline_fields(body: Column) -> Column:
 
 def vault(spark: SparkSession, folder: str, adapter_id: str = "vault:local") -> Both:
     """A vault of linked notes: front matter, inline fields, links out and links back."""
-    rows = listed(spark, folder, "*.md").select("raw", F.col("inner").alias("path"))
+    return linked_notes(listed(spark, folder, "*.md").select("raw", F.col("inner").alias("path")), adapter_id)
+
+
+def vault_json(spark: SparkSession, path: str, adapter_id: str = "vault:remote") -> Both:
+    """A vault as a service hands it out: a line for each note, {path, content}; malformed lines are rejects."""
+    lines = json_lines(spark, path, "path string, content string")
+    sound = F.coalesce(filled(r("path")) & r("content").isNotNull(), F.lit(False))
+    items, _ = linked_notes(lines.where(sound).select(r("content").alias("raw"), r("path").alias("path")), adapter_id)
+    return items, lines.where(~sound).select(F.lit(adapter_id).alias("adapter_id"), F.col("raw").alias("record"), F.lit("malformed").alias("reason"))
+
+
+def linked_notes(rows: DataFrame, adapter_id: str) -> Both:
+    """Notes (raw, path) with front matter, inline fields, links out and links back."""
     rows = rows.withColumns({"front": F.regexp_extract("raw", FRONT, 1), "body": F.regexp_replace("raw", FRONT, "")})
     rows = rows.withColumns({"name": F.regexp_replace(X.file_name(F.col("path")), r"\.md$", ""), "wikilinks": X.wikilinks(F.col("body"))})
     edges = rows.select(F.col("name").alias("src"), F.explode("wikilinks").alias("dst"))
@@ -449,6 +471,25 @@ def caption_blocks(segments: Column, words: int = 350) -> Column:
     return F.aggregate(segments, zero, add)
 
 
+def transcripts(spark: SparkSession, path: str, store: Store, watch_adapter: str, adapter_id: str = "transcripts:local", words: int = 350) -> Both:
+    """Transcripts of the videos that the store's watch history has and its transcripts lack: captions {video_id,
+    segments} are joined with the latest watch of each, and merged into blocks. A video without captions waits."""
+    kind = T._parse_datatype_string("video_id string, title string, channel string, channel_id string, url string, start_date string")
+    seen = store.active_chunks().where(F.col("adapter_id") == watch_adapter).select(F.from_json("domain_metadata", kind).alias("m")).select("m.*").withColumnRenamed("start_date", "watched_at")
+    have = store.sources.where((F.col("adapter_id") == adapter_id) & F.startswith("source_id", F.lit("video/transcript/"))).select(F.substr("source_id", F.lit(len("video/transcript/") + 1)).alias("video_id"))
+    due = latest_watch(seen.withColumn("watched_at", F.coalesce("watched_at", F.lit(""))), have)
+    lines = json_lines(spark, path, "video_id string, segments array<struct<text:string, start:double, duration:double>>")
+    sound = F.coalesce(filled(r("video_id")) & r("segments").isNotNull(), F.lit(False))
+    rows = lines.where(sound).select("raw", r("video_id").alias("video_id"), r("segments").alias("segments")).join(due, "video_id")
+    title, url = X.or_else(F.col("title"), F.concat(F.lit("Video "), "video_id")), F.col("url")
+    said = F.transform(caption_blocks(F.col("segments"), words), lambda b: F.concat(F.lit("["), scores.clock(b["start"]), F.lit("] "), b["text"]))
+    head = F.concat_ws("\n", F.concat(F.lit("**Channel:** "), "channel"), F.concat(F.lit("**URL:** "), url), F.concat(F.lit("**Watched:** "), X.or_else(F.col("watched_at"), F.lit(None).cast("string"))))
+    body = F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.when(head != "", head), F.when(F.size(said) > 0, F.lit("## Transcript")), F.when(F.size(said) > 0, F.array_join(said, "\n\n")))
+    meta = metadata(document_id=F.col("video_id"), title=title, document_type=F.lit("video/transcript"), source_type=F.lit("video_transcript"), channel=F.col("channel"), channel_id=F.col("channel_id"), url=url, watched_at=F.col("watched_at"))
+    items, _ = made(rows, adapter_id, "documents", F.concat(F.lit("video/transcript/"), "video_id"), body, meta, F.lit(True), title, url)
+    return items, lines.where(~sound).select(F.lit(adapter_id).alias("adapter_id"), F.col("raw").alias("record"), F.lit("malformed").alias("reason"))
+
+
 def pushed(spark: SparkSession, path: str) -> Both:
     """Payloads {adapter_id, domain, normalizer_version, items} of 1 to 10,000 items, as an application pushed them."""
     rows = json_lines(spark, path, "adapter_id string, domain string, normalizer_version string, items array<struct<source_id:string, markdown:string, structural_hints:struct<extra_metadata:string>>>")
