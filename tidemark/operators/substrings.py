@@ -6,9 +6,11 @@ trigram has. A search takes the ``MOST`` rarest trigrams of its term, keeps the
 the term in these texts alone. A trigram that a third of all texts have is cut over many files, as rows are dealt by
 ranges of (trigram, key).
 
+Texts are cut in pieces of ``PIECE`` characters that overlap, so work grows with a text's length.
+
 Defined results: case is folded by lower(); a null text has no entry and is never found; an empty term is in every text
 that isn't null; a term of one or two characters is looked for among the trigrams themselves; repeated keys are one
-in the postings, and each of their rows is looked at.
+in the answer of the postings, and each of their rows is looked at.
 """
 
 from __future__ import annotations
@@ -19,12 +21,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAM, MOST = 3, 4
+#: Characters of a text whose trigrams are made at a time. Spark finds a character by counting from the start.
+PIECE = 4096
 
 
-def grams(text: Column) -> Column:
-    """Distinct trigrams of a text in lower case; all of it, if it is shorter."""
+def pieces(text: Column) -> Column:
+    """A text in lower case, cut so that each of its trigrams lies in a piece."""
     low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (GRAM - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(GRAM))))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)), F.lit(PIECE)), lambda i: F.substr(low, i, F.lit(PIECE + GRAM - 1)))
+
+
+def grams(piece: Column) -> Column:
+    """Distinct trigrams; all of it, if it is shorter. The outer transform binds the characters once."""
+    characters = F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0))
+    several = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.concat(*[c[i + k] for k in range(GRAM)])))
+    return F.transform(F.array(characters), lambda c: F.when(F.size(c) < GRAM, F.array(F.array_join(c, ""))).otherwise(several(c)))[0]
 
 
 class SubstringIndex:
@@ -39,7 +50,8 @@ class SubstringIndex:
 
     def append(self, texts: DataFrame, key: str, text: str = "text", mode: str = "append") -> None:
         """Adds texts; counts of several batches are added up where they are read."""
-        rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(grams(F.col(text))).alias("gram"))
+        cut = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(pieces(F.col(text))).alias("piece"))
+        rows = cut.select("key", F.explode(grams(F.col("piece"))).alias("gram"))
         rows = rows.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key")
         rows.write.mode(mode).options(**{"parquet.block.size": str(1 << 20)}).parquet(f"{self.path}/postings")
         batch = self.postings() if mode == "overwrite" else rows
