@@ -493,7 +493,10 @@ def test_decontamination_stage_keeps_parts_of_items(spark, tmp_path):
 # Models
 
 
-def test_katz_by_hand(spark, docs, monkeypatch):
+@pytest.mark.parametrize("hot", [katz.HOT_TOKENS, 3])
+def test_katz_by_hand(spark, docs, monkeypatch, hot):
+    """With few contexts spread over the parts, and with nearly all."""
+    monkeypatch.setattr(katz, "HOT_TOKENS", hot)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 20_000)
     monkeypatch.setattr(katz, "PART_ENTRIES", 50_000)
     got = {r.doc_id: r for r in katz.op8_katz(spark, SF).collect()}

@@ -13,8 +13,9 @@ Layout. Texts become *blocks*: some millions of tokens as ids into the block's w
 hash is the word). Counting is a round trip: a block sends its distinct words, or pairs, with training counts to
 the partitions of a count table, once each, one row for a partition that it has any for; so there are never more
 rows than entries. A partition adds them up, stores its part of the table and answers every block in the order of what it sent. Contexts live in one partition each, but for those with over 1/4096 of
-all tokens, which are spread by pair and whose sums, at most 4097, are added up again. So a word, pair or context of
-any frequency is one entry for each block that has it, and every lookup of the recursion is local.
+all tokens, or over two million, which are spread by pair. Their sums are added up again, and each block is joined with those of
+its own. So a word, pair or context of any frequency is one entry for each block that has it, no partition holds more
+than its share of a context, and every lookup of the recursion is local.
 
 Defined results: null, empty and blank texts have the end token alone; repeated rows count and score each; with no
 training text every probability is that of the unknown word, 1; rows without id are training rows unless crc32 of
@@ -36,7 +37,9 @@ from tidemark.llm.common import saved, table
 from tidemark.llm.encode import relax, strings
 from tidemark.llm.minhash import mixed
 
-MOST_DISCOUNTED, BLOCK_TOKENS, PART_ENTRIES, CHUNK, HOT_SHARE = 5, 1_500_000, 2_000_000, 4 << 20, 4096
+MOST_DISCOUNTED, BLOCK_TOKENS, PART_ENTRIES, CHUNK = 5, 1_500_000, 2_000_000, 4 << 20
+#: A context is spread over the parts if it has more than this share of all tokens, or more than so many.
+HOT_SHARE, HOT_TOKENS = 4096, PART_ENTRIES
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token; words hash to anything
 START = (1 << 40) - 1  # the id of the start mark; word ids are smaller
 
@@ -77,6 +80,11 @@ def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     return c * np.where(c < len(d), np.array(d)[np.minimum(c, len(d) - 1)], 1.0)
 
 
+def hot_from(n: int) -> int:
+    """Tokens above which a context is spread, of n in all."""
+    return max(1, min(n // HOT_SHARE, HOT_TOKENS))
+
+
 class Unigrams:
     """P(w) by count."""
 
@@ -253,7 +261,7 @@ def pair_table(blocks: DataFrame, uni: DataFrame, one: Unigrams, word_parts: int
     """Rows (part, block, counts, totals, of, seen) answer a block: its pairs' counts, and for its contexts in the
     part c(h), their counts of counts and the sum of P(w) seen. Block -1: the part of the table (ids1, ids2, counts)
     and its counts of counts; block -2: sums of the part's share of a context that is spread."""
-    hot = max(1, one.n // HOT_SHARE)
+    hot = hot_from(one.n)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,9 +338,17 @@ def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
     table_ = pair_table(blocks, uni, one, word_parts, parts)
     sums = table_.where("block = -1").agg(*[F.sum(F.col("of")[r]).alias(f"of{r}") for r in range(MOST_DISCOUNTED + 2)]).first()
     d = discounts([sums[f"of{r}"] or 0 for r in range(MOST_DISCOUNTED + 2)])
-    whole = spread_sums(table_.where("block = -2")).collect()  # at most HOT_SHARE + 1 contexts
-    spread = {r.id: (r.total, np.array([r[f"k{i}"] for i in range(MOST_DISCOUNTED)]), r.seen) for r in whole}
-    hot = max(1, one.n // HOT_SHARE)
+    hot = hot_from(one.n)
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in rows_of(batch):
+                own = unzipped(r["ids"])[unzipped(r["counts"]) > hot]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r["block"])), pa.array(own)], names=["block", "id"])
+
+    # the spread contexts of each block: its frequent words, and the start mark
+    own = uni.where("block >= 0").select("block", "ids", "counts").mapInArrow(above, "block long, id long").union(blocks.select("block", F.lit(START).cast("long")))
+    spread = own.join(spread_sums(table_.where("block = -2")), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,8 +364,9 @@ def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
                     starts, _ = contexts(block.u1[own])
                     at = block.u1[own][starts]
                     total[at], seen[at], kinds[:, at] = unzipped(a["totals"]), unzipped(a["seen"], np.float64), unzipped(a["kinds"]).reshape(MOST_DISCOUNTED, -1)
+                sums = {x["id"]: (x["total"], [x[f"k{i}"] for i in range(MOST_DISCOUNTED)], x["seen"]) for x in row["spread"]}
                 for at in np.flatnonzero(np.append(block.c1 > hot, True)).tolist():
-                    total[at], kinds[:, at], seen[at] = spread.get(int(block.ids1[at]), (0, 0, 0.0))
+                    total[at], kinds[:, at], seen[at] = sums.get(int(block.ids1[at]), (0, 0, 0.0))
                 lost = sum(((1 - d[r]) * r * kinds[r - 1] for r in range(1, len(d))), np.zeros(n + 1))
                 below = np.where(lost > 1e-9, total, total + 1)
                 left = np.where(lost > 1e-9, lost, 1.0) / below
@@ -364,7 +381,7 @@ def score(docs: DataFrame, held: str = "held_out") -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    joined = asked(blocks, ("uni", uni.where("block >= 0").select("block", "part", "ids", "counts")), ("pairs", table_.where("block >= 0").select("block", "part", "counts", "totals", "kinds", "seen")))
+    joined = asked(blocks, ("uni", uni.where("block >= 0").select("block", "part", "ids", "counts")), ("pairs", table_.where("block >= 0").select("block", "part", "counts", "totals", "kinds", "seen")), ("spread", spread))
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
