@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.operators.vector import matrix, neighbours, top_k, unit
-from tidemark.plans.tables import scratch
+from tidemark.plans.tables import deleted, scratch
 
 #: Vectors that centres and books are fitted on at most, queries that a build measures with, the recall it aims at.
 SAMPLE, TRIALS, RECALL = 20_000, 200, 0.97
@@ -148,6 +148,7 @@ class Index:
         small = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": str(PAGE_ROWS)}
         rows.select(key, "vector", "list").write.mode(mode).options(**small).partitionBy("list").parquet(f"{self.path}/vectors")
         rows.drop("vector", "content").write.mode(mode).partitionBy("list").parquet(f"{self.path}/codes")
+        deleted(spark, staged)
 
     def measure(self, spark: SparkSession, keys: list, trials: np.ndarray, key: str, k: int) -> None:
         """Sets probes and the length of the short list by the true neighbours of vectors that are left out."""
