@@ -215,6 +215,25 @@ def test_sharding(spark):
     assert (g.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
 
 
+def test_sharding_cut(spark):
+    """Of links that can all be kept nearly all are; of random ones more than without moves. Rounds end by themselves."""
+    rng = random.Random(9)
+    n, shards = 480, 4
+    nodes = saved(spark.range(n).toDF("id"), "nodes")
+
+    def uncut(groups):
+        rows = [(i, k) for k, g in enumerate(groups) for i in g]
+        got = {r.id: r.label for r in sharding.propagate(nodes, saved(spark.createDataFrame(rows, "id long, key long"), "links"), shards).collect()}
+        sizes = collections.Counter(got.values())
+        assert len(got) == n and max(sizes.values()) - min(sizes.values()) <= 1
+        pairs = [(a, b) for g in groups for a in g for b in g if a < b]
+        return sum(got[a] == got[b] for a, b in pairs) / len(pairs)
+
+    ids = rng.sample(range(n), n)
+    assert uncut([ids[i : i + 3] for i in range(0, 240, 3)]) >= 0.95  # half the documents are linked by threes
+    assert uncut([rng.sample(range(n), 2) for _ in range(400)]) > 0.35  # by chance: 0.25
+
+
 def test_sharding_hot_group(spark):
     """A group of a third of all rows takes about a third of the shards; the others stay whole."""
     n = 1200
@@ -349,6 +368,49 @@ def test_line_dedup(spark):
     assert got == want
 
 
+def near_by_prefixes(sets, similarity=0.8):
+    """As near_sets, for many sets: of two that are near, the rarest members of both up to a bound share one."""
+    often = collections.Counter(x for s in sets for x in s)
+    out, at = Sets(), collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        out.find(i)
+        first = sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(similarity * len(s)) + 1]
+        for j in {j for x in first for j in at[x]}:
+            both = len(s & sets[j])
+            if both >= similarity * (len(s) + len(sets[j]) - both):
+                out.join(i, j)
+        for x in first:
+            at[x].append(i)
+    return out
+
+
+def test_prefixes_lose_no_pair():
+    rng = random.Random(4)
+    sets = [frozenset(rng.sample(range(30), rng.randint(1, 12))) for _ in range(300)]
+    a, b = near_sets(sets), near_by_prefixes(sets)
+    assert [a.find(i) for i in range(300)] == [b.find(i) for i in range(300)]
+
+
+def test_op5(spark, docs):
+    """The whole query: components and the line kept of each."""
+    rows = [(r.doc_id, k, lines.normalised(x)) for r in docs.orderBy("doc_id").collect() for k, x in enumerate((r.text or "").split("\n"))]
+    rows = [r for r in rows if r[2]]
+    names = sorted({x for _, _, x in rows})
+    sets, place = near_by_prefixes([lines.shingles(x) for x in names]), {x: i for i, x in enumerate(names)}
+    want, first = collections.defaultdict(set), {}
+    for i, k, x in rows:
+        root = sets.find(place[x])
+        want[root].add((i, k))
+        first.setdefault(root, (i, k))
+    got, kept = collections.defaultdict(set), set()
+    for r in lines.op5_line_dedup(spark, SF).collect():
+        got[r.component].add((r.doc_id, r.line_no))
+        if r.kept:
+            kept.add((r.doc_id, r.line_no))
+    assert set(map(frozenset, got.values())) == set(map(frozenset, want.values()))
+    assert kept == set(first.values())
+
+
 def edited_lines(seed, n=150):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
