@@ -499,6 +499,19 @@ def runs_by_hand(text):
     return {k for k in best if k[0] < k[1]}
 
 
+def test_license_needed_words():
+    """Without the needed words of a template fewer of its bigrams are left than a run needs."""
+    bigrams = {}
+    for name, body in licenses.TEMPLATES.items():
+        w = re.findall("[a-z0-9]+", body.lower())
+        bigrams[name] = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+    for threshold in (50, 80, 100):
+        words = set(licenses.needed_words(bigrams, threshold))
+        for pairs in bigrams.values():
+            left = [p for p in pairs if not words & set(p.split())]
+            assert len(left) * (200 - threshold) < len(pairs) * threshold
+
+
 def test_license_in_paragraphs(spark):
     """Licenses in their usual layout, alone, within other text, twice, and next to each other."""
     cut = lambda t, *starts: re.sub("|".join(f" (?={re.escape(s)})" for s in starts), "\n\n", t)

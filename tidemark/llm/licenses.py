@@ -82,8 +82,22 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return parts[0].union(parts[1].where("instr(trim(BOTH '\\n' FROM body), '\\n') > 0"))
 
 
-def runs(docs: DataFrame, listed: DataFrame, threshold: int) -> DataFrame:
-    """The rows of runs of blocks, from keyed documents (doc_id, text_hash, text) and listed bigrams.
+def needed_words(templates: dict[str, list[str]], threshold: int) -> list[str]:
+    """Words of which a document has at least one, if it has the t / (2 - t) of a template's bigrams that a run needs: a
+    template's longest words until so many of its bigrams hold one that too few would be left. Long words are rare ones."""
+    out: set[str] = set()
+    for bigrams in templates.values():
+        spare, left = len(bigrams) - -(-len(bigrams) * threshold // (200 - threshold)), [b.split(" ") for b in bigrams]
+        for w in sorted({w for b in left for w in b}, key=lambda w: (-len(w), w)):
+            if len(bigrams) - len(left) > spare:
+                break
+            out, left = out | {w}, [b for b in left if w not in b]
+    return sorted(out)
+
+
+def runs(docs: DataFrame, listed: DataFrame, threshold: int, without: list[str]) -> DataFrame:
+    """The rows of runs of blocks, from keyed documents (doc_id, text_hash, text) and listed bigrams. Documents that have
+    none of the words ``without`` have no runs.
 
     A pair of neighbouring words stands in the blocks ``b`` and ``at`` (the same, or neighbours), and so in the runs from
     first to last with first <= b and at <= last. With ``lo`` the greatest b of the same bigram's pairs before it, it is
@@ -93,12 +107,16 @@ def runs(docs: DataFrame, listed: DataFrame, threshold: int) -> DataFrame:
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
     words = F.flatten(F.transform(F.split("text", GAP), lambda body, i: F.transform(normal_words(body), lambda w: F.struct(w.alias("w"), i.alias("b")))))
     pairs = F.transform(F.array(words), lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.concat(w[i]["w"], F.lit(" "), w[i + 1]["w"]).alias("bigram"), w[i]["b"].alias("b"), w[i + 1]["b"].alias("at")))))[0]
-    seen = docs.where(F.col("text").rlike(GAP)).select(*key, F.explode_outer(pairs).alias("x")).select(*key, "x.*")
+    seen = lambda some: some.select(*key, F.explode_outer(pairs).alias("x")).select(*key, "x.*")
+    split = docs.where(F.col("text").rlike(GAP))
+    # arrays_overlap hashes the smaller array, the list of words, and stops at the first hit
+    able = split.where(F.arrays_overlap(normal_words(F.col("text")), F.array(*map(F.lit, without)))) if without else split
     chosen = saved(
-        seen.join(listed, "bigram").groupBy(*key, "license", "n_template").agg(F.size(F.collect_set("bigram")).alias("n"))
+        seen(able).join(listed, "bigram").groupBy(*key, "license", "n_template").agg(F.size(F.collect_set("bigram")).alias("n"))
         .where(f"n * {200 - threshold} >= n_template * {threshold}").drop("n"), "chosen",
     )
-    some = seen.alias("s").join(chosen.select(*key).distinct().alias("c"), same("s", "c"), "left_semi").distinct()
+    # before the explosion: Spark moves no semi-join below one
+    some = saved(seen(split.alias("s").join(chosen.select(*key).distinct().alias("c"), same("s", "c"), "left_semi")).distinct(), "pairs")
     before = Window.partitionBy(*key, "bigram").orderBy("at", F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     placed = some.withColumn("lo", F.coalesce(F.max("b").over(before), F.lit(-1))).where("lo < b")
     # bigrams new to the document bound a run's count from below, so that starts meet only blocks within reach
@@ -126,7 +144,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int
     """(doc_id, unit, unit_no, license, n_unit, n_template, n_shared) of the units that reach the threshold."""
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(templates.items()), "license string, body string").select("license", bigrams_of(F.col("body")).alias("bs")).withColumn("n_template", F.size("bs"))
-    sizes = merged([(r[0] * threshold / (200 - threshold), r[0] * (200 - threshold) / threshold) for r in known.select("n_template").collect()])
+    bigrams = {r.license: r.bs for r in known.collect()}
+    sizes = merged([(len(b) * threshold / (200 - threshold), len(b) * (200 - threshold) / threshold) for b in bigrams.values()])
     listed = known.select("license", "n_template", F.explode("bs").alias("bigram"))
     listed = F.broadcast(listed) if sum(len(t.split()) for t in templates.values()) <= BROADCAST_BIGRAMS else listed
     # explode_outer: an inner explode adds a filter on the array's size, which would compute the array twice
@@ -141,7 +160,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int
     )
     best = Window.partitionBy("row_no", "doc_id", "unit", "unit_no").orderBy(F.expr("n_shared / (n_unit + n_template)").desc(), "license")
     single = shared.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "unit", "unit_no", "license", "n_unit", "n_template", "n_shared")
-    return single.union(runs(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), listed, threshold))
+    return single.union(runs(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), listed, threshold, needed_words(bigrams, threshold)))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
