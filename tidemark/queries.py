@@ -23,6 +23,7 @@ from tidemark.plans.pages import Pages
 from tidemark.plans.tables import scratch
 from tidemark.sources.changes import Snapshots
 from tidemark.sources.markup import html_markdown
+from tidemark.sources.office import office_markdown, text_document
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -922,6 +923,19 @@ def page_markdown(s, d):
     return table(s, d, "pages").select("page_id", html_markdown(F.col("html")).alias("markdown"))
 
 
+@query("""
+    WITH ls AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
+    SELECT doc_id, 'docx' AS kind, sha256('# Document ' || doc_id || coalesce(string_agg(chr(10) || chr(10) || trim(x, ' ' || chr(9)), '' ORDER BY i) FILTER (WHERE trim(x, ' ' || chr(9)) <> ''), '')) AS hash FROM ls GROUP BY doc_id
+    UNION ALL SELECT doc_id, 'csv', sha256('| line | text |' || chr(10) || '| --- | --- |' || string_agg(chr(10) || '| ' || i || ' | ' || trim(regexp_replace(replace(x, '|', '\\|'), '[ \\t]+', ' ', 'g')) || ' |', '' ORDER BY i)) FROM ls GROUP BY doc_id""")
+def office_files(s, d):
+    """Every document as a text document and as a table of its lines, made in tasks and converted back to markdown."""
+    rows = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    cells = F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(',"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"\n')))
+    sheets = rows.select("doc_id", F.lit("csv").alias("kind"), F.encode(F.concat(F.lit("line,text\n"), F.array_join(cells, "")), "UTF-8").alias("content"))
+    papers = rows.select("doc_id", F.lit("docx").alias("kind"), text_document(F.concat(F.lit("Document "), "doc_id"), F.col("text")).alias("content"))
+    return papers.union(sheets).select("doc_id", "kind", F.sha2(office_markdown(F.col("kind"), F.col("content")), 256).alias("hash"))
+
+
 # Lists and labels
 
 

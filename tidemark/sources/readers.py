@@ -21,6 +21,7 @@ from tidemark.operators.analytics import hourly, latest_watch
 from tidemark.plans.store import Store
 from tidemark.sources.changes import Snapshots
 from tidemark.sources.markup import html_markdown
+from tidemark.sources.office import MOST_BYTES, OFFICE, office_markdown
 
 ITEM = ("source_id", "adapter_id", "domain", "origin_ref", "display_name", "poll_strategy", "poll_interval_sec", "normalizer_version", "markdown", "extra_metadata")
 Both = tuple[DataFrame, DataFrame]
@@ -73,36 +74,53 @@ def join_text(*parts: Column) -> Column:
 # Files and notes
 
 
-def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(raw, path, inner, at, size) of the files below a folder, which may have any name; inner: the path inside it."""
+def listed(spark: SparkSession, folder: str, pattern: str = "*", binary: bool = False) -> DataFrame:
+    """(raw, path, inner, at, size) of the files below a folder, which may have any name; inner: the path inside it. raw
+    is text, or bytes."""
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     top = Path(folder)
     top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(re.sub(r"([\[\]{}*?\\])", r"\\\1", folder), wholetext=True)
+    reader, place = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern), re.sub(r"([\[\]{}*?\\])", r"\\\1", folder)
+    rows = reader.format("binaryFile").load(place).withColumnRenamed("content", "value") if binary else reader.text(place, wholetext=True)
     # Spark tells paths as URIs, with percent signs; a plus is a plus there
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    rows = rows.select(F.col("value").alias("raw"), path.alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
+    rows = rows.select(F.col("value").alias("raw"), path.alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("length" if binary else "_metadata.file_size").alias("size"))
     plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
     return rows.withColumn("inner", F.substr(plain, F.lit(len(top) + 2)))
 
 
 #: Files that are read, with the type that their items name.
-FORMATS = {"md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html"}
+FORMATS = {"md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html", **OFFICE}
 
 
 def files(spark: SparkSession, folder: str, adapter_id: str = "files:local", pattern: str = "*", extensions: tuple[str, ...] = ("md",)) -> Both:
-    """Files below a folder with one of the extensions (of FORMATS, either case); HTML becomes markdown, other files
-    stay as they are. The id is the path inside the folder. An extension that can't be read is an error."""
+    """Files below a folder with one of the extensions (of FORMATS, either case); HTML, office files, tables, books and
+    archives become markdown, other text stays as it is. The id is the path inside the folder. An extension that can't be
+    read is an error; a file that can't be converted is a reject, whose record is its path."""
     kinds = {e.lower().lstrip("."): FORMATS.get(e.lower().lstrip(".")) for e in extensions}
     if unknown := [e for e, kind in kinds.items() if kind is None]:
         raise ValueError(f"no reader for {unknown}; there are {sorted(FORMATS)}")
-    rows = listed(spark, folder, pattern)
     kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
     inner = F.col("inner")
     meta = metadata(document_id=inner, title=X.file_name(inner), document_type=F.col("kind"), source_type=F.lit("filesystem"), file_size_bytes=F.col("size"), modified_at=F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    body = F.when(F.col("kind") == "text/html", html_markdown(F.col("raw"))).otherwise(F.col("raw"))
-    return made(rows, adapter_id, "documents", inner, body, meta, F.lit(True), X.file_name(inner), F.col("path"))
+
+    def read(types: set[str], binary: bool) -> DataFrame:
+        return listed(spark, folder, pattern, binary).withColumn("kind", kind).where(F.col("kind").isin(*types))
+
+    def items(rows: DataFrame, body: Column, sound: Column) -> Both:
+        return made(rows, adapter_id, "documents", inner, body, meta, sound, X.file_name(inner), F.col("path"))
+
+    parts, wanted, office = [], set(kinds.values()), set(OFFICE.values())
+    if wanted - office:
+        body = F.when(F.col("kind") == "text/html", html_markdown(F.col("raw"))).otherwise(F.col("raw"))
+        parts.append(items(read(wanted - office, False), body, F.lit(True)))
+    if wanted & office:
+        rows = read(wanted & office, True)
+        done = rows.where(F.col("size") <= MOST_BYTES).withColumn("md", office_markdown(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), F.col("raw"))).withColumn("raw", F.col("path"))
+        parts.append(items(done, F.col("md"), F.col("md").isNotNull()))
+        # the bytes of larger files are never read
+        parts.append(items(rows.where(F.col("size") > MOST_BYTES).withColumn("raw", F.col("path")), F.lit(None).cast("string"), F.lit(False)))
+    return joined(*parts)
 
 
 def file_feed(spark: SparkSession, path: str | list[str], adapter_id: str = "files:feed") -> tuple[DataFrame, DataFrame, DataFrame]:
