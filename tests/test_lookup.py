@@ -1,5 +1,6 @@
 """Substring index, page index, stored sketches, line differences, phone numbers, models."""
 
+import json
 import os
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import linediff, sketches, vector
+from tidemark.operators import linediff, linking, sketches, vector
 from tidemark.operators.models import Model, ModelError, applied
 from tidemark.operators.substrings import SubstringIndex
 from tidemark.plans.pages import Pages
@@ -220,3 +221,38 @@ def test_embedding_by_a_model(spark):
     assert got == {"a": [9.0, 1.0], "b": [2.0, 1.0], "c": None}
     pairs = applied(chunks, Model("both", lambda: lambda rows: [a + b for a, b in rows]), ["chunk_hash", "content"], "out", T.StringType())
     assert [r.out for r in pairs.orderBy("chunk_hash").collect()] == ["ax y", "bzz", None]
+
+
+def _named(spark):
+    """People and messages: several identifiers in common, repeated hashes, crowds, nobody's messages."""
+    rows = [(f"p{k}", "people", {"emails": [f"c{k}@x.example", "all@x.example" if k < 6 else f"d{k}@x.example"], "phones": [f"(212) 555-{k % 3:04}"]}) for k in range(12)]
+    rows += [("p1", "people", {"emails": ["other@x.example"]})]
+    rows += [(f"m{k}", "messages", {"sender": f"c{k % 14}@x.example", "recipients": [f"+1 212 555 {k % 4:04}", f"c{k % 5}@x.example", "all@x.example" if k % 7 == 0 else "other@x.example"]}) for k in range(30)]
+    rows += [("m0", "messages", {"sender": "c11@x.example"}), ("m99", "messages", {"sender": "nobody@x.example"}), ("p20", "people", {"emails": ["alone@x.example"]})]
+    return spark.createDataFrame([(h, d, json.dumps(m)) for h, d, m in rows], "chunk_hash string, domain string, domain_metadata string")
+
+
+def test_pairs_are_made_once(spark):
+    chunks = _named(spark)
+    people, others = linking.people_identifiers(chunks).cache(), linking.mentioned_identifiers(chunks).cache()
+    want = sorted(map(tuple, people.withColumnRenamed("chunk_hash", "a").join(others, "identifier").select("a", "chunk_hash").distinct().collect()))
+    for carried in (0, 1, 2, 64):
+        assert sorted(map(tuple, linking.pairs(people, others, carried).collect())) == want
+    linked = {a for a, _ in want}
+    assert {r.chunk_hash for r in linking.orphans(chunks).collect()} == {f"p{k}" for k in [*range(12), 20]} - linked
+    assert "p20" not in linked
+
+
+def test_colleagues_by_identifiers(spark):
+    chunks = _named(spark)
+    links = linking.resolved(chunks, "x").select("source_chunk_hash", "target_chunk_hash").collect()
+    people = {}
+    for p, t in links:
+        people.setdefault(t, set()).add(p)
+    want = {}
+    for some in people.values():
+        for a in some:
+            for b in some:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.shared for r in linking.colleagues_of(chunks).collect()} == want
