@@ -256,3 +256,23 @@ def test_colleagues_by_identifiers(spark):
                 if a < b:
                     want[a, b] = want.get((a, b), 0) + 1
     assert {(r.a, r.b): r.shared for r in linking.colleagues_of(chunks).collect()} == want
+
+
+def test_lines_of_an_ingest(spark):
+    """A long text with repeated lines, twice: rows of chunks carry no list of all the hashes."""
+    from tidemark.operators.chunking import first_lines, line_hashes
+    from tidemark.operators.ingest import ingest
+    from tidemark.plans.store import Store
+
+    text = [f"line {k % 700}" for k in range(1000)]
+    item = lambda lines: spark.createDataFrame([("d", "a", "documents", "\n".join(lines))], "source_id string, adapter_id string, domain string, markdown string").selectExpr("*", "'o' origin_ref", "'n' display_name", "'push' poll_strategy", "cast(null as int) poll_interval_sec", "'1' normalizer_version", "cast(null as string) extra_metadata")
+    placed = item(text).select("markdown", line_hashes("markdown").alias("h")).select(F.inline(first_lines("markdown", "h"))).collect()
+    assert sorted((r.chunk_index, r.content) for r in placed) == [(k, f"line {k}") for k in range(700)]
+    store, _ = ingest(Store.new(spark), item(text), "t1", "m1", by_line=True)
+    store, report = ingest(store, item([*text[:-1], "new"]), "t2", "m2", by_line=True)
+    assert [(r.status, r.chunks_added, r.chunks_removed, r.chunks_unchanged) for r in report.collect()] == [("changed", 1, 0, 700)]
+    assert sorted((r.source_version, r.embedding_model_id, r["count"]) for r in store.chunks.groupBy("source_version", "embedding_model_id").count().collect()) == [(1, "m1", 700), (2, "m1", 700), (2, "m2", 1)]
+    for join in [x for x in store.chunks._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]:
+        assert "array_contains" not in join
+    lists = [x for x in store.chunks._jdf.queryExecution().executedPlan().toString().split("\n") if "array_contains" in x]
+    assert not lists

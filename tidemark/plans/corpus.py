@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import ingest, link_parents
 from tidemark.plans.store import Store, empty
-from tidemark.plans.tables import owned, scratch, table
+from tidemark.plans.tables import owned, saved, scratch, table
 
 FIRST, SECOND, RESET = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "2024-03-01T00:00:00Z"
 _made: dict[tuple[str, str], str] = {}
@@ -52,9 +52,9 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
         with owned(spark):
             store = Store.new(spark).register_adapters(adapters.union(idle))
             store, _ = ingest(store, docs.drop("n").unionByName(talks.drop("n")), FIRST, "model-a", by_line=True, vectors=False)
-            store = store.write(f"{path}/first")
+            # texts are written once for a batch, and with their chunks once: the tables between are plans over the batches
             store, _ = ingest(store, edited(docs).drop("n"), SECOND, "model-b", by_line=True)
-            store = store.write(f"{path}/second")
+            store = replace(store, sources=saved(store.sources, "sources"), chunks=saved(store.chunks, "chunks"))
             store, _ = store.reset_adapter("corpus:src7", RESET)
             store = link_parents(store)
             vectors = table(spark, sf_dir, "embeddings").select(

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.plans.tables import by_source
+
 DOMAINS = ("messages", "notes", "events", "tasks", "health", "documents", "people", "location")
 CHUNK_TYPES = ("standard", "oversized", "table_part", "code", "table")
 POLL_STRATEGIES = ("push", "pull", "webhook")
@@ -28,9 +30,13 @@ SCHEMAS = {
     "vectors": "chunk_hash string, source_id string, source_version int, domain string, content string, vector array<float>, created_at string",
 }
 
+#: Sources of an adapter (some 30 bytes each) that are broadcast when it is reset.
+FEW = 400_000
+
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(SCHEMAS[name]))
+    """Known as empty to the optimizer, by the filter: joins with it cost nothing."""
+    return spark.createDataFrame([], T._parse_datatype_string(SCHEMAS[name])).where(F.lit(False))
 
 
 def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -59,8 +65,9 @@ class Store:
         return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
 
     def write(self, path: str) -> Store:
-        for name in SCHEMAS:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        with by_source(self.chunks.sparkSession):
+            for name in SCHEMAS:
+                getattr(self, name).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
         return Store.at(self.chunks.sparkSession, path)
 
     # Views
@@ -127,7 +134,8 @@ class Store:
 
     def retire(self, rows: DataFrame, at: str) -> Store:
         """rows: (source_id, source_version, chunk_hash), of that version only."""
-        gone = rows.select("source_id", "source_version", "chunk_hash").distinct().withColumn("_at", F.lit(at))
+        # dealt by source, as the chunks may be already: with by_source() those stay where they are
+        gone = rows.select("source_id", "source_version", "chunk_hash").repartition("source_id").distinct().withColumn("_at", F.lit(at))
         chunks = self.chunks.join(gone, ["source_id", "source_version", "chunk_hash"], "left").withColumn("retired_at", F.coalesce("retired_at", "_at"))
         return replace(self, chunks=chunks.select(self.chunks.columns))
 
@@ -144,10 +152,14 @@ class Store:
         """Retires all active chunks of the adapter's sources, queues vector deletes, forgets fetch times. Returns
         also the counts (chunks_retired, sources_reset); a second reset counts no chunks."""
         own = self.sources.where(F.col("adapter_id") == adapter_id).select("source_id")
-        gone = self.live_chunks().join(own, "source_id", "left_semi").select("source_id", "source_version", "chunk_hash")
+        gone = self.live_chunks().join(own, "source_id", "left_semi").select("chunk_hash")
         counts = gone.agg(F.count(F.lit(1)).alias("chunks_retired")).crossJoin(own.agg(F.count(F.lit(1)).alias("sources_reset")))
         sources = self.sources.withColumn("last_fetched_at", F.when(F.col("adapter_id") != adapter_id, F.col("last_fetched_at")))
-        out = replace(self.retire(gone, at), sources=sources)
+        hit = own.distinct().withColumn("_at", F.lit(at))
+        # an adapter's few sources go to the chunks; else both are dealt by source
+        hit = F.broadcast(hit) if own.limit(FEW + 1).count() <= FEW else hit
+        chunks = self.chunks.join(hit, "source_id", "left").withColumn("retired_at", F.coalesce("retired_at", "_at")).select(self.chunks.columns)
+        out = replace(self, chunks=chunks, sources=sources)
         return out.queue(gone.select("chunk_hash", F.lit("delete").alias("operation"), F.lit(None).cast("string").alias("synced_at"))), counts
 
     # Sync log, vectors, dead letters, links
