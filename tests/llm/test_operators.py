@@ -308,6 +308,17 @@ def test_links_of_fingerprints(spark, long):
     assert got == {x: sets.find(x) for x in list(sets)}
 
 
+def test_candidates_of_fingerprints(spark):
+    """In the pipeline a fingerprint's list is its component within 2 bits: sharing four bytes of the index isn't enough."""
+    base = 0x0123456789ABCDEF
+    fps = {1: base, 2: base ^ 3, 3: base ^ 3 << 4 ^ 3, 4: base ^ 0xF00, 5: base, 6: base ^ 0xFFFF << 16}
+    out = simhash.linked(spark.createDataFrame(list(fps.items()), "key long, fp long")).collect()
+    lists = {}
+    for r in out:
+        lists.setdefault(bytes(r.bands), set()).add(r.key)
+    assert sorted(map(sorted, lists.values())) == [[1, 2, 3, 5], [4], [6]] and {len(b) for b in lists} == {8}
+
+
 def test_simhash_query(spark, docs):
     got = {r.doc_id: r for r in simhash.op9_simhash(spark, SF).collect()}
     rows = docs.collect()

@@ -133,11 +133,10 @@ def text_hashes(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarra
 
 
 def signed(rows: DataFrame, words: int = 5) -> DataFrame:
-    """rows with ``key``, the text's hash, and ``bands``, the 6 lists of its fingerprint and its MinHash bands, in
-    place of ``text``."""
+    """rows with ``key``, the text's hash, ``fp``, its fingerprint, and ``bands``, its MinHash bands, in place of ``text``."""
     place = rows.columns.index("text")
     names, fields = [c for c in rows.columns if c != "text"], [f for f in rows.schema if f.name != "text"]
-    masks = [np.uint64((0xFFFF << (16 * a)) | (0xFFFF << (16 * b))) for a, b in PAIRS]
+    more = [("key", T.LongType()), ("fp", T.LongType()), ("bands", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -145,19 +144,32 @@ def signed(rows: DataFrame, words: int = 5) -> DataFrame:
         for batch in batches:
             texts = strings(batch.column(place)).to_pylist()
             hashes = [shingle_hashes(t, words) for t in texts]
-            fps = np.array([folded(h) for h in hashes], np.int64).view(np.uint64)
-            near = np.stack([minhash.mixed((fps & m) ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64) for k, m in enumerate(masks)], axis=1)
+            fps = pa.array([folded(h) for h in hashes], pa.int64())
             none = np.zeros(1, np.uint64)
             some = [h if len(h) else none for h in hashes]
             alike = minhash.bands(np.concatenate(some), np.fromiter(map(len, some), np.int64, len(some)))
-            both = np.concatenate([near, alike], axis=1)
             keys = np.array([xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
-            packed = pa.array([row.tobytes() for row in both], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(keys), packed], names=[*names, "key", "bands"])
-            del texts, hashes, some, near, alike, both, packed
+            packed = pa.array([row.tobytes() for row in alike], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(keys), fps, packed], names=[*names, *(n for n, _ in more)])
+            del texts, hashes, some, alike, packed
             relax()
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("key", T.LongType()), T.StructField("bands", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, t) for n, t in more)]))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """(key, bands) of rows (key, fp): one band, the component of the key's fingerprint in ``links``, that is by the index
+    on byte positions, the tally of shared bytes and the bits that differ. Keys of one fingerprint share it too."""
+    fps = saved(rows.select("key", "fp").distinct(), "fingerprints")
+    roots = components(links(fps.select("fp").distinct()))
+    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band = minhash.mixed(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in band], pa.binary())], names=["key", "bands"])
+
+    return named.mapInArrow(run, "key long, bands binary")
 
 
 def bodies(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
@@ -175,10 +187,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the first by id (of rows that share it, one), with its own
     columns. Near duplicates share 0.8 of their five-word shingles (Jaccard). At that similarity fingerprints differ
     in some 10 of 64 bits and need not share a byte, so the index on byte positions alone would lose most of them:
-    candidates come from its lists and from MinHash bands, and all are verified by the exact coefficient."""
+    candidates are the components of fingerprints within 2 bits, by index, tally and verification as in op9, and the
+    lists of MinHash bands; all are verified by the exact coefficient."""
     boxed = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(signed(boxed), "simhash")
-    members = minhash.lists(rows.select("key", "bands"))
+    members = minhash.lists(rows.select("key", "bands").union(linked(rows)))
     roots = components(minhash.links(members, lambda f: bodies(rows.select("key", F.col("row.text").alias("text")), f), shingle_set, text_hashes))
     found = rows.select("row_no", "doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("row_no", "doc_id", F.coalesce("root", "key").alias("component"))
     first = saved(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("x")).select(F.col("x.row_no").alias("first_no")), "firsts")
