@@ -276,3 +276,42 @@ def test_lines_of_an_ingest(spark):
         assert "array_contains" not in join
     lists = [x for x in store.chunks._jdf.queryExecution().executedPlan().toString().split("\n") if "array_contains" in x]
     assert not lists
+
+
+def test_dealt_ingest_moves_no_chunks(spark):
+    """Items dealt by source: the tables of both batches are the same as without, and no chunk is shuffled for them."""
+    from tidemark.operators.ingest import ingest, link_parents
+    from tidemark.plans.store import Store
+    from tidemark.plans.tables import by_source, saved
+
+    def items(k):
+        text = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.col("id") % 7), lambda x: F.concat(F.lit("line "), x)), F.when(F.col("id") % 3 == 0, F.lit(f"run {k}")))
+        return spark.range(60).select(F.concat(F.lit("s"), "id").alias("source_id"), text.alias("markdown")).selectExpr("*", "'a' adapter_id", "'documents' domain", "'o' origin_ref", "'n' display_name", "'push' poll_strategy", "cast(null as int) poll_interval_sec", "'1' normalizer_version", "cast(null as string) extra_metadata")
+
+    stores = {}
+    for buckets in (None, 6):
+        store = Store.new(spark)
+        for k in (1, 2):
+            rows = items(k) if buckets is None else saved(items(k).repartition(buckets, "source_id"), "items", buckets)
+            store, report = ingest(store, rows, f"t{k}", f"m{k}", by_line=True, buckets=buckets)
+        stores[buckets] = store = link_parents(store)
+    for name in ("versions", "chunks", "sources", "sync_log"):
+        a, b = (sorted(map(str, getattr(s, name).collect())) for s in stores.values())
+        assert a == b and a
+    joins = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(c) for c in joins]
+    try:
+        spark.conf.set(joins[0], "-1")
+        spark.conf.set(joins[1], "false")
+        with by_source(spark):
+            plan = stores[6].chunks.select("source_id", "source_version", "content", "retired_at", "parent_chunk_hash")._jdf.queryExecution().executedPlan()
+            moved, todo = [], [plan]
+            while todo:
+                node = todo.pop()
+                todo += [node.children().apply(i) for i in range(node.children().size())]
+                if node.nodeName().startswith("Exchange"):
+                    moved.append(node.output().toString())
+    finally:
+        for c, value in zip(joins, before, strict=True):
+            spark.conf.set(c, value)
+    assert not [x for x in moved if "content" in x or "markdown" in x], moved
