@@ -289,7 +289,7 @@ def test_dealt_ingest_moves_no_chunks(spark):
         return spark.range(60).select(F.concat(F.lit("s"), "id").alias("source_id"), text.alias("markdown")).selectExpr("*", "'a' adapter_id", "'documents' domain", "'o' origin_ref", "'n' display_name", "'push' poll_strategy", "cast(null as int) poll_interval_sec", "'1' normalizer_version", "cast(null as string) extra_metadata")
 
     stores = {}
-    for buckets in (None, 6):
+    for buckets in (None, 3):  # fewer than the session's partitions
         store = Store.new(spark)
         for k in (1, 2):
             rows = items(k) if buckets is None else saved(items(k).repartition(buckets, "source_id"), "items", buckets)
@@ -304,7 +304,7 @@ def test_dealt_ingest_moves_no_chunks(spark):
         spark.conf.set(joins[0], "-1")
         spark.conf.set(joins[1], "false")
         with by_source(spark):
-            plan = stores[6].chunks.select("source_id", "source_version", "content", "retired_at", "parent_chunk_hash")._jdf.queryExecution().executedPlan()
+            plan = stores[3].chunks.select("source_id", "source_version", "content", "retired_at", "parent_chunk_hash")._jdf.queryExecution().executedPlan()
             moved, todo = [], [plan]
             while todo:
                 node = todo.pop()
