@@ -76,8 +76,15 @@ class Store:
 
     def active_chunks(self) -> DataFrame:
         """Not retired and of the source's current version."""
-        now = self.sources.select("source_id", F.col("current_version").alias("source_version"))
-        return self.chunks.where("retired_at IS NULL").join(now, ["source_id", "source_version"])
+        return self.with_active().where("active").drop("active")
+
+    def with_active(self) -> DataFrame:
+        """All chunks, and whether they are active."""
+        now = self.sources.select("source_id", F.col("current_version").alias("_now"))
+        # joined by source alone, so that tables dealt by it stay where they are; versions are compared after that
+        rows = self.chunks.join(now, "source_id", "left").withColumn("active", F.col("retired_at").isNull() & F.coalesce(F.col("source_version") == F.col("_now"), F.lit(False)))
+        first = ["source_id", "source_version"]
+        return rows.select(*first, *[c for c in self.chunks.columns if c not in first], "active")
 
     def live_chunks(self) -> DataFrame:
         """Not retired, of any version: what lookups by hash and chains see."""
@@ -217,10 +224,9 @@ class Store:
 
     def stale_links(self) -> DataFrame:
         """Links whose person, or whose target, was known once and has no active chunk now."""
-        active, known = self.active_chunks().select(F.col("chunk_hash").alias("h")).distinct(), self.chunks.select(F.col("chunk_hash").alias("h")).distinct()
-        out = []
-        for end in ("source_chunk_hash", "target_chunk_hash"):
-            out.append(self.entity_links.join(known, F.col(end) == F.col("h"), "left_semi").join(active, F.col(end) == F.col("h"), "left_anti"))
+        # one row a hash, with both that it was known and that it isn't active
+        gone = self.with_active().groupBy(F.col("chunk_hash").alias("h")).agg(F.max("active").alias("active")).where("NOT active")
+        out = [self.entity_links.join(gone, F.col(end) == F.col("h"), "left_semi") for end in ("source_chunk_hash", "target_chunk_hash")]
         return out[0].union(out[1]).distinct()
 
     def clean_links(self) -> Store:
