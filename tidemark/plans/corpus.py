@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import ingest, link_parents
 from tidemark.plans.store import SCHEMAS, Store, empty
-from tidemark.plans.tables import buckets_for, owned, saved, scratch, size_of, table
+from tidemark.plans.tables import buckets_for, dealt, dealt_at, owned, saved, scratch, size_of, table
 
 FIRST, SECOND, RESET = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "2024-03-01T00:00:00Z"
-#: Path of a store, and those of the batches' tables, which have its versions.
-_made: dict[tuple[str, str], tuple[str, list[str]]] = {}
+#: Path of a store, and the buckets that its tables are dealt into by source.
+_made: dict[tuple[str, str], tuple[str, int]] = {}
+#: Tables of a store that are dealt by source; queries that join or group them by it move none of their rows.
+DEALT = ("sources", "versions", "chunks")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,7 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
         path = scratch(spark, "store")
+        folder = f"{path.rsplit('/', 1)[-1]}/batches/"
         docs, talks = items(spark, sf_dir), conversation_items(spark, sf_dir)
         buckets = buckets_for(spark, sum(size_of(spark.read.parquet(f"{sf_dir}/{name}.parquet")) for name in ("documents", "conversations")))
         adapters = docs.select("adapter_id", "domain").union(talks.select("adapter_id", "domain")).distinct().select(
@@ -53,12 +56,14 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
         idle = spark.createDataFrame([("idle:none", "notes", "idle", "1", "{}", False, FIRST, FIRST)], adapters.schema)
         with owned(spark) as paths:
             # dealt by source once: neither batch moves texts or chunks after that, nor do reset and parents
-            fetched = saved(docs.unionByName(talks).repartition(buckets, "source_id"), "items", buckets)
+            fetched = docs.unionByName(talks).repartition(buckets, "source_id")
             store = Store.new(spark).register_adapters(adapters.union(idle))
-            store, _ = ingest(store, fetched.drop("n"), FIRST, "model-a", by_line=True, vectors=False, buckets=buckets)
-            # texts are written once for a batch, and with their chunks once: the tables between are plans over the batches
-            store, _ = ingest(store, edited(fetched.where("domain = 'documents'")).drop("n"), SECOND, "model-b", by_line=True, buckets=buckets)
-            store = replace(store, sources=saved(store.sources, "sources"))
+            store, _ = ingest(store, fetched, FIRST, "model-a", by_line=True, vectors=False, buckets=buckets, folder=folder)
+            # texts are written once for a batch, and with their chunks once: the tables between are plans over the batches.
+            # All items are new in the first, so its table has them as they came, for the second
+            came = dealt_at(spark, paths[-1], ", ".join(f"{name} {kind}" for name, kind in fetched.dtypes), buckets)
+            store, _ = ingest(store, edited(came.where("domain = 'documents'")).drop("n"), SECOND, "model-b", by_line=True, buckets=buckets, folder=folder)
+            store = replace(store, sources=saved(store.sources, "sources", buckets))
             store, _ = store.reset_adapter("corpus:src7", RESET)
             store = link_parents(store)
             vectors = table(spark, sf_dir, "embeddings").select(
@@ -66,12 +71,11 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
                 F.lit("").alias("content"), F.col("embedding").cast("array<float>").alias("vector"), F.lit(FIRST).alias("created_at"))
             store = replace(store, vectors=vectors, dead_letters=empty(spark, "dead_letters"))
             # the batches' tables have the versions already: they stay, and are not written again
-            store.write(f"{path}/store", but=("versions",))
-            tops = {f[: f.rindex("/")].rsplit("/", 1)[-1] for f in store.versions.inputFiles()}
-            batches = [p for p in paths if p.rsplit("/", 1)[-1] in tops]
-            for p in batches:
-                paths.remove(p)
-        _made[key] = f"{path}/store", batches
-    path, batches = _made[key]
-    versions = spark.read.schema(SCHEMAS["versions"]).parquet(*batches).where("version IS NOT NULL")
-    return replace(Store.at(spark, path, but=("versions",)), versions=versions)
+            store.write(f"{path}/store", but=DEALT)
+            for name in ("sources", "chunks"):
+                dealt(getattr(store, name), f"{path}/store/{name}", buckets)
+            paths[:] = [p for p in paths if not p.startswith(f"{path}/batches/")]
+        _made[key] = path, buckets
+    path, buckets = _made[key]
+    versions, sources, chunks = (dealt_at(spark, f"{path}/{at}", SCHEMAS[name], buckets) for at, name in (("batches", "versions"), ("store/sources", "sources"), ("store/chunks", "chunks")))
+    return replace(Store.at(spark, f"{path}/store", but=DEALT), versions=versions.where("version IS NOT NULL"), sources=sources, chunks=chunks)
