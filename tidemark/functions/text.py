@@ -9,8 +9,24 @@ _UNICODE_BLANKS = r"   -   　"
 _EDGE = rf"[\s\x0b\x1c-\x1f\u0085  {_UNICODE_BLANKS}]+"
 
 
+#: White space other than single blanks and line feeds, told by what all other characters are: that is one quick look.
+_UNUSUAL = r"[^ -~\n\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}]"
+
+
+def unusual(text: Column) -> Column:
+    """Whether a text may have white space other than blanks and line feeds."""
+    return text.rlike(_UNUSUAL)
+
+
 def normalised(text: Column) -> Column:
     """Line ends, runs of blanks, trailing blanks, blank lines and outer white space made uniform."""
+    loose = text.contains("  ") | text.contains(" \n") | text.contains("\n\n\n")
+    plain = F.regexp_replace(F.replace(F.regexp_replace(text, "  +", " "), F.lit(" \n"), F.lit("\n")), r"\n\n\n+", "\n\n")
+    # most texts have none of what the patterns look for, and are looked through for it once
+    return F.when(unusual(text), _normalised(text)).otherwise(F.trim(F.when(loose, plain).otherwise(text), F.lit(" \n")))
+
+
+def _normalised(text: Column) -> Column:
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"[\x0b\x0c\x1c-\x1e\u0085  ]", "\n")
@@ -50,6 +66,13 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def line_hashes(text: Column) -> Column:
+    """The content hashes of the lines() of a text, in order. What is usual in the text is so in its lines: of those only
+    runs of blanks are left to be made uniform."""
+    plain = F.transform(lines(text), lambda x: F.sha2(F.when(x.contains("  "), F.regexp_replace(x, "  +", " ")).otherwise(x), 256))
+    return F.when(unusual(text), F.transform(lines(text), content_hash)).otherwise(plain)
+
+
 def without_quotes(text: Column) -> Column:
     """A message's own words: lines that quote ('>') and lines that introduce a quote go."""
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.ltrim(x).startswith(">") & ~F.trim(x).rlike(r"^On .+ wrote:$"))

@@ -59,9 +59,13 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
             fetched = docs.unionByName(talks).repartition(buckets, "source_id")
             store = Store.new(spark).register_adapters(adapters.union(idle))
             store, _ = ingest(store, fetched, FIRST, "model-a", by_line=True, vectors=False, buckets=buckets, folder=folder)
+            first = paths[-1]
+            # the second batch asks for them several times, and would cut the texts anew each time. Added to none their columns
+            # don't bear the table's name, by which a union with the second's would not be known as dealt by source
+            store = replace(store, chunks=empty(spark, "chunks").unionByName(saved(store.chunks, "chunks", buckets)))
             # texts are written once for a batch, and with their chunks once: the tables between are plans over the batches.
             # All items are new in the first, so its table has them as they came, for the second
-            came = dealt_at(spark, paths[-1], ", ".join(f"{name} {kind}" for name, kind in fetched.dtypes), buckets)
+            came = dealt_at(spark, first, ", ".join(f"{name} {kind}" for name, kind in fetched.dtypes), buckets)
             store, _ = ingest(store, edited(came.where("domain = 'documents'")).drop("n"), SECOND, "model-b", by_line=True, buckets=buckets, folder=folder)
             store = replace(store, sources=saved(store.sources, "sources", buckets))
             store, _ = store.reset_adapter("corpus:src7", RESET)
