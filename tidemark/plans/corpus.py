@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import ingest, link_parents
 from tidemark.plans.store import SCHEMAS, Store, empty
-from tidemark.plans.tables import buckets_for, dealt, dealt_at, owned, saved, scratch, size_of, table
+from tidemark.plans.tables import buckets_for, dealt, dealt_at, owned, saved, scratch, size_of, table, unnamed
 
 FIRST, SECOND, RESET = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "2024-03-01T00:00:00Z"
 #: Path of a store, and the buckets that its tables are dealt into by source.
@@ -60,9 +60,8 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> Store:
             store = Store.new(spark).register_adapters(adapters.union(idle))
             store, _ = ingest(store, fetched, FIRST, "model-a", by_line=True, vectors=False, buckets=buckets, folder=folder)
             first = paths[-1]
-            # the second batch asks for them several times, and would cut the texts anew each time. Added to none their columns
-            # don't bear the table's name, by which a union with the second's would not be known as dealt by source
-            store = replace(store, chunks=empty(spark, "chunks").unionByName(saved(store.chunks, "chunks", buckets)))
+            # the second batch asks for them several times, and would cut the texts anew each time
+            store = replace(store, chunks=unnamed(saved(store.chunks, "chunks", buckets)))
             # texts are written once for a batch, and with their chunks once: the tables between are plans over the batches.
             # All items are new in the first, so its table has them as they came, for the second
             came = dealt_at(spark, first, ", ".join(f"{name} {kind}" for name, kind in fetched.dtypes), buckets)

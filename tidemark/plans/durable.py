@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from tidemark.plans.store import SCHEMAS, Store
-from tidemark.plans.tables import deleted, owned, saved
+from tidemark.plans.store import SCHEMAS, Store, empty
+from tidemark.plans.tables import by_source, dealt_at, deleted, owned, saved, unnamed
+from tidemark.plans.tables import dealt as dealt_to
 
 #: Of each table the columns that tell its rows apart; the first is the one that buckets are made by.
 KEYS = {
@@ -75,66 +76,108 @@ class DurableStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, most: int = MOST):
         self.spark, self.files, self.most = spark, Files(spark, path), most
         found = [n for n in self.files.names("manifests") if n.endswith(".json")]
-        #: batches: not folded yet; done: the last; base: of each table and bucket the fold; gone: what goes with the next fold
-        self.manifest = json.loads(self.files.text(f"manifests/{found[-1]}")) if found else {"buckets": buckets, "done": -1, "batches": [], "wrote": {}, "base": {t: {} for t in SCHEMAS}, "gone": []}
+        #: batches: not folded yet; dealt: the parts that a batch's rows are dealt into by source; done: the last; base: of each table and bucket the fold; gone: what goes with the next fold
+        self.manifest = json.loads(self.files.text(f"manifests/{found[-1]}")) if found else {"buckets": buckets, "done": -1, "batches": [], "wrote": {}, "dealt": {}, "base": {t: {} for t in SCHEMAS}, "gone": []}
         self.buckets = self.manifest["buckets"]
 
     # Reading
 
-    def table(self, name: str, buckets: list[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """The rows of a table as they are now; of some buckets; of the keys (first key column) in a table of few."""
+    def table(self, name: str, buckets: list[int] | None = None, keys: DataFrame | None = None, dealt: int | None = None) -> DataFrame:
+        """The rows of a table as they are now; of some buckets; of the keys (first key column) in a table, which is of few, or
+        dealt by them into so many parts, as the rows are then."""
         columns, key = StructType.fromDDL(SCHEMAS[name]).fieldNames(), list(KEYS[name])
         base = {b: n for b, n in self.manifest["base"][name].items() if buckets is None or int(b) in buckets}
         paths, parts = [f"{self.files.path}/base/{name}/fold={n}/bucket={b}" for b, n in sorted(base.items())], []
-        changed = [f"{self.files.path}/delta/{name}/batch={n}" for n in self.manifest["batches"] if name in self.manifest["wrote"][str(n)]]
+        batches = self.changed(name)
+        spread = (lambda df: df) if dealt is None else (lambda df: df.repartition(dealt, key[0]))
         within = (lambda df: df) if keys is None else (lambda df: df.join(keys, key[0], "left_semi"))
-        if changed:
-            rows = within(self.spark.read.schema(f"{SCHEMAS[name]}, gone boolean, batch bigint").option("basePath", f"{self.files.path}/delta/{name}").parquet(*changed))
+        if batches:
+            if name in BY_SOURCE and dealt is not None and self.dealt_alike(batches, dealt):
+                each = [dealt_at(self.spark, f"{self.files.path}/delta/{name}/batch={n}", f"{SCHEMAS[name]}, gone boolean", dealt).withColumn("batch", F.lit(n).cast("bigint")) for n in batches]
+                rows = within(reduce(DataFrame.unionByName, [unnamed(each[0]), *each[1:]]))
+            else:
+                rows = within(spread(self.spark.read.schema(f"{SCHEMAS[name]}, gone boolean, batch bigint").option("basePath", f"{self.files.path}/delta/{name}").parquet(*[f"{self.files.path}/delta/{name}/batch={n}" for n in batches])))
             if buckets is not None:
                 rows = rows.where(bucket_of(name, self.buckets).isin(buckets))
-            newest = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))).where("_n = 1")
+            # a batch has a key once
+            newest = rows if len(batches) == 1 else rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))).where("_n = 1")
             parts.append(newest.where("NOT gone").select(columns))
         if paths:
-            rows = within(self.spark.read.schema(SCHEMAS[name]).parquet(*paths))
-            parts.append(rows.alias("b").join(newest.select(key).alias("d"), reduce(lambda a, b: a & b, [F.col(f"b.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key]), "left_anti") if changed else rows)
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMAS[name])
+            rows = within(spread(self.spark.read.schema(SCHEMAS[name]).parquet(*paths)))
+            parts.append(rows.alias("b").join(newest.select(key).alias("d"), reduce(lambda a, b: a & b, [F.col(f"b.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key]), "left_anti") if batches else rows)
+        return reduce(DataFrame.unionByName, parts) if parts else empty(self.spark, name)
+
+    def changed(self, name: str) -> list[int]:
+        """The batches that changed a table and aren't folded yet."""
+        return [n for n in self.manifest["batches"] if name in self.manifest["wrote"][str(n)]]
+
+    def dealt_alike(self, batches: list[int], dealt: int) -> bool:
+        return all(self.manifest.get("dealt", {}).get(str(n)) == dealt for n in batches)
+
+    def as_written(self, name: str, dealt: int) -> bool:
+        """Whether a table is what one batch wrote, dealt so, or nothing yet: its rows are read as they are."""
+        batches = self.changed(name)
+        return not self.manifest["base"][name] and len(batches) < 2 and self.dealt_alike(batches, dealt)
 
     def store(self) -> Store:
         return Store(**{t: self.table(t) for t in SCHEMAS})
 
-    def of_sources(self, sources: DataFrame) -> Store:
-        """The store of some sources (source_id), whose buckets are read; with all adapters, links and pending operations."""
+    def of_sources(self, sources: DataFrame, dealt: int | None = None) -> Store:
+        """The store of some sources (source_id), whose buckets are read; with all adapters, links and pending operations.
+        Sources and their rows are dealt into so many parts."""
         buckets = sorted(r.bucket for r in sources.select(bucket_of("sources", self.buckets).alias("bucket")).distinct().collect())  # BUCKETS at most
         ids = sources.select("source_id").distinct()
-        return Store(**{t: self.table(t, buckets, ids) if t in BY_SOURCE else self.table(t) for t in SCHEMAS})
+        return Store(**{t: self.table(t, buckets, ids, dealt) if t in BY_SOURCE else self.table(t) for t in SCHEMAS})
 
     # Writing
 
-    def apply(self, batch: int, sources: DataFrame, change: Callable[[Store], Store]) -> bool:
+    def apply(self, batch: int, sources: DataFrame, change: Callable[[Store], Store], dealt: int | None = None) -> bool:
         """Runs an operation on the rows of the sources that it touches and commits what it changed as a batch. False,
-        without doing anything, for a batch that has been committed before."""
+        without doing anything, for a batch that has been committed before. dealt: the rows that the operation works on are
+        dealt by source into so many parts; where it keeps to them, neither it nor what is written moves texts and chunks."""
         if batch <= self.manifest["done"]:
             return False
         with owned(self.spark):
-            before = self.of_sources(saved(sources.select("source_id").distinct(), "touched"))
-            before = replace(before, **{t: saved(getattr(before, t), f"before-{t}") for t in ("sources", "versions", "chunks", "dead_letters")})
+            ids = sources.select("source_id")
+            ids = ids.distinct() if dealt is None else ids.repartition(dealt, "source_id").distinct()
+            before = self.of_sources(saved(ids, "touched", dealt), dealt)
+            if dealt is None:
+                before = replace(before, **{t: saved(getattr(before, t), f"before-{t}") for t in ("sources", "versions", "chunks", "dead_letters")})
+            else:
+                before = replace(before, **{t: unnamed(saved(getattr(before, t), f"before-{t}", dealt)) for t in ("sources", "versions", "chunks") if not self.as_written(t, dealt)})
+                before = replace(before, dead_letters=saved(before.dead_letters, "before-dead_letters"))
             after = change(before)
-            wrote = [t for t in SCHEMAS if getattr(after, t) is not getattr(before, t) and self.written(t, batch, getattr(before, t), getattr(after, t))]
+            wrote = [t for t in SCHEMAS if getattr(after, t) is not getattr(before, t) and self.written(t, batch, getattr(before, t), getattr(after, t), dealt if t in BY_SOURCE else None)]
         manifest = {**self.manifest, "done": batch, "batches": [*self.manifest["batches"], batch], "wrote": {**self.manifest["wrote"], str(batch): wrote}}
+        manifest["dealt"] = {**self.manifest.get("dealt", {}), **({} if dealt is None else {str(batch): dealt})}
         self.commit(manifest)
         if len(manifest["batches"]) >= self.most:
             self.fold()
         return True
 
-    def written(self, name: str, batch: int, before: DataFrame, after: DataFrame) -> bool:
-        """Writes the rows that differ. Rows of a table are told apart by their key, compared by all their columns."""
+    def written(self, name: str, batch: int, before: DataFrame, after: DataFrame, dealt: int | None = None) -> bool:
+        """Writes the rows that differ, dealt by source if they are so. Rows of a table are told apart by their key, compared
+        by all their columns."""
         key, columns = list(KEYS[name]), before.columns
         told = lambda df: df.select(*key, F.struct(*columns).alias("row"))
-        on = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
-        both = told(after).alias("a").join(told(before).alias("b"), on, "full_outer").where("NOT (a.row <=> b.row)")
-        rows = both.select(F.coalesce("a.row", "b.row").alias("row"), F.col("a.row").isNull().alias("gone")).select("row.*", "gone")
+
+        def differing(old: DataFrame, new: DataFrame, first: Callable[[Column, Column], Column]) -> DataFrame:
+            on = [(first if k == key[0] else Column.eqNullSafe)(F.col(f"a.{k}"), F.col(f"b.{k}")) for k in key]
+            both = told(new).alias("a").join(told(old).alias("b"), reduce(lambda a, b: a & b, on), "full_outer").where("NOT (a.row <=> b.row)")
+            return both.select(F.coalesce("a.row", "b.row").alias("row"), F.col("a.row").isNull().alias("gone")).select("row.*", "gone")
+
+        if dealt is None:
+            rows = differing(before, after, Column.eqNullSafe)
+        else:
+            # of the first column of the key it takes a plain comparison to know that rows are dealt by it; nulls are apart
+            null = F.col(key[0]).isNull()
+            rows = differing(before.where(~null), after.where(~null), Column.__eq__).unionByName(differing(before.where(null), after.where(null), Column.eqNullSafe))
         path = f"{self.files.path}/delta/{name}/batch={batch}"
-        rows.write.mode("overwrite").parquet(path)
+        if dealt is None:
+            with by_source(self.spark):
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        else:
+            dealt_to(rows, path, dealt)
         return not self.spark.read.schema(f"{SCHEMAS[name]}, gone boolean").parquet(path).isEmpty()
 
     def commit(self, manifest: dict) -> None:
@@ -156,13 +199,13 @@ class DurableStore:
             changed = self.spark.read.schema(SCHEMAS[t]).parquet(*[f"{self.files.path}/delta/{t}/batch={n}" for n in batches])
             touched = sorted(r.bucket for r in changed.select(bucket_of(t, self.buckets).alias("bucket")).distinct().collect())
             rows = self.table(t, touched).withColumn("bucket", bucket_of(t, self.buckets))
-            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.files.path}/base/{t}/fold={done}")
+            rows.repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.files.path}/base/{t}/fold={done}")
             there = {int(n.removeprefix("bucket=")) for n in self.files.names(f"base/{t}/fold={done}") if n.startswith("bucket=")}
             gone += [f"base/{t}/fold={base[t][str(b)]}/bucket={b}" for b in touched if str(b) in base[t]]
             base[t] = {b: n for b, n in base[t].items() if int(b) not in touched} | {str(b): done for b in there}
         for path in [*old["gone"], *self.strays(old, done)]:
             self.files.drop(path)
-        self.commit({**old, "batches": [], "wrote": {}, "base": base, "gone": gone})
+        self.commit({**old, "batches": [], "wrote": {}, "dealt": {}, "base": base, "gone": gone})
 
     def strays(self, manifest: dict, done: int) -> list[str]:
         """Folds that no manifest names: of a fold that was cut off."""
